@@ -90,7 +90,7 @@ class Rule:
 #: Production rules. Thresholds apply to counts, so that they are exact in integers.
 RULES = (
     Rule("symbols", lambda f: 10 * f("n_symbols") > 3 * f("n_words")),
-    Rule("duplicate_lines", lambda f: 10 * f("n_dup_lines") > 3 * f("n_lines")),
+    Rule("duplicate_lines", lambda f: 2 * f("n_dup_lines") > f("n_lines")),
     Rule("capitals", lambda f: f("n_upper") > f("n_lower")),
     Rule("shouting", lambda f: 10 * f("n_marks") > 5 * f("n_words")),
     Rule("word_length", lambda f: (f("word_chars") < 2 * f("n_words")) | (f("word_chars") > 25 * f("n_words"))),
@@ -181,7 +181,7 @@ f AS (
   FROM g LEFT JOIN c USING (rid)
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines
+       NOT base_failed AND NOT (10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines
          OR n_upper > n_lower OR 10 * n_marks > 5 * n_words
          OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
 FROM b
