@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rules, simhash, substring, tokens
+from . import packing, quality, rules, simhash, substring, tokens, toxicity
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return out.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.scored(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -30,12 +35,17 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_tokens, op6_quality_rules, op7_substring, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_tokens, op3_quality, op6_quality_rules, op7_substring, op8_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
