@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, rules, simhash, substring, tokens, toxicity
+from . import html, packing, quality, rules, simhash, substring, tokens, toxicity, urls
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.scored(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -40,12 +44,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "spans")
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A url's label is that of the document whose id ends its path: to be blocked if of low quality or toxic."""
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    named = pages.select("url", F.regexp_extract("url", r"/(\d{1,18})(?:\.\w+)?/?(?:[?#].*)?$", 1).alias("id")).where("id <> ''")
+    known = labels.select(F.col("doc_id").cast("string").alias("id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("blocked"))
+    return urls.judged(pages, named.join(known, "id").select("url", "blocked")).select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_tokens, op3_quality, op6_quality_rules, op7_substring, op8_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_tokens, op3_quality, op5_html, op6_quality_rules, op7_substring, op8_toxicity, op9_urls, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
