@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted
+from .common import summed
 
 BUCKETS, DIM, WINDOW = 1 << 14, 32, 2
 BLOCK = 512
@@ -114,19 +114,10 @@ def corpus_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray,
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blobs), dtype=np.int32)), pa.array(blobs, pa.binary())], ["block", "blob"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                x = np.frombuffer(blob.as_buffer(), "<f4").astype(np.float64)
-                total[k] = total[k] + x if k in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype("<f4").tobytes() for x in total.values()], pa.binary())], ["block", "blob"])
-
     parts = docs.select(F.col(text_col).cast("string")).mapInArrow(gather, "block int, blob binary")
-    rows = parts.repartition(min(salted(docs.sparkSession), BUCKETS // BLOCK), "block").mapInArrow(add, "block int, blob binary").collect()
     table = np.zeros((BUCKETS, DIM + 1))
-    for r in rows:
-        table[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.blob, "<f4").reshape(-1, DIM + 1)
+    for k, x in summed(parts, BUCKETS // BLOCK).items():
+        table[k * BLOCK : (k + 1) * BLOCK] = x.reshape(-1, DIM + 1)
     return table[:, :DIM], table[:, DIM]
 
 
