@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, packing, quality, rules, simhash, substring, tokens, toxicity, urls
+from . import decontam, html, packing, quality, rules, simhash, substring, tokens, toxicity, urls
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -57,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_tokens, op3_quality, op5_html, op6_quality_rules, op7_substring, op8_toxicity, op9_urls, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_tokens, op3_quality, op4_decontamination, op5_html, op6_quality_rules, op7_substring, op8_toxicity, op9_urls, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
