@@ -180,3 +180,32 @@ def groups(docs: DataFrame, size: int = 4, max_bits: int = MAX_BITS, id_col: str
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Shingle size and bits at which the pipeline takes documents for near copies.
+STAGE_SIZE, STAGE_BITS = 5, 8
+
+
+def representatives(docs: DataFrame, size: int = STAGE_SIZE, max_bits: int = STAGE_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, seal, again): of each group the row with the least id and text hash; again: whether several rows have both."""
+    seal = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), seal.alias("seal"))
+    prints = stored(_prints(rows, size), "prints")
+    fps = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "seal")).alias("first"))
+    fps = stored(fps, "fps")
+    roots = components(stored(links(fps.select("fp"), max_bits), "links"))
+    rooted = fps.join(roots, fps.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("first").alias("x")).select("x.doc_id", "x.seal")
+    times = prints.groupBy("doc_id", "seal").count().select(F.col("doc_id").alias("d"), F.col("seal").alias("s"), (F.col("count") > 1).alias("again"))
+    return best.join(times, best.doc_id.eqNullSafe(times.d) & (best.seal == times.s)).select("doc_id", "seal", "again")
+
+
+def _prints(rows: DataFrame, size: int) -> DataFrame:
+    """(doc_id, seal, fp) of rows(doc_id, text, seal)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = [fingerprint(t, size) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.int64())], ["doc_id", "seal", "fp"])
+
+    return rows.mapInArrow(run, "doc_id long, seal long, fp long")

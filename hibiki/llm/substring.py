@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import stored
 
@@ -111,9 +112,9 @@ def chunks(rows: list, size) -> Iterator[list]:
         yield held
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.hash(text).alias("th"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.hash(text).alias("th"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(*(F.col(c) for c in carry or [id_col])).alias("carry"))
 
 
 def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
@@ -182,17 +183,18 @@ def _finish(w: list[bytes], at: np.ndarray, window: int, digest: bool) -> tuple[
 DONE = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, digest: bool = False, untouched: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, th) of every row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, digest: bool = False, untouched: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, carry) of every row.
 
     Removes each word covered by a window of `window` words whose sequence also starts anywhere
     else in the input. kept: the words left, joined by one space, or with digest its SHA-256 in
-    hex; with untouched, the text as it is where no word is removed. th: hash of the text, which with doc_id tells
-    rows apart. Null text counts as empty; texts shorter than a window and tables without
+    hex; with untouched, the text as it is where no word is removed. carry: a struct of the row's
+    columns named in `carry`, passed through. Null text counts as empty; texts shorter than a window and tables without
     repeats are kept whole; repeated rows count as copies of each other; an empty table gives
-    no rows; further columns are ignored.
+    no rows; further columns are ignored unless carried.
     """
     out = "doc_id long, k long, th int, n_words long, n_removed long, kept string, text string, sure array<int>, wpos array<int>, whash array<long>"
+    carried = _keyed(docs, id_col, text_col, carry).schema["carry"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.strip().split()[0] for f in out.split(",")]
@@ -201,6 +203,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids, ks, ths, texts = (b.column(i).to_pylist() for i in range(4))
             at, plain = b.column(4), b.column(5)
             rows = [(i, split_words(t)) for i, t in enumerate(texts)]
+            done = 0
             for part in chunks(rows, lambda r: len(r[1]) + 20):
                 found = []
                 open_ = [r for r in part if at[r[0]].is_valid]
@@ -233,26 +236,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         if untouched and not gone:
                             kept = texts[i]
                         found.append((ids[i], ks[i], ths[i], len(w), gone, kept, None, None, None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*found), kinds)), b.column(6).slice(done, len(part))], [*names, "carry"])
+                done += len(part)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ths, texts = (b.column(i).to_pylist() for i in range(3))
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows = []
             for i, t in enumerate(texts):
                 w = split_words(t)
-                more = b.column(4)[i]
-                at = np.concatenate([b.column(3)[i].values.to_numpy(), more.values.to_numpy() if more.is_valid else np.zeros(0, np.int32)]).astype(np.int64)
+                more = b.column(3)[i]
+                at = np.concatenate([b.column(2)[i].values.to_numpy(), more.values.to_numpy() if more.is_valid else np.zeros(0, np.int32)]).astype(np.int64)
                 gone, kept = _finish(w, at, window, digest)
-                rows.append((ids[i], len(w), gone, t if untouched and not gone else kept, ths[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32()))], ["doc_id", "n_words", "n_removed", "kept", "th"])
+                rows.append((ids[i], len(w), gone, t if untouched and not gone else kept))
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))), b.column(4)], ["doc_id", "n_words", "n_removed", "kept", "carry"])
 
     lists = graph(docs, id_col=id_col, text_col=text_col, window=window, k=k)
-    with_nodes = _keyed(docs, id_col, text_col).join(lists, ["k", "th"], "left").select("doc_id", "k", "th", "text", "at", "plain")
-    judged = stored(with_nodes.mapInArrow(judge, out), "judged")
+    with_nodes = _keyed(docs, id_col, text_col, carry).join(lists, ["k", "th"], "left").select("doc_id", "k", "th", "text", "at", "plain", "carry")
+    judged = stored(with_nodes.mapInArrow(judge, StructType([*StructType.fromDDL(out), carried])), "judged")
     asked = judged.where("kept IS NULL")
     windows = asked.select("k", "th", F.explode(F.arrays_zip("wpos", "whash")).alias("w")).select("k", "th", "w.wpos", "w.whash")
     twice = windows.groupBy("whash").count().where("count > 1").select("whash")
     hits = windows.join(twice, "whash").groupBy("k", "th").agg(F.collect_set("wpos").alias("hit"))
-    settled = asked.join(hits, ["k", "th"], "left").select("doc_id", "th", "text", "sure", "hit").mapInArrow(settle, DONE + ", th int")
-    return judged.where("kept IS NOT NULL").select("doc_id", "n_words", "n_removed", "kept", "th").unionByName(settled)
+    settled = asked.join(hits, ["k", "th"], "left").select("doc_id", "text", "sure", "hit", "carry").mapInArrow(settle, StructType([*StructType.fromDDL(DONE), carried]))
+    return judged.where("kept IS NOT NULL").select("doc_id", "n_words", "n_removed", "kept", "carry").unionByName(settled)
