@@ -19,10 +19,10 @@ SMALL, LARGE = "ァィゥェォヮャュョ", "アイウエオワヤユヨ"
 SMALL_HIRA, LARGE_HIRA = "ぁぃぅぇぉゎゃゅょ", "あいうえおわやゆよ"
 HIRA = "".join(map(chr, range(0x3041, 0x3097)))
 KATA = "".join(chr(ord(c) + 0x60) for c in HIRA)
-WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "”’‘￥　〜"
+WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "”’‘￥\u3000〜"
 NARROW = "".join(map(chr, range(0x21, 0x7F))) + "\"'`\\ ~"
 #: All white space, in a form that every regular expression engine reads alike.
-SPACE = "\t-\r\x1c-\x20\x85\xa0  -     　"
+SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: ASCII punctuation but the underscore, as a class body.
 SIGNS = r"!-/:-@\[-\^`\{-~"
 

@@ -50,7 +50,7 @@ def read_tidy(spark: SparkSession, path: str, where: str = "") -> DataFrame:
     first = text.first()
     if first is None:
         return spark.createDataFrame([], "seq long")
-    header = first[0].lstrip("﻿")
+    header = first[0].lstrip("\ufeff")
     numbered = with_row_index(text.select(F.regexp_replace("value", "\r$", "").alias("value")), "seq")
     return tidy(numbered.where((F.col("seq") > 0) & (F.col("value") != first[0])), header, where)
 
@@ -61,7 +61,7 @@ def plain(lines: DataFrame, order_col: str, line_col: str = "value") -> DataFram
     id counts the lines that are left, from 0, in order of order_col; a headword alone is its
     own reading; each further non-empty cell is a reading of its own.
     """
-    text = F.regexp_replace(F.regexp_replace(F.col(line_col), "(?s)#.*$", ""), "​", "")
+    text = F.regexp_replace(F.regexp_replace(F.col(line_col), "(?s)#.*$", ""), "\u200b", "")
     kept = lines.select(order_col, F.split(text, ",").alias("c")).where(F.get("c", F.lit(0)) != "")
     numbered = with_row_index(kept.sort(order_col), "id")
     readings = F.when(F.size("c") == 1, F.slice("c", 1, 1)).otherwise(F.filter(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(1))), lambda x: x != ""))
