@@ -48,6 +48,11 @@ STICKY = f"[{ROW_U}][ァィェォ]|[テデ][ャィュョ]|[{ROW_I}][ャュョ]|[
 LEGAL_PAIR = f"[{ROW_U}][ァヮォ]|[トド]ゥ|[{_I2}テデ][ャュョ]|[{ROW_U}テデ]ィ|[{ROW_U}{_I2}イ]ェ"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body names it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hira_to_kata(s: Column) -> Column:
     return F.translate(s, HIRA, KATA)
 
@@ -202,3 +207,8 @@ def variations(syllables: Column, max_units: Column | int | None = None) -> Colu
         return grown if max_units is None else F.filter(grown, lambda g: F.size(g["units"]) + level["rest"] <= max_units)
 
     return F.filter(F.aggregate(levels, start, step), lambda v: F.size(v["units"]) > 0)
+
+
+def ways(text: Column, max_units: Column | int | None = None) -> Column:
+    """variations of a kana text, split once."""
+    return let(syllable_split(text), lambda s: variations(s, max_units))

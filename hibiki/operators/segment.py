@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kana import let
+
 FILLER = 1e6
 DEFAULTS = {"DUPLICATE": True, "SAME_PHRASE_BREAK_REWARD": 1.0, "MID_PHRASE_BREAK_PENALTY": 0.0, "WORD_NUMBER_PENALTY": 1.0, "VARIATION_COST": 0.0}
 
@@ -18,7 +20,7 @@ def segments(lines: DataFrame, longest: int) -> DataFrame:
 
 def phrase_breaks(phrase: Column) -> Column:
     """0 and every position whose phrase differs from the one before."""
-    return F.filter(F.transform(phrase, lambda p, i: F.when((i == 0) | (p != F.get(phrase, i - 1)), i)), lambda x: x.isNotNull())
+    return let(phrase, lambda ph: F.filter(F.transform(ph, lambda p, i: F.when((i == 0) | (p != F.get(ph, i - 1)), i)), lambda x: x.isNotNull()))
 
 
 def cover(n: Column, breaks: Column, costs: Column, longest: int, parameters: dict | None = None) -> Column:

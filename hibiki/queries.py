@@ -208,7 +208,7 @@ WAYS_RECURSIVE = """ways(w, n, i, ord, units, cost, src) AS (
 
 def word_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = romaji_words(table(spark, sf_dir, "documents"))
-    return base.select("w", "s", F.posexplode(kana.variations(kana.syllable_split(F.col("s")))).alias("ordinal", "v")).select("w", "s", "ordinal", F.col("v.units").alias("units"), F.col("v.vcost").alias("vcost"), F.col("v.src").alias("src"))
+    return base.select("w", "s", F.posexplode(kana.ways(F.col("s"))).alias("ordinal", "v")).select("w", "s", "ordinal", F.col("v.units").alias("units"), F.col("v.vcost").alias("vcost"), F.col("v.src").alias("src"))
 
 
 register(
@@ -345,7 +345,7 @@ WORD_ID = "CASE WHEN length(w) % 2 = 1 THEN CAST((ascii(w) * 31 + ascii(substr(w
 def match_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word table: several words share an id. seq numbers the ways in order of the words."""
     numbered = wordlist.with_row_index(romaji_words(table(spark, sf_dir, "documents")).select("w", "s").sort("w"), "r")
-    ways = numbered.select("w", "r", F.posexplode(kana.variations(kana.syllable_split(F.col("s")))).alias("k", "v"))
+    ways = numbered.select("w", "r", F.posexplode(kana.ways(F.col("s"))).alias("k", "v"))
     return ways.select(F.expr(WORD_ID.format(t="STRING")).alias("id"), F.size("v.units").alias("n_units"), (F.col("r") * 4096 + F.col("k")).alias("seq"), F.col("v.units").alias("units"), F.col("v.vcost").alias("vcost"))
 
 

@@ -92,7 +92,7 @@ def words(rows: DataFrame, max_units: int | None = None, get_yomi: Callable[[Col
         said = F.when(said.rlike("[一-龠]"), get_yomi(said)).otherwise(said)
     original = F.col("original") if "original" in rows.columns else F.col("surface")
     base = rows.select(*order, F.col("id").cast("string").alias("id"), "surface", original.alias("original"), format_kana(said).alias("kana")).where("kana <> ''")
-    ways = base.select("*", F.posexplode(kana.variations(kana.syllable_split(F.col("kana")), max_units)).alias("ordinal", "v"))
+    ways = base.select("*", F.posexplode(kana.ways(F.col("kana"), max_units)).alias("ordinal", "v"))
     return ways.select(*order, "id", "surface", "original", "kana", "ordinal", F.col("v.units").alias("units"), F.col("v.vcost").alias("vcost"), F.size("v.units").alias("n_units"))
 
 
