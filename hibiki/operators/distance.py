@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,19 +107,51 @@ def pair_distances(pairs: DataFrame, dist: DataFrame, keys: list[str], weights:
     return rows.join(F.broadcast(dist), ["u1", "u2"]).groupBy(*keys, "n").agg(F.sum(value).alias("d"), F.count("*").alias("k")).where("k = n").select(*keys, "d")
 
 
+def unit_codes(units_: Column, names: list[str]) -> Column:
+    """A list of units as one string, a character each; null where a unit is not in names."""
+    table = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.lit(chr(0x4E00 + i)) for i in range(len(names)))))
+    codes = F.transform(units_, lambda u: F.try_element_at(table, u))
+    return F.when(F.forall(codes, lambda c: c.isNotNull()), F.array_join(codes, ""))
+
+
+def code_distances(dist: DataFrame):
+    """(names, score): score(a, b) sums the distances of two coded lists of equal length, left to right, in Arrow batches.
+
+    The table has one row for each pair of units, so a few hundred squared, whatever the data.
+    """
+    rows = dist.collect()
+    names = sorted({r.u1 for r in rows})
+    place = {n: i for i, n in enumerate(names)}
+    grid = np.full((len(names), len(names)), np.inf)
+    for r in rows:
+        grid[place[r.u1], place[r.u2]] = r.dist
+    shared = dist.sparkSession.sparkContext.broadcast(grid)
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype="float64")
+        place = lambda s: np.frombuffer("".join(s).encode("utf-32-le"), "<u4").astype(np.int64) - 0x4E00
+        sizes = a.str.len().to_numpy()
+        return pd.Series(np.add.reduceat(shared.value[place(a), place(b)], np.cumsum(sizes) - sizes))
+
+    return names, score
+
+
 def nearest(targets: DataFrame, words: DataFrame, dist: DataFrame, variation_cost: float = 0.0) -> DataFrame:
-    """(target, id, sim, n_units, word): the best way to say each word for each target.
+    """(target, id, sim, n_units, seq, seen): the best way to say each word for each target.
 
     targets(target string, syllables array): its ways meet the words' ways of equal unit count.
     words(id, n_units, seq, units, vcost): seq orders the ways as they were read. Of equal best
     ways the one read last counts. Only distinct unit lists are compared, so that words that
     sound alike and ways that several targets share are scored once.
     """
-    ways = targets.select("target", F.explode(kana.variations(F.col("syllables"))).alias("v")).select("target", F.col("v.units").alias("a"), F.col("v.vcost").alias("va"))
-    said, asked = words.select("n_units", F.col("units").alias("b")).distinct(), ways.select("a").distinct()
-    pairs = asked.join(said, F.size("a") == F.col("n_units")).select("a", "b")
-    scored = pair_distances(pairs, dist, ["a", "b"])
-    best = ways.join(scored, "a").join(words.withColumnRenamed("units", "b"), "b")
+    names, score = code_distances(dist)
+    ways = targets.select("target", F.explode(kana.variations(F.col("syllables"))).alias("v")).select("target", unit_codes(F.col("v.units"), names).alias("a"), F.col("v.vcost").alias("va")).where("a IS NOT NULL")
+    coded = words.select("id", "n_units", "seq", "vcost", unit_codes(F.col("units"), names).alias("b")).where("b IS NOT NULL")
+    asked, said = ways.select("a", F.length("a").alias("n_units")).distinct(), coded.select("b", "n_units").distinct()
+    scored = asked.join(said, "n_units").select("a", "b", score("a", "b").alias("d"))
+    best = ways.join(scored, "a").join(coded, "b")
     sim = F.col("d") + (F.col("va") + F.col("vcost")) * F.lit(float(variation_cost))
     per_way = best.groupBy("target", "id", "n_units", "seq").agg(F.min(sim).alias("sim"))
     return per_way.groupBy("target", "id").agg(F.min(F.struct("sim", (-F.col("n_units")).alias("n"), (-F.col("seq")).alias("s"))).alias("x"), F.min(F.struct("n_units", "seq")).alias("seen")).select("target", "id", "x.sim", (-F.col("x.n")).alias("n_units"), (-F.col("x.s")).alias("seq"), "seen")

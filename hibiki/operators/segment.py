@@ -14,7 +14,7 @@ DEFAULTS = {"DUPLICATE": True, "SAME_PHRASE_BREAK_REWARD": 1.0, "MID_PHRASE_BREA
 
 def segments(lines: DataFrame, longest: int) -> DataFrame:
     """(line, i, t, target) of every run of at most `longest` units of lines(line, units)."""
-    ends = lines.select("line", "units", F.explode(F.sequence(F.lit(1), F.size("units"))).alias("t")).where("t <= size(units)")
+    ends = lines.select("line", "units", F.explode(F.when(F.size("units") > 0, F.sequence(F.lit(1), F.size("units")))).alias("t"))
     return ends.select("line", "units", "t", F.explode(F.sequence(F.greatest(F.lit(0), F.col("t") - longest), F.col("t") - 1)).alias("i")).select("line", "i", "t", F.slice("units", F.col("i") + 1, F.col("t") - F.col("i")).alias("syllables"))
 
 
