@@ -19,7 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SAMPLES = 6
+#: Sample keys (about 40 bytes each) and characters of wrappers up to which they are broadcast.
+BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 8_000_000
 #: Sample pages that must agree before a text counts as template.
 AGREE = 3
 
@@ -294,7 +298,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     seal = F.xxhash64("url", "html")
     keyed = rows.select(host_of(F.col("url")).alias("host"), seal.alias("seal"), "html")
     least = keyed.groupBy("host", F.pmod("seal", F.lit(SAMPLES)).alias("class")).agg(F.min("seal").alias("seal")).select("host", "seal")
-    sample = keyed.join(least, ["host", "seal"]).groupBy("host", "seal").agg(F.first("html").alias("html"))
+    least = stored(least, "samples")
+    sample = keyed.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, ["host", "seal"]).groupBy("host", "seal").agg(F.first("html").alias("html"))
     lists = sample.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("seal", "html"))).alias("x"))
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,8 +312,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 templates.append(template)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(refs, pa.string()), pa.array(roots, pa.list_(pa.int32())), pa.array(templates, pa.list_(pa.list_(pa.int32())))], ["host", "ref", "root", "template"])
 
-    from .common import stored
-
     wrappers = stored(lists.mapInArrow(wrap, "host string, ref string, root array<int>, template array<array<int>>"), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,6 +327,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append(known[h].extract(page) if page else "")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    # a host's wrapper goes to the pages: broadcast while it is small (checked by Spark's own statistics), else joined
-    joined = rows.withColumn("host", host_of(F.col("url"))).join(wrappers, "host").select("page_id", "url", "host", "html", "ref", "root", "template")
+    # a host's wrapper goes to the pages: broadcast while all wrappers are small, else by a shuffle of the pages
+    size = wrappers.agg(F.sum(F.length("ref"))).first()[0] or 0
+    joined = rows.withColumn("host", host_of(F.col("url"))).join(F.broadcast(wrappers) if size <= BROADCAST_CHARS else wrappers, "host").select("page_id", "url", "host", "html", "ref", "root", "template")
     return joined.mapInArrow(run, "page_id long, url string, text string")
