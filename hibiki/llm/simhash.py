@@ -112,14 +112,14 @@ def forest(run: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> tuple[n
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b) between distinct fingerprints fps(fp) that connect what max_bits or fewer bits connect."""
     segs = segments(max_bits)
-    values = [f"named_struct('s', {k}, 'v', int(shiftrightunsigned(fp, {lo}) & {(1 << hi - lo) - 1}L))" for k, (lo, hi) in enumerate(segs)]
+    values = [f"named_struct('s', {k}, 'v', shiftrightunsigned(fp, {lo}) & {(1 << hi - lo) - 1}L)" for k, (lo, hi) in enumerate(segs)]
     hot = (
         fps.select(F.explode(F.expr(f"array({', '.join(values)})")).alias("x"))
         .groupBy("x.s", "x.v")
         .count()
         .where(F.col("count") > BLOCK // 2)
     )
-    keys = [f"struct({p} as p, v & {~(1 << p - lo)} as v)" for lo, hi in segs for p in range(lo, hi)]
+    keys = [f"struct({p} as p, v & {~(1 << p - lo)}L as v)" for lo, hi in segs for p in range(lo, hi)]
     of_seg = F.expr("CASE s " + " ".join(f"WHEN {k} THEN array({', '.join(keys[lo:hi])})" for k, (lo, hi) in enumerate(segs)) + " END")
     hot = stored(
         hot.select(F.explode(of_seg).alias("x"), "count")
@@ -127,7 +127,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         .agg(F.ceil((F.sum("count") + BLOCK // 2) / BLOCK).cast("int").alias("blocks")),
         "hot",
     )
-    each = [f"named_struct('p', {p}, 'v', int(shiftrightunsigned(fp, {lo}) & {((1 << hi - lo) - 1) & ~(1 << p - lo)}L))" for lo, hi in segs for p in range(lo, hi)]
+    each = [f"named_struct('p', {p}, 'v', shiftrightunsigned(fp, {lo}) & {((1 << hi - lo) - 1) & ~(1 << p - lo)}L)" for lo, hi in segs for p in range(lo, hi)]
     rows = fps.select("fp", F.explode(F.expr(f"array({', '.join(each)})")).alias("x")).select("fp", "x.p", "x.v")
     found = hot.count()
     if found:
@@ -137,7 +137,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         block = F.least("own", "other") * F.lit(1 << 16) + F.greatest("own", "other")
     else:
         block = F.lit(0)
-    rows = rows.select(F.shiftleft("p", 24).bitwiseOR(F.col("v")).cast("long").alias("key"), block.cast("int").alias("block"), "fp")
+    rows = rows.select(F.shiftleft(F.col("p").cast("long"), 40).bitwiseOR(F.col("v")).alias("key"), block.cast("int").alias("block"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
