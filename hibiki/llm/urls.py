@@ -105,6 +105,8 @@ def judged(pages: DataFrame, labelled: DataFrame | None, id_col: str = "page_id"
         .groupBy("basket")
         .agg(F.max_by("tokens", F.struct("confidence", "tokens")).alias("mined"))
     )
-    out = rows.withColumn("basket", F.when(F.col("f").isNull(), F.sort_array(tokens(F.col("host"), F.col("path"), F.col("url"))))).join(fired, "basket", "left")
+    # rows that a fixed rule decides take no part in the join
+    free = rows.where("f IS NULL").withColumn("basket", F.sort_array(tokens(F.col("host"), F.col("path"), F.col("url")))).join(fired, "basket", "left").drop("basket")
+    out = rows.where("f IS NOT NULL").withColumn("mined", F.lit(None).cast("array<string>")).unionByName(free)
     verdict = F.coalesce(F.col("f.verdict"), F.when(F.col("mined").isNotNull(), F.lit("block")), F.lit("allow"))
     return out.select("page_id", "url", "host", "path", F.col("f.rule").alias("rule"), verdict.alias("verdict"), "mined")
