@@ -12,11 +12,10 @@ from .queries import NEAREST_SQL, VARIATION_COST, d_last_vowel, joined, match_ta
 
 # -- aggregates on arrays ------------------------------------------------------------------------
 
-WEIGHTS = F.transform(F.col("embedding"), lambda x: x.cast("double"))
 D_W = "list_transform(embedding, lambda x: x::DOUBLE)"
 register(
     "normalize_weights",
-    lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("positive"), WEIGHTS.alias("w")).select("vec_id", "positive", F.when(F.col("positive") == 1, F.transform("w", lambda x: F.abs(x))).otherwise(F.col("w")).alias("w")).select("vec_id", "positive", F.round(F.aggregate(distance.normalized_weights(F.col("w"), F.size("w")), F.lit(0.0), lambda a, x: F.greatest(a, x)), 6).alias("largest")),
+    lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("positive"), F.transform("embedding", lambda x: x.cast("double")).alias("w")).select("vec_id", "positive", F.when(F.col("positive") == 1, F.transform("w", lambda x: F.abs(x))).otherwise(F.col("w")).alias("w")).select("vec_id", "positive", F.round(F.aggregate(distance.normalized_weights(F.col("w"), F.size("w")), F.lit(0.0), lambda a, x: F.greatest(a, x)), 6).alias("largest")),
     f"WITH t AS (SELECT vec_id, unnest([0, 1])::INTEGER AS positive, {D_W} AS w0 FROM embeddings), u AS (SELECT vec_id, positive, CASE WHEN positive = 1 THEN list_transform(w0, lambda x: abs(x)) ELSE w0 END AS w FROM t) SELECT vec_id, positive, CASE WHEN list_min(w) >= 0 AND list_sum(w) > 0 THEN round(list_max(w) * len(w) / list_sum(w), 6) END AS largest FROM u",
 )
 register("argmin", lambda spark, d: table(spark, d, "embeddings").select("vec_id", distance.argmin(F.col("embedding")).alias("at")), "SELECT vec_id, (list_position(embedding, list_min(embedding)) - 1)::INTEGER AS at FROM embeddings")
