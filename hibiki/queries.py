@@ -274,12 +274,12 @@ def tidy_part(spark: SparkSession, sf_dir: str, query: str = "") -> DataFrame:
 register("scan_tidy", lambda spark, d: tidy_part(spark, d), "SELECT p_partkey::VARCHAR AS id, p_name AS original, p_type AS surface, p_brand AS brand FROM part")
 register(
     "scan_plain",
-    lambda spark, d: wordlist.plain(table(spark, d, "part").select("p_partkey", F.expr("CASE WHEN p_size % 7 = 0 THEN '# ' || p_brand WHEN p_size % 3 = 0 THEN p_name || ' # ' || p_brand ELSE p_name || ',' || p_type || ',,' || p_brand || '#x' END").alias("value")), "p_partkey").select("id", F.col("seq").cast("long").alias("seq"), "original", "surface"),
+    lambda spark, d: wordlist.plain(table(spark, d, "part").select("p_partkey", F.expr("CASE WHEN p_size % 7 = 0 THEN '# ' || p_brand WHEN p_size % 3 = 0 THEN p_name || ' # ' || p_brand ELSE p_name || ',' || p_type || ',,' || p_brand || '#x' END").alias("value")), "p_partkey").select("id", F.col("seq").cast("long").alias("seq"), "original", "surface", "pronunciation"),
     """WITH l AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '# ' || p_brand WHEN p_size % 3 = 0 THEN p_name || ' # ' || p_brand ELSE p_name || ',' || p_type || ',,' || p_brand || '#x' END AS v FROM part),
 c AS (SELECT p_partkey, string_split(regexp_replace(v, '#.*$', ''), ',') AS a FROM l),
 n AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, a FROM c WHERE a[1] <> ''),
 r AS (SELECT id, a[1] AS original, CASE WHEN len(a) = 1 THEN a ELSE list_filter(a[2:], lambda x: x <> '') END AS b FROM n)
-SELECT id::VARCHAR AS id, unnest(range(len(b))) AS seq, original, unnest(b) AS surface FROM r""",
+SELECT id::VARCHAR AS id, unnest(range(len(b))) AS seq, trim(original) AS original, trim(original) AS surface, ltrim(unnest(b)) AS pronunciation FROM r""",
 )
 for _name, _query, _sql in (
     ("where_eq", "brand = Brand#11 or surface = PROMO", "p_brand = 'Brand#11' OR p_type = 'PROMO'"),

@@ -56,16 +56,19 @@ def read_tidy(spark: SparkSession, path: str, where: str = "") -> DataFrame:
 
 
 def plain(lines: DataFrame, order_col: str, line_col: str = "value") -> DataFrame:
-    """(id, seq, original, surface) of a plain list: `headword[,reading ...] # comment`.
+    """(id, seq, original, surface, pronunciation) of a plain list: `headword[,reading ...] # comment`.
 
     id counts the lines that are left, from 0, in order of order_col; a headword alone is its
-    own reading; each further non-empty cell is a reading of its own.
+    own reading; each further non-empty cell is a reading of its own, on a row with the same
+    headword. Blanks around the headword and before a reading go.
     """
     text = F.regexp_replace(F.regexp_replace(F.col(line_col), "(?s)#.*$", ""), "\u200b", "")
     kept = lines.select(order_col, F.split(text, ",").alias("c")).where(F.get("c", F.lit(0)) != "")
     numbered = with_row_index(kept.sort(order_col), "id")
     readings = F.when(F.size("c") == 1, F.slice("c", 1, 1)).otherwise(F.filter(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(1))), lambda x: x != ""))
-    return numbered.select(F.col("id").cast("string").alias("id"), F.get("c", F.lit(0)).alias("original"), F.posexplode(readings).alias("seq", "surface"))
+    head = F.regexp_replace(F.get("c", F.lit(0)), "^[ \t]+|[ \t]+$", "")
+    out = numbered.select(F.col("id").cast("string").alias("id"), head.alias("original"), F.posexplode(readings).alias("seq", "said"))
+    return out.select("id", "seq", "original", F.col("original").alias("surface"), F.regexp_replace("said", "^[ \t]+", "").alias("pronunciation"))
 
 
 def read_plain(spark: SparkSession, path: str) -> DataFrame:

@@ -50,7 +50,7 @@ def test_tidy_and_plain(spark, tmp_path):
     assert [(r.id, r.original, r.surface) for r in rows] == [("1", "Japan", "ニホン"), ("3", "France", "フランス")]
     (tmp_path / "p.txt").write_text("# comment\nネコ\n犬,イヌ,ケン # two\n​,x\n", encoding="utf-8")
     got = wordlist.read_plain(spark, str(tmp_path / "p.txt")).sort("id", "seq").collect()
-    assert [(r.id, r.original, r.surface) for r in got] == [("0", "ネコ", "ネコ"), ("1", "犬", "イヌ"), ("1", "犬", "ケン")]
+    assert [(r.id, r.original, r.surface, r.pronunciation) for r in got] == [("0", "ネコ", "ネコ", "ネコ"), ("1", "犬", "犬", "イヌ"), ("1", "犬", "犬", "ケン ")]
 
 
 def test_words(spark):
