@@ -321,9 +321,9 @@ def line_costs(spark: SparkSession, sf_dir: str, ranks: int | None = 1) -> tuple
     asked = named.select("target", "syllables").distinct()
     words = match_words(spark, sf_dir).where(F.col("n_units") <= LONGEST)
     found = distance.nearest(asked, words, distance.unit_matrix(spark), VARIATION_COST)
-    best = distance.ranked(found)
-    if ranks:
-        best = best.where(F.col("rank") <= ranks)
+    if ranks is None:  # no song can use up more words than it has units
+        ranks = (lines.groupBy("song").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) + 1
+    best = distance.top(found, ranks)
     cands = named.join(stored(best.select("target", "rank", "sim", "id")), "target").select("line.song", "line.line", "i", "t", "rank", "sim", "id")
     return lines, cands
 
