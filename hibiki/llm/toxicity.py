@@ -14,6 +14,7 @@ token labels are taken over the same rows.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -52,10 +53,10 @@ class Words(dict):
 
     def __init__(self, weights: np.ndarray | None = None, marked: set[str] = frozenset()):
         super().__init__()
-        self.weights, self.marked = weights, marked
+        self.weights, self.marked = None if weights is None else weights.tolist(), marked
         self.own: list[list[int]] = []
         self.side: list[tuple[int, int]] = []
-        self.scores: list[tuple[float, float, float]] = []
+        self.scores = array("d")  # three numbers a word: its own score, and what it adds to the words after and before it
         self.hits: list[bool] = []
 
     def __missing__(self, piece: str) -> int:
@@ -68,7 +69,8 @@ class Words(dict):
             self.own.append(own)
             self.side.append((before, after))
         else:
-            self.scores.append((float(self.weights[own].sum()), float(self.weights[before]), float(self.weights[after])))
+            w = self.weights
+            self.scores.extend((sum([w[i] for i in own]), w[before], w[after]))
         return n
 
 
@@ -186,7 +188,7 @@ class Field:
 def _laid(texts, words: Words) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
     held, sizes, n, ids = [], [], 0, []
     for t in texts:
-        pieces = (t or "").split()
+        pieces = (t or "").lower().split()  # as many pieces as the text itself has
         ids += map(words.__getitem__, pieces)
         held.append(t)
         sizes.append(len(pieces))
@@ -196,7 +198,7 @@ def _laid(texts, words: Words) -> Iterator[tuple[list[str], np.ndarray, np.ndarr
             held, sizes, n, ids = [], [], 0, []
             if len(words) > _CACHE:
                 words.clear()
-                words.scores.clear()
+                del words.scores[:]
                 words.hits.clear()
     if held:
         yield held, np.array(ids, np.int64), np.array(sizes)
@@ -209,7 +211,7 @@ def judge(texts, field: Field, words: Words) -> Iterator[tuple[list[str], np.nda
         if not len(ids):
             yield held, np.zeros(0), sizes
             continue
-        table = np.array(words.scores)
+        table = np.array(words.scores).reshape(-1, 3)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         logit = table[ids, 0] + field.bias
         near = np.flatnonzero(doc[1:] == doc[:-1])
