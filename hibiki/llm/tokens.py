@@ -14,6 +14,7 @@ and lost or repeated tasks leave no partial file.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -43,8 +44,20 @@ def pack_header(*fields: int) -> bytes:
     return HEADER.pack(MAGIC, *fields)
 
 
+#: A full stop or comma between a letter and a blank: a piece of its own for the tokenizer, so that it may stand apart.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r]|\Z)")
+
+
+def split_pieces(text: str | None) -> list[bytes]:
+    """A text's pieces, lower-cased as the tokenizer does it, so that few different ones are left. Text that may hold a special token stays as it is."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if b"<|" not in raw:
+        raw = _STOP.sub(rb" \1", raw.lower())
+    return raw.split()  # bytes split only at the six ASCII blanks
+
+
 class WordEncoder:
-    """A text's ids from a tokenizer that drops white space, so that texts encode word by word.
+    """A text's ids from a tokenizer that drops case and white space, so that texts encode word by word.
 
     Ids of words are remembered; missing words of many texts are encoded together in one text
     and told apart by their offsets. Ids are those of encoding each whole text.
@@ -74,7 +87,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as bytes, the end id appended."""
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]  # only at the six ASCII blanks
+        split = [split_pieces(t) for t in texts]
         missing = set().union(*split).difference(self.known)
         if len(self.known) + len(missing) > CACHE_WORDS:
             self.known.clear()
@@ -110,7 +123,11 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     as the smallest long. Equal keys stay together, ordered by the hash of their text. An empty
     table writes no file.
     """
-    shards = shards or max(1, -(-int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // SHARD_BYTES))
+    if not shards:
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size > 1 << 50:  # Spark does not know
+            size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+        shards = max(1, -(-size // SHARD_BYTES))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(shards, "key").sortWithinPartitions("key", F.xxhash64("text"))
 
