@@ -290,16 +290,12 @@ SELECT p_partkey, coalesce(out, '') AS out FROM t LEFT JOIN j USING (p_partkey)"
 )
 
 
-# -- lines of conversations, and of the benchmark as songs ------------------------------------------------------------------------
+# -- conversations as songs, turns as lines ------------------------------------------------------------------------
 
 
-def kana_lines(spark: SparkSession, sf_dir: str, songs: bool = False) -> DataFrame:
-    """(song, line, tokens) of every turn, or of every line of every benchmark item: the romaji words as kana tokens; each begins a phrase by its length."""
-    if songs:
-        c = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("song"), F.posexplode(F.split(F.lower("text"), "[.\n]")).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
-    else:
-        c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("song"), F.col("turn").alias("line"), F.lower("text").alias("text"))
-    c = c.select("song", "line", F.regexp_extract_all("text", F.lit("[a-z]+"), 0).alias("ws"))
+def kana_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(song, line, tokens) of every turn: its romaji words as kana tokens; each begins a phrase by its length."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("song"), F.col("turn").alias("line"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("ws"))
     found = F.filter("ws", lambda w: F.length(w).between(2, 12) & english.is_romaji(w))
     return c.select("song", "line", F.transform(found, lambda w: F.struct(w.alias("surface_form"), english.romaji_words_to_kana(w).alias("pronunciation"), F.element_at(F.array(*map(F.lit, POS)), F.length(w) % 6 + 1).alias("pos"), F.lit(0).alias("phrase"))).alias("tokens"))
 
@@ -312,7 +308,7 @@ def line_costs(spark: SparkSession, sf_dir: str, ranks: int | None = 1) -> tuple
     """Lines with units and breaks, and ranked candidates of every run of up to LONGEST units. Equal runs are scored once."""
     numbers = tokens.phrase_numbers(F.transform("tokens", lambda t: t["pos"]))
     toks = F.zip_with("tokens", numbers, lambda t, p: t.withField("phrase", p))
-    units = kana_lines(spark, sf_dir, songs=True).select("song", "line", align.align_line(toks).alias("u"))
+    units = kana_lines(spark, sf_dir).select("song", "line", align.align_line(toks).alias("u"))
     from .plans.store import stored
 
     lines = stored(units.select("song", "line", F.transform("u", lambda x: x["pronunciation"]).alias("units"), segment.phrase_breaks(F.transform("u", lambda x: x["phrase"])).alias("breaks")).withColumn("n", F.size("units")))
