@@ -7,7 +7,9 @@ more and has one edge in and one edge out, wherever it occurs, is on a nonbranch
 words from its predecessor to its successor repeat as a whole. Joins bring every node's counts
 to its coordinates; consecutive nonbranching nodes of a document compact into one repeated
 span, whose windows are accepted as they are. Windows at path ends and branches, whose node
-repeats, are verified one by one: by the hash of all their words, counted over the corpus.
+repeats, are verified one by one: by the hash of all their words, counted over the corpus. A
+path's outermost nodes are not plain themselves, so a window of theirs that is accepted in one
+document may be verified in another; accepted ones of such nodes are counted, too.
 
 Rows are told apart by (doc_id, hash of text), so repeated rows count as copies of each other.
 """
@@ -193,12 +195,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeats are kept whole; repeated rows count as copies of each other; an empty table gives
     no rows; further columns are ignored unless carried.
     """
-    out = "doc_id long, k long, th int, n_words long, n_removed long, kept string, text string, sure array<int>, wpos array<int>, whash array<long>"
+    out = "doc_id long, k long, th int, n_words long, n_removed long, kept string, text string, sure array<int>, wpos array<int>, whash array<long>, also array<long>"
     carried = _keyed(docs, id_col, text_col, carry).schema["carry"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.strip().split()[0] for f in out.split(",")]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for b in batches:
             ids, ks, ths, texts = (b.column(i).to_pylist() for i in range(4))
             at, plain = b.column(4), b.column(5)
@@ -226,16 +228,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                             sure[x:y] = True
                         ask = rep[o] & ~sure
                         q = p[ask] + s.starts[j]
-                        pending[i] = (p[sure], p[ask], s.hash(q, q + window).view(np.int64))
+                        e = p[sure & rep[o] & ~flat[o]] + s.starts[j]
+                        pending[i] = (p[sure], p[ask], s.hash(q, q + window).view(np.int64), s.hash(e, e + window).view(np.int64))
                 for i, w in part:
-                    sure, ask, hashes = pending.get(i, (np.zeros(0, np.int64),) * 3)
+                    sure, ask, hashes, also = pending.get(i, (np.zeros(0, np.int64),) * 4)
                     if len(ask):
-                        found.append((ids[i], ks[i], ths[i], len(w), None, None, texts[i], sure.astype(np.int32), ask.astype(np.int32), hashes))
+                        found.append((ids[i], ks[i], ths[i], len(w), None, None, texts[i], sure.astype(np.int32), ask.astype(np.int32), hashes, also))
                     else:
                         gone, kept = _finish(w, sure, window, digest)
                         if untouched and not gone:
                             kept = texts[i]
-                        found.append((ids[i], ks[i], ths[i], len(w), gone, kept, None, None, None, None))
+                        found.append((ids[i], ks[i], ths[i], len(w), gone, kept, None, None, None, None, also if len(also) else None))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*found), kinds)), b.column(6).slice(done, len(part))], [*names, "carry"])
                 done += len(part)
 
@@ -257,7 +260,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = stored(with_nodes.mapInArrow(judge, StructType([*StructType.fromDDL(out), carried])), "judged")
     asked = judged.where("kept IS NULL")
     windows = asked.select("k", "th", F.explode(F.arrays_zip("wpos", "whash")).alias("w")).select("k", "th", "w.wpos", "w.whash")
-    twice = windows.groupBy("whash").count().where("count > 1").select("whash")
+    counted = windows.select("whash", F.lit(True).alias("asked")).unionByName(judged.select(F.explode("also").alias("whash"), F.lit(False).alias("asked")))
+    twice = counted.groupBy("whash").agg(F.count("*").alias("n"), F.max("asked").alias("asked")).where("n > 1 AND asked").select("whash")
     hits = windows.join(twice, "whash").groupBy("k", "th").agg(F.collect_set("wpos").alias("hit"))
     settled = asked.join(hits, ["k", "th"], "left").select("doc_id", "text", "sure", "hit", "carry").mapInArrow(settle, StructType([*StructType.fromDDL(DONE), carried]))
     return judged.where("kept IS NOT NULL").select("doc_id", "n_words", "n_removed", "kept", "carry").unionByName(settled)
