@@ -138,16 +138,17 @@ def code_distances(dist: DataFrame):
     return names, score
 
 
-def nearest(targets: DataFrame, words: DataFrame, dist: DataFrame, variation_cost: float = 0.0) -> DataFrame:
+def nearest(targets: DataFrame, words: DataFrame, dist: DataFrame, variation_cost: float = 0.0, max_units: int | None = None) -> DataFrame:
     """(target, id, sim, n_units, seq, seen): the best way to say each word for each target.
 
     targets(target string, syllables array): its ways meet the words' ways of equal unit count.
     words(id, n_units, seq, units, vcost): seq orders the ways as they were read. Of equal best
     ways the one read last counts. Only distinct unit lists are compared, so that words that
-    sound alike and ways that several targets share are scored once.
+    sound alike and ways that several targets share are scored once. max_units: the most units
+    of any word, where known; targets' longer ways are then not made.
     """
     names, score = code_distances(dist)
-    ways = targets.select("target", F.explode(kana.variations(F.col("syllables"))).alias("v")).select("target", unit_codes(F.col("v.units"), names).alias("a"), F.col("v.vcost").alias("va")).where("a IS NOT NULL")
+    ways = targets.select("target", F.explode(kana.variations(F.col("syllables"), max_units)).alias("v")).select("target", unit_codes(F.col("v.units"), names).alias("a"), F.col("v.vcost").alias("va")).where("a IS NOT NULL")
     coded = words.select("id", "n_units", "seq", "vcost", unit_codes(F.col("units"), names).alias("b")).where("b IS NOT NULL")
     asked, said = ways.select("a", F.length("a").alias("n_units")).distinct(), coded.select("b", "n_units").distinct()
     scored = asked.join(said, "n_units").select("a", "b", score("a", "b").alias("d"))

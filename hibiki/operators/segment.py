@@ -6,16 +6,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kana import let
+from ..functions.kana import let, syllable_variants
 
 FILLER = 1e6
 DEFAULTS = {"DUPLICATE": True, "SAME_PHRASE_BREAK_REWARD": 1.0, "MID_PHRASE_BREAK_PENALTY": 0.0, "WORD_NUMBER_PENALTY": 1.0, "VARIATION_COST": 0.0}
 
 
-def segments(lines: DataFrame, longest: int) -> DataFrame:
-    """(line, i, t, target) of every run of at most `longest` units of lines(line, units)."""
-    ends = lines.select("line", "units", F.explode(F.when(F.size("units") > 0, F.sequence(F.lit(1), F.size("units")))).alias("t"))
-    return ends.select("line", "units", "t", F.explode(F.sequence(F.greatest(F.lit(0), F.col("t") - longest), F.col("t") - 1)).alias("i")).select("line", "i", "t", F.slice("units", F.col("i") + 1, F.col("t") - F.col("i")).alias("syllables"))
+def segments(lines: DataFrame, most: int) -> DataFrame:
+    """(line, i, t, syllables) of every run of lines(line, units) that has a way of at most `most` units.
+
+    Longer runs, which no word of at most `most` units can match, are left out; units that may be
+    silent do not count.
+    """
+    least = F.transform("units", lambda u: F.array_min(F.transform(syllable_variants(u), lambda v: F.size(v["units"]))))
+    before = F.aggregate(least, F.array(F.lit(0)), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + k)))
+    ends = lines.select("line", "units", before.alias("before")).select("line", "units", "before", F.explode(F.when(F.size("units") > 0, F.sequence(F.lit(1), F.size("units")))).alias("t"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("t") - 1), lambda i: F.get("before", F.col("t")) - F.get("before", i) <= most)
+    return ends.select("line", "units", "t", F.explode(starts).alias("i")).select("line", "i", "t", F.slice("units", F.col("i") + 1, F.col("t") - F.col("i")).alias("syllables"))
 
 
 def phrase_breaks(phrase: Column) -> Column:
@@ -23,10 +30,10 @@ def phrase_breaks(phrase: Column) -> Column:
     return let(phrase, lambda ph: F.filter(F.transform(ph, lambda p, i: F.when((i == 0) | (p != F.get(ph, i - 1)), i)), lambda x: x.isNotNull()))
 
 
-def cover(n: Column, breaks: Column, costs: Column, longest: int, parameters: dict | None = None) -> Column:
+def cover(n: Column, breaks: Column, costs: Column, longest: Column | int, parameters: dict | None = None) -> Column:
     """The best cover of n units when words may repeat, as array<struct<i, t, filler, score>>, in order.
 
-    costs: map from i * 65536 + t to the best word's sim. Native: a fold over end positions that
+    costs: map from i * 65536 + t to the best word's sim, whose longest run has `longest` units. Native: a fold over end positions that
     keeps the best (score, choice) of every prefix; of equal scores the earliest start and the
     filler before the word win.
     """

@@ -301,22 +301,22 @@ def kana_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("align_line", lambda spark, d: kana_lines(spark, d).select("song", "line", F.posexplode(align.align_line(F.col("tokens"))).alias("i", "u")).select("song", "line", "i", "u.*"))
-LONGEST = 8
 
 
 def line_costs(spark: SparkSession, sf_dir: str, ranks: int | None = 1) -> tuple[DataFrame, DataFrame]:
-    """Lines with units and breaks, and ranked candidates of every run of up to LONGEST units. Equal runs are scored once."""
+    """Lines with units and breaks, and ranked candidates of every run that some word can match. Equal runs are scored once."""
     numbers = tokens.phrase_numbers(F.transform("tokens", lambda t: t["pos"]))
     toks = F.zip_with("tokens", numbers, lambda t, p: t.withField("phrase", p))
     units = kana_lines(spark, sf_dir).select("song", "line", align.align_line(toks).alias("u"))
     from .plans.store import stored
 
     lines = stored(units.select("song", "line", F.transform("u", lambda x: x["pronunciation"]).alias("units"), segment.phrase_breaks(F.transform("u", lambda x: x["phrase"])).alias("breaks")).withColumn("n", F.size("units")))
-    runs = segment.segments(lines.select(F.struct("song", "line").alias("line"), "units"), LONGEST)
+    words = stored(match_words(spark, sf_dir))
+    most = words.agg(F.max("n_units")).first()[0] or 0
+    runs = segment.segments(lines.select(F.struct("song", "line").alias("line"), "units"), most)
     named = runs.withColumn("target", joined(F.col("syllables")))
     asked = named.select("target", "syllables").distinct()
-    words = match_words(spark, sf_dir).where(F.col("n_units") <= LONGEST)
-    found = distance.nearest(asked, words, distance.unit_matrix(spark), VARIATION_COST)
+    found = distance.nearest(asked, words, distance.unit_matrix(spark), VARIATION_COST, most)
     if ranks is None:  # no song can use up more words than it has units
         ranks = (lines.groupBy("song").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) + 1
     best = distance.top(found, ranks)
@@ -326,9 +326,9 @@ def line_costs(spark: SparkSession, sf_dir: str, ranks: int | None = 1) -> tuple
 
 def segment_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, cands = line_costs(spark, sf_dir)
-    costs = cands.groupBy("song", "line").agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") * 65536 + F.col("t")).alias("k"), F.col("sim").alias("v")))).alias("costs"))
+    costs = cands.groupBy("song", "line").agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") * 65536 + F.col("t")).alias("k"), F.col("sim").alias("v")))).alias("costs"), F.max(F.col("t") - F.col("i")).alias("longest"))
     both = lines.join(costs, ["song", "line"], "left").withColumn("costs", F.coalesce("costs", F.create_map().cast("map<int,double>")))
-    return both.select("song", "line", F.posexplode(segment.cover(F.col("n"), F.col("breaks"), F.col("costs"), LONGEST)).alias("word", "w")).select("song", "line", "word", "w.*")
+    return both.select("song", "line", F.posexplode(segment.cover(F.col("n"), F.col("breaks"), F.col("costs"), F.coalesce("longest", F.lit(1)))).alias("word", "w")).select("song", "line", "word", "w.*")
 
 
 def generate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,7 +351,7 @@ def filler_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines without any candidate: every unit is filler."""
     lines = kana_lines(spark, sf_dir).select("song", "line", F.size("tokens").alias("n"))
     none = F.create_map().cast("map<int,double>")
-    words = segment.cover(F.col("n"), F.array(F.lit(0)), none, LONGEST)
+    words = segment.cover(F.col("n"), F.array(F.lit(0)), none, 1)
     return lines.select("song", "line", F.aggregate(words, F.lit(0.0), lambda a, w: a + w["score"] + 1).alias("cost"))
 
 

@@ -1,6 +1,7 @@
 """The segmentation queries on small tables of their own."""
 
 from hibiki import queries_more
+from hibiki.operators import segment
 
 
 def tables(spark, path, turns, words):
@@ -15,3 +16,17 @@ def test_lines_are_turns(spark, tmp_path):
     for query in (queries_more.segment_dp, queries_more.generate, queries_more.locks):
         got = query(spark, d).select("song", "line").distinct().collect()
         assert sorted((r.song, r.line) for r in got) == [(7, 0), (7, 1), (9, 0)], query
+
+
+def test_words_of_any_length(spark, tmp_path):
+    d = tables(spark, tmp_path, [(7, 0, "user", "aoeaoeaoeao ea")], ["aoeaoeaoeaoe", "sutu"])
+    lines, cands = queries_more.line_costs(spark, d)
+    n = lines.first().n
+    assert n > 8 and [(w.i, w.t, w.filler) for w in queries_more.segment_dp(spark, d).sort("word").collect()] == [(0, n, False)]
+    assert [(w.i, w.t, w.filler) for w in queries_more.generate(spark, d).sort("word").collect()][0] == (0, n, False)
+
+
+def test_silent_units_do_not_count(spark):
+    lines = spark.createDataFrame([(1, ["カ", "ン", "ン", "キ"]), (2, [])], "line long, units array<string>")
+    got = sorted((r.i, r.t) for r in segment.segments(lines, 1).collect())
+    assert got == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
