@@ -5,7 +5,9 @@ from __future__ import annotations
 import collections
 import random
 
-from hibiki.llm import substring
+import pytest
+
+from hibiki.llm import decontam, substring
 
 WORDS = [a + b for a in ("ka", "mo", "ri", "te", "su", "no") for b in ("lan", "der", "vit", "os", "ba", "quen", "zi")]
 
@@ -30,3 +32,22 @@ def test_truncated_copy_beside_two_whole_ones(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.kept) for r in substring.remove_repeats(docs).collect()}
     assert [k for k in want if got[k] != want[k]] == []
+
+
+@pytest.mark.parametrize("unseen", [False, True])
+def test_paraphrases_are_found(spark, unseen):
+    rng = random.Random(8)
+    wide = [a + b for a in WORDS for b in WORDS]
+    items = [(i, " ".join(rng.choices(wide, k=38)) + ". " + " ".join(rng.choices(wide, k=8)) + ".") for i in range(40)]
+    rows, want = [(k, " ".join(rng.choices(wide, k=200))) for k in range(60)], set()
+    for i, t in items:
+        w, answer = decontam.word_list(t), decontam.last_sentence(t)
+        for share in (0.15, 0.25, 0.35):
+            y = [(f"zq{rng.randrange(1 << 24)}" if unseen else rng.choice(wide)) if rng.random() < share else x for x in w]
+            common = decontam.common_words(w, y) / len(w)
+            if common >= decontam.COPY or common >= decontam.PARAPHRASE and decontam.common_words(answer, y) >= decontam.ANSWER * len(answer):
+                want.add((len(rows), i))
+            rows.append((len(rows), " ".join([*rng.choices(wide, k=70), *y, *rng.choices(wide, k=60)])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert len(want) > 80 and want <= got, len(want - got)
