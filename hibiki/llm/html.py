@@ -193,7 +193,7 @@ def _content_size(x: Node) -> int:
 
 def induce(pages: list[str]) -> tuple[list[int], list[list[int]]]:
     """The path of the content root in the first page's tree, as element positions, and the paths of template nodes."""
-    trees = [parse(p) for p in pages]
+    trees = [parse(p) for p in dict.fromkeys(pages)]  # copies of a page would make all its text template
     ref = trees[0]
     same: dict[int, int] = {}
     met: dict[int, int] = {}
@@ -207,20 +207,16 @@ def induce(pages: list[str]) -> tuple[list[int], list[list[int]]]:
     # slot text: own text that is not the same on all aligned pages
     template: list[list[int]] = []
 
-    def size(x: Node, path: list[int], inside: bool) -> int:
+    def size(x: Node, path: list[int]) -> int:
         t = own_text(x)
-        n = len(t)
-        if t and met.get(id(x), 0) + 1 >= AGREE and same.get(id(x), 0) == met[id(x)]:
-            if not inside:
-                template.append(path)
-            n = 0 if not inside else n
-        for i, k in enumerate(elements(x)):
-            if not k.junk:
-                n += size(k, [*path, i], inside or k.tag in ("article", "main"))
+        alike = bool(t) and met.get(id(x), 0) + 1 >= AGREE and same.get(id(x), 0) == met[id(x)]
+        n = (0 if alike else len(t)) + sum(size(k, [*path, i]) for i, k in enumerate(elements(x)) if not k.junk)
+        if alike and not n:  # a node that holds a slot stays
+            template.append(path)
         texts[id(x)] = n
         return n
 
-    size(ref, [], False)
+    size(ref, [])
     at, path = ref, []
     while True:
         kids = [(texts.get(id(k), 0), -i, i, k) for i, k in enumerate(elements(at)) if not k.junk and k.tag in BLOCK]
@@ -258,6 +254,10 @@ def articles(x: Node) -> list[Node]:
     return out
 
 
+def _holds(x: Node, y: Node) -> bool:
+    return x is y or any(_holds(k, y) for k in elements(x))
+
+
 class Wrapper:
     def __init__(self, reference: str, root: list[int], template: list[list[int]]):
         self.tree = parse(reference)
@@ -271,15 +271,16 @@ class Wrapper:
             for p, q in pairs(self.tree, tree, {}):
                 if p is self.root:
                     found = q
-                if id(p) in self.template:
+                if id(p) in self.template and own_text(p) == own_text(q):
                     skip.add(q)
         own = articles(tree)
-        if found is None or found.tag not in ("article", "main") or len(own) > 1:
-            if own:
-                return "\n".join(b for a in own for b in blocks(a))
-            found = found if found is not None and found.tag not in ("#", "html") else _first(tree, "main") or _first(tree, "body") or tree
-            return "\n".join(blocks(found, skip))
-        return "\n".join(blocks(found))
+        if found is not None and found.tag not in ("#", "html", "body"):
+            # of an article that holds the root, the rest belongs to it
+            return "\n".join(blocks(next((a for a in own if _holds(a, found)), found), skip))
+        if own:
+            return "\n".join(b for a in own for b in blocks(a, skip))
+        found = found if found is not None and found.tag == "body" else _first(tree, "main") or _first(tree, "body") or tree
+        return "\n".join(blocks(found, skip))
 
 
 def host_of(url):

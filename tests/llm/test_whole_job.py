@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from hibiki.llm import decontam, substring
+from hibiki.llm import decontam, html, substring
 
 WORDS = [a + b for a in ("ka", "mo", "ri", "te", "su", "no") for b in ("lan", "der", "vit", "os", "ba", "quen", "zi")]
 
@@ -51,3 +51,17 @@ def test_paraphrases_are_found(spark, unseen):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
     assert len(want) > 80 and want <= got, len(want - got)
+
+
+def test_wrapper_decides_within_and_between_articles():
+    rng = random.Random(2)
+    page = "<body><div><article><h1>{}</h1><p>{}</p><p>By <b>{}</b></p><div><p>Read our terms</p></div></article></div><section><article><p>{}</p></article><article><p>{}</p></article></section>"
+    said = [(prose(rng, 3), prose(rng, 60), prose(rng, 2), prose(rng, 4), prose(rng, 4)) for _ in range(5)]
+    pages = [page.format(*x) for x in said]
+    w = html.Wrapper(pages[0], *html.induce(pages[:4]))
+    for x, p in zip(said, pages):
+        assert w.extract(p) == f"{x[0]}\n{x[1]}\nBy {x[2]}"
+    other = pages[4].replace("our terms", "on")
+    assert w.extract(other).endswith("Read on")
+    copies = html.Wrapper(pages[0], *html.induce(pages[:1] * 4))
+    assert said[0][1] in copies.extract(pages[0])
