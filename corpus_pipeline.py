@@ -43,9 +43,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, copied or paraphrased."""
-    hits = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hits, docs.doc_id.eqNullSafe(hits["_hit_id"]), "left_anti")
+    """Drops rows whose text holds a benchmark item, copied or paraphrased.
+
+    A row is told by its id and the hash of its text, so that rows of the same id, null included,
+    with other texts stay; repeated rows go or stay together; null and empty texts stay.
+    """
+    seal = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    hits = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.struct("doc_id", "seal").alias("hit")).distinct()
+    return docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["hit.doc_id"]) & (seal == hits["hit.seal"]), "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
