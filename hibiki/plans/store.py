@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir (a new one where it is unset) and read back."""
+    """df written to the folder of spark.checkpoint.dir (a new one where it is unset in a local session) and read back."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="hibiki-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/hibiki-table-{uuid.uuid4().hex}"
