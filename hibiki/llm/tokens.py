@@ -16,8 +16,11 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -31,12 +34,12 @@ from .common import new_path
 END_ID = 1
 MAGIC = b"HBT1"
 HEADER = struct.Struct("<4sIIIQQ")
-#: Text bytes for each shard, and bytes of ids after which a shard starts a further part.
-SHARD_BYTES, PART_BYTES = 16 << 20, 48 << 20
+#: Text bytes for each shard until there are MOST_SHARDS, which then grow; and bytes of ids after which a shard starts a further part.
+SHARD_BYTES, MOST_SHARDS, PART_BYTES = 16 << 20, 100_000, 32 << 20
 #: Keys of one hash class.
 CLASS_KEYS = 200_000
-#: Words whose ids a worker remembers, and missing words that are encoded at once.
-CACHE_WORDS, ENCODE_WORDS = 600_000, 2_000
+#: Pieces whose ids a worker remembers, in each of two halves.
+CACHE_WORDS = 350_000
 NO_KEY = -(1 << 63)
 
 
@@ -44,57 +47,98 @@ def pack_header(*fields: int) -> bytes:
     return HEADER.pack(MAGIC, *fields)
 
 
-#: A full stop or comma between a letter and a blank: a piece of its own for the tokenizer, so that it may stand apart.
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r]|\Z)")
+#: A word of Latin letters, which the tokenizer's normaliser only lower-cases, and signs after it, which are a piece of their own.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+_ID = attrgetter("id")
 
 
 def split_pieces(text: str | None) -> list[bytes]:
-    """A text's pieces, lower-cased as the tokenizer does it, so that few different ones are left. Text that may hold a special token stays as it is."""
+    """A text's pieces. ASCII is lower-cased, as the tokenizer does it, unless the text may hold a special token."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    if b"<|" not in raw:
-        raw = _STOP.sub(rb" \1", raw.lower())
-    return raw.split()  # bytes split only at the six ASCII blanks
+    return (raw if b"<|" in raw else raw.lower()).split()  # bytes split only at the six ASCII blanks
+
+
+class Pieces(dict):
+    """From a piece of text to its ids as bytes. What is not there comes from the older half of the memory, or from the encoder."""
+
+    def __init__(self, make, older: dict):
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, piece: bytes) -> bytes:
+        raw = self.older.get(piece)
+        if raw is None:
+            raw = self.make(piece)
+        self[piece] = raw
+        return raw
 
 
 class WordEncoder:
-    """A text's ids from a tokenizer that drops case and white space, so that texts encode word by word.
+    """A text's ids from a tokenizer that drops case and white space, so that texts encode piece by piece.
 
-    Ids of words are remembered; missing words of many texts are encoded together in one text
-    and told apart by their offsets. Ids are those of encoding each whole text.
+    Ids of pieces are remembered. A new piece that is a Latin word, with or without signs after
+    it, goes to the tokenizer's model at once, word and signs apart, since its normaliser and
+    pre-tokenizer would only lower and cut it so; other pieces go through the whole tokenizer.
+    Ids are those of encoding each whole text.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.split_word = self.tokenizer.model.tokenize
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.known = Pieces(self._make, {})
         self.end = np.array([END_ID], self.dtype).tobytes()
-
-    def learn(self, words: list[bytes]) -> None:
-        for c in range(0, len(words), ENCODE_WORDS):
-            raw_words = words[c : c + ENCODE_WORDS]
-            some = [w.decode("utf-8", "surrogatepass") for w in raw_words]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(e.ids, self.dtype)
-            at = np.array([a for a, _ in e.offsets], np.int64)
-            starts = np.cumsum(np.array([0, *map(len, some)], np.int64) + 1) - 1
-            cuts = np.searchsorted(at, starts).tolist()
-            raw, wide = ids.tobytes(), self.dtype.itemsize
-            for w, a, b in zip(raw_words, cuts, cuts[1:]):
-                self.known[w] = raw[a * wide : b * wide]
+        bytes_as = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = "".join(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x100)]))
+        #: How the model sees each character.
+        self.seen_as = str.maketrans({c: bytes_as.pre_tokenize_str(c)[0][0] for c in latin})
+        self.plain = True
+        self.plain = self._agrees()
+
+    def _agrees(self) -> bool:
+        """Whether the short way gives the tokenizer's ids, on every letter and sign; another kind of tokenizer takes the long way for all."""
+        tries = ["thereonß", "Éàçø", "don.", "x***", "ab,.;", "a_b", "_"] + [chr(c) + "q" for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)] + [f"o{chr(c)}" for c in range(0x21, 0x7F)]
+        return all(self._make(t.encode()) == self._long(t) for t in tries)
+
+    def _bytes(self, ids) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _long(self, piece: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
+    def _make(self, raw: bytes) -> bytes:
+        piece = raw.decode("utf-8", "surrogatepass")
+        m = _WORD.fullmatch(piece) if self.plain else None
+        if m is None:
+            return self._long(piece)
+        if m[2]:
+            return self.known[m[1].encode()] + self.known[m[2].encode()]
+        if not piece.isascii():
+            piece = piece.lower().translate(self.seen_as)
+        elif not piece.islower():
+            piece = piece.lower()
+        return self._bytes(map(_ID, self.split_word(piece)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as bytes, the end id appended."""
-        split = [split_pieces(t) for t in texts]
-        missing = set().union(*split).difference(self.known)
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known.clear()
-            missing = set().union(*split)
-        self.learn(sorted(missing))
+        """Each text's ids as bytes, the end id appended. Of a full memory the older half goes."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.older = {}
+            self.known = Pieces(self._make, self.known)
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) + self.end for w in split]
+        return [b"".join(map(get, split_pieces(t))) + self.end for t in texts]
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        """Each text's number of ids, with the end id."""
+        return [len(x) // self.dtype.itemsize for x in self.encode(texts)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -120,16 +164,17 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     """Encodes every text and writes shards and key files under path, keys in ascending order over the shards.
 
     Null text counts as empty and gives the end id alone. A null key comes first and is stored
-    as the smallest long. Equal keys stay together, ordered by the hash of their text. An empty
-    table writes no file.
+    as the smallest long. Equal keys are ordered by the hash of their text, and may go on in the
+    next shard, so that no key makes a shard too large. An empty table writes no file.
     """
     if not shards:
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         if size > 1 << 50:  # Spark does not know
             size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-        shards = max(1, -(-size // SHARD_BYTES))
+        shards = max(1, min(-(-size // SHARD_BYTES), MOST_SHARDS))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shards, "key").sortWithinPartitions("key", F.xxhash64("text"))
+    seal = F.xxhash64("text")
+    rows = rows.repartitionByRange(shards, "key", seal).sortWithinPartitions("key", seal)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, sub = encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -300,8 +345,8 @@ def write_index(spark: SparkSession, path: str) -> int:
     return classes
 
 
-def lookup(keys: DataFrame, path: str, classes: int) -> DataFrame:
-    """(key, shard, sub, at, n_tokens) of those of keys(key) that the index has."""
+def lookup(keys: DataFrame, path: str, classes: int, whole: bool = False) -> DataFrame:
+    """(key, shard, sub, at, n_tokens) of those of keys(key) that the index has. whole: a key that it has not is an error."""
     spark = keys.sparkSession
     blobs = _blobs(spark, f"{path}/index", "index")
     if blobs is None:
@@ -310,11 +355,13 @@ def lookup(keys: DataFrame, path: str, classes: int) -> DataFrame:
     asked = keys.select("key").distinct().withColumn("class", F.pmod(F.xxhash64("key"), F.lit(classes)).cast("int"))
 
     def find(k: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if not len(i) or not len(k):
+        if not len(k):
             return pd.DataFrame({"key": [], "shard": [], "sub": [], "at": [], "n_tokens": []})
         keys_ = k["key"].to_numpy()
-        there, rec = find_in_class(bytes(i["content"].iloc[0])[4:], keys_)
-        rec = rec[there]
+        there, rec = find_in_class(bytes(i["content"].iloc[0])[4:], keys_) if len(i) else (np.zeros(len(keys_), bool), np.zeros(0, SLOT))
+        if whole and not there.all():
+            raise ValueError(f"the index has no record of {int((~there).sum())} keys, of {keys_[~there][0]} for one")
+        rec = rec[there] if len(rec) else rec
         return pd.DataFrame({"key": keys_[there], "shard": rec["shard"], "sub": rec["sub"], "at": rec["at"], "n_tokens": rec["n"].astype("int64")})
 
     return asked.groupBy("class").cogroup(index.groupBy("class")).applyInPandas(find, PLACE)
@@ -329,18 +376,44 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
     return sums.select("shard", "sub", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
 
 
-def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes shards and index to the shared folder, reads them back: (doc_id, start, n_tokens, ids_crc32) of every row.
+def read_back(keys: DataFrame, path: str, classes: int) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every record under path, keys(key) being all keys put in.
 
-    A key's first record is placed by the index, repeated and null keys by the shard's directory.
+    The index says where a key's first record lies, and so which payload, of how many ids, at
+    which start, is that key's. Records that it need not know, of repeated and null keys, are
+    named by the shard's directory. A place that holds no record, or one of another key or
+    length, is an error, and so is a key that the index does not know.
     """
+    spark = keys.sparkSession
+    found = lookup(keys.where("key IS NOT NULL"), path, classes, whole=True)
+    found = found.select("shard", "sub", "at", F.col("key").alias("named"), F.col("n_tokens").alias("long"))
+    rec = records(spark, path).withColumnRenamed("key", "own")
+    both = rec.join(found, ["shard", "sub", "at"], "full")
+    wrong = F.col("named").isNotNull() & (F.col("own").isNull() | (F.col("own") != F.col("named")) | (F.col("n_tokens") != F.col("long")))
+    key = F.when(wrong, F.raise_error(F.concat(F.lit("the index leads to a wrong record for key "), F.col("named").cast("string"))).cast("long")).otherwise(F.coalesce("named", F.nullif("own", F.lit(NO_KEY))))
+    return both.join(starts(spark, path), ["shard", "sub"], "left").select(key.alias("doc_id"), (F.col("base") + F.col("at")).alias("start"), F.coalesce("long", "n_tokens").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+
+
+def tokenized(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes shards and index to the shared folder, reads them back: (doc_id, start, n_tokens, ids_crc32) of every row."""
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
     write_shards(docs, tokenizer, path, id_col, text_col)
     classes = write_index(spark, path)
-    found = lookup(docs.select(F.col(id_col).cast("long").alias("key")).where("key IS NOT NULL"), path, classes)
-    found = found.select("key", "shard", "sub", F.col("at").alias("place"))
-    rec = records(spark, path).join(starts(spark, path), ["shard", "sub"])
-    both = rec.join(found, ["key", "shard", "sub"], "left")
-    place = F.when(F.col("place") == F.col("at"), F.col("place")).otherwise(F.col("at"))
-    return both.select(F.nullif("key", F.lit(NO_KEY)).alias("doc_id"), (F.col("base") + place).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32"))
+    return read_back(docs.select(F.col(id_col).cast("long").alias("key")), path, classes)
+
+
+def counted(docs: DataFrame, tokenizer: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns `keep` and n_tokens long, the number of ids of each row's text with the end id; null text counts as empty."""
+    from pyspark.sql.types import LongType, StructType
+
+    schema = StructType([*docs.select(*keep).schema, *StructType().add("n_tokens", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for b in batches:
+            texts = b.column(len(keep)).to_pylist()
+            n = [x for c in range(0, len(texts), 500) for x in enc.count(texts[c : c + 500])]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int64())], [*keep, "n_tokens"])
+
+    return docs.select(*keep, F.col(text_col).cast("string").alias("_text_to_count")).mapInArrow(run, schema)

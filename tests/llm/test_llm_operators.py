@@ -157,6 +157,40 @@ def test_tokens(spark, docs, nothing):
     assert tokens.tokenized(nothing, path).count() == 0
 
 
+def test_index_decides(spark, docs):
+    """A slot that leads elsewhere, and a key that the index has not, are errors."""
+    import glob
+    import os
+
+    public = pytest.importorskip("public_tokenizers")
+    path = tokens.new_path(spark, "broken")
+    tokens.write_shards(docs, public.path("word_bpe_49k.json"), path)
+    classes = tokens.write_index(spark, path)
+    keys = docs.select(F.col("doc_id").alias("key"))
+    assert tokens.read_back(keys, path, classes).count() == docs.count()
+    with pytest.raises(Exception, match="no record"):
+        tokens.read_back(keys.unionByName(spark.createDataFrame([(123456,)], "key long")), path, classes).collect()
+    [name] = [n for n in glob.glob(path.removeprefix("file://") + "/index/kind=index/sub=*/part*") if os.path.getsize(n)]
+    raw = bytearray(open(name, "rb").read())
+    size = tokens.SLOT.itemsize
+    last = len(raw) - 1 - size  # the byte that ends the record comes last
+    slot = np.frombuffer(bytes(raw[last : last + size]), tokens.SLOT).copy()
+    slot["at"] += 1
+    raw[last : last + size] = slot.tobytes()
+    open(name, "wb").write(raw)
+    for crc in glob.glob(os.path.dirname(name) + "/.*.crc"):
+        os.remove(crc)
+    with pytest.raises(Exception, match="wrong record"):
+        tokens.read_back(keys, path, classes).collect()
+
+
+def test_counted(docs):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    got = sorted((r.doc_id or -1, r.n_tokens) for r in tokens.counted(docs, path, ["doc_id"]).collect())
+    assert got == sorted((r.doc_id or -1, r.n_tokens) for r in tokens.tokenized(docs, path).collect())
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 20_000))
