@@ -271,6 +271,7 @@ def test_packing(spark, docs, nothing):
             end = a + n
         assert end <= c and c == min(x for x in (16, 32, 64) if x >= end)
     assert sum(p[0][2] for p in used.values()) < 1.1 * sum(lengths)
+    assert len({c for c in caps}) > 1  # several capacities are in use
     got = packing.pack(docs, capacities=(32, 64), block_pieces=50).collect()
     total = collections.Counter()
     for r in got:
@@ -283,6 +284,34 @@ def test_packing(spark, docs, nothing):
         packing.pack_lengths([65], (64,))
 
 
+def test_packing_plan_against_every_plan():
+    """The joint choice costs no more than any one capacity, and near the least cost of all partitions of a few pieces."""
+
+    def partitions(items):
+        if not items:
+            yield []
+            return
+        for p in partitions(items[1:]):
+            yield [[items[0]], *p]
+            for i in range(len(p)):
+                yield [*p[:i], [items[0], *p[i]], *p[i + 1 :]]
+
+    rng, caps = random.Random(6), (16, 32, 64)
+    worst = 0.0
+    for _ in range(60):
+        lengths = [rng.randint(1, 40) for _ in range(rng.randint(1, 7))]
+        price = {c: packing.bin_price(c, 3, 256) for c in caps}
+        cost = lambda bins: sum(min((price[c] for c in caps if c >= sum(b)), default=1e9) for b in bins)
+        where, _, final = packing.pack_lengths(lengths, caps, 3, 256)
+        mine = sum(price[c] for c in dict(zip(where, final)).values())
+        best = min(map(cost, partitions(lengths)))
+        assert mine >= best - 1e-9
+        worst = max(worst, mine / best)
+        order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+        assert mine <= packing._plan(lengths, order, [64], price, list(caps))[0] + 1e-9
+    assert worst < 1.25, worst
+
+
 # -- classifiers
 
 
