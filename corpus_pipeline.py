@@ -54,8 +54,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all texts and their places in training sequences."""
-    return packing.pack(docs)
+    """The pieces of all texts, measured in token ids, and their places in training sequences.
+
+    Null and empty texts have length 1, their end id; rows with repeated or null ids are packed
+    one by one; no rows give no pieces.
+    """
+    import public_tokenizers
+
+    return packing.pack(docs, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
