@@ -2,11 +2,20 @@
 
 The DOM trees of a host's sample pages are aligned with a reference page of the host by simple
 tree matching. Nodes whose aligned text is the same on all sample pages become template; nodes
-whose text varies are slots. The content root is the deepest node that holds most slot text
-outside boilerplate elements. Every page of the host is then aligned with the reference, and
-the node that matches the content root gives its text; where none matches, the page's own
-article, or its body, does. A sample is at most SAMPLES pages, one for each class of the page
-hash, so that it is found by aggregation and stays small however many pages a host has.
+whose text varies are slots. The content root is found by descending from the body to the child
+that holds most slot text, as long as no heading or paragraph beside it holds slot text, too.
+Every page of the host is then aligned with the reference: the node that matches the content
+root gives its text, without the nodes that match the template. A page that has no such node,
+or whose host has no other page, finds its root by the same descent over its own text.
+
+Words of class, id and role and the kinds of elements are hints: text under a hint counts less
+in the descent, and what a hint marks below the root is left out unless it holds most of the
+root's text. No hint hides the root or what it lies in. A sample is at most SAMPLES pages, one
+for each class of the page hash, so that it is found by aggregation and stays small however
+many pages a host has.
+
+Nothing here recurs: pages may be nested as deeply as they like. Trees are compared by shape,
+an interned number for a tag and its children's shapes, so that equal subtrees match at once.
 """
 
 from __future__ import annotations
@@ -15,6 +24,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,16 +46,21 @@ BLOCK = frozenset("address article aside blockquote body caption dd details dial
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _HOLDS = {"li": frozenset(["ul", "ol"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]), "option": frozenset(["select"])}
 SKIPPED = frozenset("script style textarea title noscript template iframe head nav header footer aside form button select input svg object audio video canvas dialog menu".split())
-#: Words of class, id or role that mark boilerplate.
+#: Elements that no hint ever marks, and those that look like the content.
+NEVER, LIKELY = frozenset("html body main article".split()), frozenset("main article".split())
+#: What text under a hint and text in a likely element count beside other text in the descent, and the share that a child needs.
+HINTED, LIKED, SHARE = 0.2, 4.0, 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: Words of class, id or role that hint at boilerplate.
 MARKS = frozenset("ad ads adbox advert advertisement adverts sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside notice notices cookie cookies consent gdpr popup modal alert subscribe newsletter signup login comment comments disqus reply replies discussion share sharing social related recommended widget toolbar search complementary contentinfo".split())
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "junk", "flag")
+    __slots__ = ("tag", "kids", "hint", "shape", "size")
 
-    def __init__(self, tag: str, junk: bool = False):
-        self.tag, self.kids, self.junk, self.flag = tag, [], junk, False
+    def __init__(self, tag: str, hint: bool = False):
+        self.tag, self.kids, self.hint, self.shape, self.size = tag, [], hint, -1, 0
 
 
 def parse(html: str) -> Node:
@@ -78,7 +93,7 @@ def parse(html: str) -> Node:
             marks = ()
             if attrs:
                 marks = {w for a in _NAMES.finditer(attrs) for w in _SPLIT.split((a[2] or a[3] or a[4] or "").lower())}
-            node = Node(name, name in SKIPPED or bool(marks) and not MARKS.isdisjoint(marks))
+            node = Node(name, name not in NEVER and (name in SKIPPED or bool(marks) and not MARKS.isdisjoint(marks)))
             if name in _RAW:
                 end = _RAW[name].search(html, pos)
                 pos = end.end() if end else n
@@ -99,15 +114,42 @@ def parse(html: str) -> Node:
                     if stack[i].tag in _HOLDS[name]:
                         break
             stack[-1].kids.append(node)
-            if name not in VOID and not attrs.endswith("/"):
+            if name not in VOID:  # a slash at the end of another start tag means nothing
                 stack.append(node)
     return root
 
 
-def blocks(node: Node, skip=None) -> list[str]:
-    """Texts of a subtree's blocks in page order: references decoded, white space one space, no boilerplate."""
+def own_text(x: Node) -> str:
+    return "".join(k for k in x.kids if type(k) is str).strip()
+
+
+def elements(x: Node) -> list[Node]:
+    return [k for k in x.kids if type(k) is not str]
+
+
+def preorder(root: Node) -> list[Node]:
+    out, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        out.append(x)
+        stack += reversed(elements(x))
+    return out
+
+
+def measure(root: Node, plain=()) -> list[Node]:
+    """Sets size, the characters of text in each subtree, blanks at the ends aside; nodes in plain count none of their own. Returns the nodes in preorder."""
+    nodes = preorder(root)
+    for x in reversed(nodes):
+        x.size = (0 if x in plain else len(own_text(x))) + sum(k.size for k in x.kids if type(k) is not str)
+    return nodes
+
+
+def blocks(node: Node, skip=frozenset()) -> list[str]:
+    """Texts of a subtree's blocks in page order: references decoded, white space one space. Without nodes in skip, and hinted ones unless they hold most of the text."""
     out: list[str] = []
     run: list[str] = []
+    measure(node)
+    most = node.size / 2
 
     def end():
         text = " ".join("".join(run).split())
@@ -115,116 +157,227 @@ def blocks(node: Node, skip=None) -> list[str]:
         if text:
             out.append(text)
 
-    def walk(x):
-        for k in x.kids:
-            if type(k) is str:
-                run.append(unescape(k))
-            elif k.tag == "br":
-                run.append(" ")
-            elif k.junk or (skip is not None and k in skip):
-                if k.tag in BLOCK:
-                    end()
-            elif k.tag in BLOCK:
+    stack: list = list(reversed(node.kids))
+    while stack:
+        k = stack.pop()
+        if type(k) is str:
+            run.append(unescape(k))
+        elif k is None:
+            end()
+        elif k.tag == "br":
+            run.append(" ")
+        elif k in skip or (k.hint and k.size <= most):
+            if k.tag in BLOCK:
                 end()
-                walk(k)
+        else:
+            if k.tag in BLOCK:
                 end()
-            else:
-                walk(k)
-
-    walk(node)
+                stack.append(None)
+            stack += reversed(k.kids)
     end()
     return out
 
 
-def own_text(x: Node) -> str:
-    return "".join(k for k in x.kids if type(k) is str).strip()
-
-
-def elements(x: Node) -> list[Node]:
-    return [k for k in x.kids if type(k) is not str]
-
-
-#: Children of a node that are aligned pairwise; of longer lists, equal numbers from front and back.
-WIDE = 60
-
-
-def match(a: Node, b: Node, memo: dict | None = None) -> int:
-    """Simple tree matching: the most node pairs of an order-keeping, root-to-root matching."""
-    if a.tag != b.tag:
-        return 0
-    memo = {} if memo is None else memo
-    if (key := (id(a), id(b))) in memo:
-        return memo[key][0]
-    x, y = elements(a), elements(b)
-    rows = [[0] * (len(y) + 1)]
-    for p in x:
-        last, row = rows[-1], [0]
-        for j, q in enumerate(y):
-            w = match(p, q, memo) if p.tag == q.tag and len(x) * len(y) <= WIDE * WIDE else 1 if p.tag == q.tag else 0
-            row.append(max(row[j], last[j + 1], last[j] + w))
-        rows.append(row)
-    memo[key] = (rows[-1][-1] + 1, rows, x, y)
-    return memo[key][0]
-
-
-def pairs(a: Node, b: Node, memo: dict) -> Iterator[tuple[Node, Node]]:
-    """The matched nodes of a best matching."""
-    if a.tag != b.tag:
-        return
-    match(a, b, memo)
-    yield a, b
-    _, rows, x, y = memo[id(a), id(b)]
-    i, j, found = len(x), len(y), []
-    while i and j:
-        if x[i - 1].tag == y[j - 1].tag and rows[i][j] != rows[i - 1][j] and rows[i][j] != rows[i][j - 1]:
-            found.append((x[i - 1], y[j - 1]))
-            i, j = i - 1, j - 1
-        elif rows[i - 1][j] >= rows[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    for p, q in reversed(found):
-        yield from pairs(p, q, memo)
-
-
-def _content_size(x: Node) -> int:
-    return sum(map(len, blocks(x)))
+class Shapes:
+    """Numbers for tree shapes: a tag and the children's shapes. Leaves of a tag share one."""
+
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.tag: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.memo: dict[tuple[int, int], int] = {}
+
+    def mark(self, root: Node) -> None:
+        for x in reversed(preorder(root)):
+            key = (x.tag, *(k.shape for k in x.kids if type(k) is not str))
+            n = self.number.get(key)
+            if n is None:
+                n = self.number[key] = len(self.tag)
+                self.tag.append(x.tag)
+                self.kids.append(key[1:])
+                self.size.append(1 + sum(self.size[k] for k in key[1:]))
+            x.shape = n
+
+    def known(self, a: int, b: int) -> int | None:
+        """The matching of two shapes, if it needs no search or has been searched."""
+        if self.tag[a] != self.tag[b]:
+            return 0
+        if a == b:
+            return self.size[a]
+        if not self.kids[a] or not self.kids[b]:
+            return 1
+        return self.memo.get((a, b))
+
+    def match(self, a: int, b: int) -> int:
+        """Simple tree matching: the most node pairs of an order-keeping, root-to-root matching."""
+        got = self.known(a, b)
+        if got is not None:
+            return got
+        stack = [(a, b)]
+        while stack:
+            p, q = stack[-1]
+            if (p, q) in self.memo:
+                stack.pop()
+                continue
+            x, y, i, j = self.trimmed(p, q)
+            open_ = [(u, v) for u in set(x) for v in set(y) if self.known(u, v) is None]
+            if open_:
+                stack += open_
+                continue
+            stack.pop()
+            same = self.kids[p][:i] + self.kids[p][len(self.kids[p]) - j :]
+            last = self.last_row(x, y)
+            self.memo[p, q] = 1 + sum(self.size[k] for k in same) + int(last[-1])
+        return self.memo[a, b]
+
+    def trimmed(self, p: int, q: int) -> tuple[tuple[int, ...], tuple[int, ...], int, int]:
+        """The children between those in front and those at the end that are alike, and the numbers of these: two equal shapes that meet there always match in a best matching."""
+        x, y = self.kids[p], self.kids[q]
+        n = min(len(x), len(y))
+        i = 0
+        while i < n and x[i] == y[i]:
+            i += 1
+        j = 0
+        while j < n - i and x[len(x) - 1 - j] == y[len(y) - 1 - j]:
+            j += 1
+        return x[i : len(x) - j], y[i : len(y) - j], i, j
+
+    def weights(self, u: int, values: list[int], place: np.ndarray) -> np.ndarray:
+        return np.array([self.match(u, v) for v in values], np.int32)[place]
+
+    def last_row(self, x, y) -> np.ndarray:
+        """Best matchings of all of x with each prefix of y."""
+        row = np.zeros(len(y) + 1, np.int32)
+        if not x or not y:
+            return row
+        values, place = np.unique(np.array(y), return_inverse=True)
+        values, rows = values.tolist(), {}
+        for u in x:
+            if u not in rows:
+                rows[u] = self.weights(u, values, place)
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + rows[u]))
+        return row
+
+    #: Cells of a table that is kept whole; of larger ones only rows are kept, and the lists are halved.
+    CELLS = 1 << 20
+
+    def path(self, x: tuple[int, ...], y: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of the matched children of a best matching, in order."""
+        out, stack = [], [(0, len(x), 0, len(y))]
+        while stack:
+            a, b, c, d = stack.pop()
+            if a == b or c == d:
+                continue
+            if b - a > 1 and (b - a) * (d - c) > self.CELLS:
+                mid = (a + b) // 2
+                ahead = self.last_row(x[a:mid], y[c:d])
+                behind = self.last_row(x[mid:b][::-1], y[c:d][::-1])[::-1]
+                cut = c + int(np.argmax(ahead + behind))
+                stack += [(mid, b, cut, d), (a, mid, c, cut)]  # the first part is taken next
+                continue
+            values, place = np.unique(np.array(y[c:d]), return_inverse=True)
+            table = np.zeros((b - a + 1, d - c + 1), np.int32)
+            rows: dict[int, np.ndarray] = {}
+            for i in range(b - a):
+                u = x[a + i]
+                if u not in rows:
+                    rows[u] = self.weights(u, values.tolist(), place)
+                table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + rows[u]))
+            i, j, found = b - a, d - c, []
+            while i and j:
+                if table[i, j] == table[i - 1, j]:
+                    i -= 1
+                elif table[i, j] == table[i, j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    found.append((a + i, c + j))
+            out += reversed(found)
+        return out
+
+
+def pairs(a: Node, b: Node, shapes: Shapes) -> Iterator[tuple[Node, Node]]:
+    """The matched nodes of a best matching of two marked trees."""
+    stack = [(a, b)] if a.tag == b.tag else []
+    while stack:
+        p, q = stack.pop()
+        yield p, q
+        x, y = elements(p), elements(q)
+        if not x or not y:
+            continue
+        if p.shape == q.shape:
+            stack += reversed(list(zip(x, y)))
+            continue
+        shapes.match(p.shape, q.shape)
+        mid_x, mid_y, i, j = shapes.trimmed(p.shape, q.shape)
+        both = [*zip(x[:i], y[:i]), *((x[i + u], y[i + v]) for u, v in shapes.path(mid_x, mid_y)), *zip(x[len(x) - j :], y[len(y) - j :])]
+        stack += reversed(both)
+
+
+def content_root(tree: Node, slot: dict[Node, float]) -> Node:
+    """The descent: slot gives each node's own slot text; a tree without any keeps its top."""
+    nodes = preorder(tree)
+    weight: dict[Node, float] = {}
+    for x in reversed(nodes):
+        weight[x] = slot.get(x, 0) + sum(weight[k] * (HINTED if k.hint else LIKED if k.tag in LIKELY else 1.0) for k in x.kids if type(k) is not str)
+    at = tree
+    while True:
+        own = [k for k in elements(at) if k.tag in BLOCK or k.tag in ("html", "body", "center", "font", "span", "a", "b")]
+        told = lambda k: weight[k] * (HINTED if k.hint else LIKED if k.tag in LIKELY else 1.0)
+        best = max(own, default=None, key=told)
+        # a paragraph is a slot of the content, not its root
+        if best is None or not weight[best] or told(best) < SHARE * weight[at] or not any(k.tag in BLOCK for k in elements(best)) and best.tag not in LIKELY:
+            return at
+        if any(k is not best and k.tag in HEADINGS and not k.hint and weight[k] for k in elements(at)):
+            return at
+        at = best
 
 
 def induce(pages: list[str]) -> tuple[list[int], list[list[int]]]:
     """The path of the content root in the first page's tree, as element positions, and the paths of template nodes."""
     trees = [parse(p) for p in dict.fromkeys(pages)]  # copies of a page would make all its text template
-    ref = trees[0]
-    same: dict[int, int] = {}
-    met: dict[int, int] = {}
-    texts: dict[int, int] = {}
+    shapes, ref = Shapes(), trees[0]
+    for t in trees:
+        shapes.mark(t)
+    same: dict[Node, int] = {}
+    met: dict[Node, int] = {}
+    slot: dict[Node, float] = {x: len(own_text(x)) for x in preorder(ref)}
     for other in trees[1:]:
-        memo: dict = {}
-        for p, q in pairs(ref, other, memo):
-            met[id(p)] = met.get(id(p), 0) + 1
-            if own_text(p):
-                same[id(p)] = same.get(id(p), 0) + (own_text(p) == own_text(q))
-    # slot text: own text that is not the same on all aligned pages
+        to: dict[Node, Node] = {}
+        for p, q in pairs(ref, other, shapes):
+            to[q] = p
+            met[p] = met.get(p, 0) + 1
+            same[p] = same.get(p, 0) + (own_text(p) == own_text(q))
+        stack = [(other, ref)]  # text of what has no match counts for the nearest node above that has one
+        while stack:
+            x, near = stack.pop()
+            near = to.get(x, near)
+            slot[near] = slot.get(near, 0) + len(own_text(x))
+            stack += [(k, near) for k in elements(x)]
+    alike = {p for p, n in met.items() if n + 1 >= AGREE and same[p] == n and own_text(p)}
+    for p in alike:
+        slot[p] = 0.0
+    nodes = preorder(ref)
+    held: dict[Node, float] = {}
+    for x in reversed(nodes):
+        held[x] = slot.get(x, 0) + sum(held[k] for k in elements(x))
+    root = content_root(ref, slot)
     template: list[list[int]] = []
-
-    def size(x: Node, path: list[int]) -> int:
-        t = own_text(x)
-        alike = bool(t) and met.get(id(x), 0) + 1 >= AGREE and same.get(id(x), 0) == met[id(x)]
-        n = (0 if alike else len(t)) + sum(size(k, [*path, i]) for i, k in enumerate(elements(x)) if not k.junk)
-        if alike and not n:  # a node that holds a slot stays
+    at: list[int] | None = None
+    stack = [(ref, [])]
+    while stack:
+        x, path = stack.pop()
+        if x is root:
+            at = path
+        if x in alike and not held[x] and len(path) <= MOST_DEPTH:  # a node that holds a slot stays
             template.append(path)
-        texts[id(x)] = n
-        return n
+        stack += [(k, [*path, i]) for i, k in enumerate(elements(x))]
+    return at or [], template
 
-    size(ref, [])
-    at, path = ref, []
-    while True:
-        kids = [(texts.get(id(k), 0), -i, i, k) for i, k in enumerate(elements(at)) if not k.junk and k.tag in BLOCK]
-        best = max(kids, default=None, key=lambda x: x[:2])
-        # a paragraph is a slot of the content, not its root
-        if not best or best[0] == 0 or best[0] < 0.8 * texts[id(at)] or not any(k.tag in BLOCK for k in elements(best[3])):
-            return path, template
-        at, path = best[3], [*path, best[2]]
+
+#: Nodes deeper than this are no template: their paths would take more room than their text.
+MOST_DEPTH = 500
 
 
 def _at(x: Node, path: list[int]) -> Node | None:
@@ -236,51 +389,32 @@ def _at(x: Node, path: list[int]) -> Node | None:
     return x
 
 
-def _first(x: Node, tag: str) -> Node | None:
-    for k in elements(x):
-        if not k.junk:
-            got = k if k.tag == tag else _first(k, tag)
-            if got is not None:
-                return got
-    return None
-
-
-def articles(x: Node) -> list[Node]:
-    """The page's outermost article elements outside boilerplate."""
-    out = []
-    for k in elements(x):
-        if not k.junk:
-            out += [k] if k.tag == "article" else articles(k)
-    return out
-
-
-def _holds(x: Node, y: Node) -> bool:
-    return x is y or any(_holds(k, y) for k in elements(x))
-
-
 class Wrapper:
+    #: Shapes that pages may add before the numbering starts anew.
+    MOST_SHAPES = 20_000
+
     def __init__(self, reference: str, root: list[int], template: list[list[int]]):
         self.tree = parse(reference)
-        self.root = _at(self.tree, root)
-        self.template = {id(_at(self.tree, p)) for p in template}
+        self.root = _at(self.tree, root) if root else None
+        self.template = {_at(self.tree, p) for p in template}
+        self.shapes = None
 
     def extract(self, html: str) -> str:
         tree = parse(html)
+        if self.shapes is None or len(self.shapes.tag) > self.MOST_SHAPES:
+            self.shapes = Shapes()
+            self.shapes.mark(self.tree)
+        self.shapes.mark(tree)
         found, skip = None, set()
-        if self.root is not None:
-            for p, q in pairs(self.tree, tree, {}):
-                if p is self.root:
-                    found = q
-                if id(p) in self.template and own_text(p) == own_text(q):
-                    skip.add(q)
-        own = articles(tree)
-        if found is not None and found.tag not in ("#", "html", "body"):
-            # of an article that holds the root, the rest belongs to it
-            return "\n".join(blocks(next((a for a in own if _holds(a, found)), found), skip))
-        if own:
-            return "\n".join(b for a in own for b in blocks(a, skip))
-        found = found if found is not None and found.tag == "body" else _first(tree, "main") or _first(tree, "body") or tree
-        return "\n".join(blocks(found, skip))
+        for p, q in pairs(self.tree, tree, self.shapes):
+            if p is self.root:
+                found = q
+            if p in self.template and own_text(p) == own_text(q):
+                skip.add(q)
+        if found is None:
+            found = content_root(tree, {x: 0 if x in skip else len(own_text(x)) for x in preorder(tree)})
+        # where all of the content is alike on the samples, it is content all the same
+        return "\n".join(blocks(found, skip) or blocks(found))
 
 
 def host_of(url):

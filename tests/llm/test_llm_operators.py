@@ -421,8 +421,102 @@ def test_html(spark):
 
 
 def test_tree_matching():
-    a, b = html.parse("<div><p>x</p><ul><li>1</ul></div>"), html.parse("<div><ul><li>1<li>2</ul><p>y</p></div>")
-    assert html.match(a, b) == 4 and html.match(a, a) == 5
+    def slow(a, b):
+        if a.tag != b.tag:
+            return 0
+        x, y = html.elements(a), html.elements(b)
+        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                t[i + 1][j + 1] = max(t[i][j + 1], t[i + 1][j], t[i][j] + slow(p, q))
+        return t[-1][-1] + 1
+
+    rng = random.Random(5)
+
+    def tree(depth):
+        x = html.Node(rng.choice("ab"))
+        x.kids = [tree(depth - 1) for _ in range(rng.randint(0, 4))] if depth else []
+        return x
+
+    for cells in (1, 1 << 20):  # with the lists halved, and with whole tables
+        for _ in range(60):
+            a, b = tree(3), tree(3)
+            a.tag = b.tag = "r"
+            shapes = html.Shapes()
+            shapes.CELLS = cells
+            shapes.mark(a)
+            shapes.mark(b)
+            assert shapes.match(a.shape, b.shape) == slow(a, b) == len(list(html.pairs(a, b, shapes)))
+
+
+def plain_article(page):
+    """The text of the page's article by a parser of its own, for pages of one article with paragraphs and headings alone."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.out = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.out += [""] if tag in ("h1", "p", "article") else []
+            self.out[-1] += " " if tag == "br" else ""
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            self.out += [""] if tag in ("h1", "p") else []
+
+        def handle_data(self, data):
+            self.out[-1] += data if self.inside else ""
+
+    parser = Article()
+    parser.feed(page or "")
+    parser.close()
+    return "\n".join(x for x in (" ".join(t.split()) for t in parser.out) if x)
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_op5_query_against_a_parser(spark):
+    from hibiki.llm import queries
+
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = queries.op5_html(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(pages) and all(r.text == plain_article(pages[r.page_id]) and r.n_chars == len(r.text) for r in got)
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_wrapper_needs_no_lists(spark, monkeypatch):
+    """Template and slots alone find the articles of the test pages, hints of words and elements put aside."""
+    by = collections.defaultdict(list)
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        by[r.url.split("/")[2]].append(r.html)
+    for name in ("MARKS", "SKIPPED", "LIKELY"):
+        monkeypatch.setattr(html, name, frozenset())
+    right = total = 0
+    for pages in by.values():
+        w = html.Wrapper(pages[0], *html.induce(pages[:6]))
+        right += sum(w.extract(p) == plain_article(p) for p in pages)
+        total += len(pages)
+    assert right >= 0.9 * total, (right, total)
+
+
+@pytest.mark.parametrize("around", ["<div class='layout with-sidebar'>{}</div>", "<body class='search-open'>{}", "{}"])
+def test_hints_never_hide_the_article(around):
+    rng = random.Random(3)
+    pages = [around.format(f"<nav>{prose(rng, 4)}</nav><article class='category-social'><h1>{prose(rng, 3)}</h1><p>{prose(rng, 40)}</p><p>Subscribe to this</p><p class='share'>{prose(rng, 2)}</p></article><footer>{prose(rng, 5)}</footer>") for _ in range(5)]
+    for some in (pages, pages[:1]):
+        w = html.Wrapper(some[0], *html.induce(some))
+        for p in some:
+            want = plain_article(p).split("\n")
+            assert w.extract(p).split("\n") == (want[:2] if len(some) > 1 else want[:3])  # the line that all pages share is template
+
+
+def test_deep_and_wide_pages():
+    deep = "<body>" + "<div>" * 5_000 + "deep down"
+    assert html.Wrapper(deep, *html.induce([deep, deep + "!", deep + "?"])).extract(deep + " here") == "deep down here"
+    wide = lambda n: "<body><ul>" + "".join(f"<li>{i}{'<p>x</p>' if i % 7 == n else ''}" for i in range(1_500)) + "</ul>"
+    assert html.Wrapper(wide(1), *html.induce([wide(1), wide(2)])).extract(wide(3)).startswith("0\n1\n2\n3\nx")
 
 
 def test_urls(spark):
