@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Every rule is a predicate over text features that is true where a document is to be rejected.
-`order_rules` measures each rule's run time and rejection share on a bounded sample, and
+`order_rules` measures each rule's run time and rejection share on a sample of the rows, and
 `cascade` evaluates the rules in order of rejections per cost inside one CASE, whose later
-branches are not evaluated once a rule has fired. The order never changes the verdict.
+branches are not evaluated once a rule has fired. A text is split into words once; features
+that only later rules need are computed in their branches. The order never changes the verdict.
 
 Null text counts as empty. Empty tables give empty results. Repeated rows are judged alike.
 """
@@ -17,26 +18,27 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import let, stored, words
 
 SYMBOLS = "#*$%&|<>"
 
 
-def feature_columns(text: Column) -> dict[str, Column]:
-    """Each feature as an expression on the text."""
+def feature_columns(text: Column, w: Column | None = None) -> dict[str, Column]:
+    """Each feature as an expression on the text, and on its words w where they are at hand."""
     text = F.coalesce(text, F.lit(""))
+    of_words = (lambda body: let(words(text), body)) if w is None else (lambda body: body(w))
 
     def dropped(chars: str) -> Column:
         return F.length(text) - F.length(F.translate(text, chars, ""))
 
     lines = F.filter(F.split(text, "\n", -1), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     return {
-        "n_words": F.size(words(text)).cast("long"),
+        "n_words": F.size(words(text) if w is None else w).cast("long"),
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": dropped(SYMBOLS).cast("long"),
         "n_dup_lines": let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long"),
         "n_lines": F.size(lines).cast("long"),
-        "n_repeat_words": let(words(text), repeat_words).cast("long"),
+        "n_repeat_words": of_words(repeat_words).cast("long"),
         "n_upper": dropped("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long"),
         "n_lower": dropped("abcdefghijklmnopqrstuvwxyz").cast("long"),
         "n_marks": dropped("!?").cast("long"),
@@ -102,19 +104,19 @@ BASE = (
 )
 
 
-def order_rules(docs: DataFrame, rules=RULES, text_col: str = "text", sample_rows: int = 512) -> list[Rule]:
-    """rules by falling rejections per second, as measured on the first sample_rows rows."""
-    rows = [(r[0],) for r in docs.select(F.col(text_col).cast("string")).take(sample_rows)]
-    if not rows:
+def order_rules(docs: DataFrame, rules=RULES, text_col: str = "text", sample_rows: int = 1_000) -> list[Rule]:
+    """rules by falling rejections per second, as measured on about sample_rows rows drawn from all of docs; the sample stays in the cluster."""
+    n = docs.count()
+    if not n:
         return list(rules)
-    sample = docs.sparkSession.createDataFrame(rows, "text string").coalesce(1)
-    exprs = feature_columns(F.col("text"))
+    drawn = docs.select(F.col(text_col).cast("string").alias("text")).sample(min(1.0, sample_rows / n), 17)
+    sample = stored(drawn.coalesce(8), "sample").coalesce(1)
     worth = {}
     for rule in rules:
         seconds = []
         for _ in range(2):  # the first run also compiles
             start = time.perf_counter()
-            hits = sample.agg(F.count_if(rule.rejects(lambda k: exprs[k]))).first()[0]
+            hits = sample.agg(F.count_if(verdict(F.col("text"), [rule]).isNotNull())).first()[0]
             seconds.append(time.perf_counter() - start)
         worth[rule.name] = (hits + 0.5) / min(seconds)
     return sorted(rules, key=lambda r: -worth[r.name])
@@ -129,27 +131,47 @@ def cascade(rules, feature: Callable[[str], Column]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
+def verdict(text: Column, rules) -> Column:
+    """cascade() on a text: its words are split once, every other feature is computed where a branch needs it."""
+
+    def body(w: Column) -> Column:
+        exprs = feature_columns(text, w)
+        return cascade(rules, lambda k: exprs[k])
+
+    return let(words(text), body)
+
+
 def judge(docs: DataFrame, rules=None, text_col: str = "text", out_col: str = "rejected_by") -> DataFrame:
     """docs with the name of the rule that rejects each row, or null. An existing out_col is replaced."""
     rules = order_rules(docs, (*BASE, *RULES), text_col) if rules is None else rules
-    exprs = feature_columns(F.col(text_col))
-    return docs.withColumn(out_col, cascade(rules, lambda k: exprs[k]))
+    return docs.withColumn(out_col, verdict(F.col(text_col), rules))
+
+
+#: Features that scored() returns of every row.
+TOLD = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def features(docs: DataFrame, names=None, text_col: str = "text") -> DataFrame:
+    """doc_id, the named features of its text (all, if none are named), computed from its words split once, and the text."""
 
+    def body(w: Column) -> Column:
+        exprs = feature_columns(F.col(text_col), w)
+        return F.struct(*(exprs[k].alias(k) for k in names or exprs))
 
-def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id and every feature of its text."""
-    return docs.select("doc_id", *(c.alias(k) for k, c in feature_columns(F.col(text_col)).items()))
+    return docs.select("doc_id", F.col(text_col).alias("text"), let(words(F.col(text_col)), body).alias("f")).select("doc_id", "text", "f.*")
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """Features, base_failed, the rule that rejects, and the verdict, for every row."""
+    """The told features, base_failed, the rule that rejects, and the verdict, for every row. Other features are computed only where the cascade comes to a rule that needs them."""
     rules = order_rules(docs)
+    lazy = feature_columns(F.col("text"))
     base = BASE[0].rejects(F.col) | BASE[1].rejects(F.col)
     return (
-        features(docs)
+        features(docs, TOLD)
         .withColumn("base_failed", base)
-        .withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(rules, F.col)))
+        .withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(rules, lambda k: F.col(k) if k in TOLD else lazy[k])))
         .withColumn("kept", F.col("rejected_by").isNull())
+        .drop("text")
     )
 
 
