@@ -33,6 +33,8 @@ K = 8
 START, END = 0, 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Keys that the windows of one hash are dealt over.
+SALTS = 8
 #: Words that are hashed together in one array.
 _CHUNK_WORDS = 400_000
 
@@ -76,20 +78,24 @@ class Spans:
         """Starts of all windows, and the start of each one's node."""
         if self.n < self.window:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.arange(self.n - self.k + 1)
-        key = (self.hash(at, at + self.k) & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)
-        width, have = self.window - self.k + 1, 1
-        while 2 * have <= width:
-            key = np.minimum(key[:-have], key[have:])
-            have *= 2
-        if have < width:
-            key = np.minimum(key[: len(key) - (width - have)], key[width - have :])
+        width, parts = self.window - self.k + 1, []
+        # positions take the low 24 bits beside the hash: counted from the start of stretches of half as many words
+        for lo in range(0, self.n - self.window + 1, 1 << 23):
+            at = np.arange(lo, min(self.n - self.k + 1, lo + (1 << 23) + width - 1))
+            key, have = (self.hash(at, at + self.k) & ~np.uint64(0xFFFFFF)) | (at - lo).astype(np.uint64), 1
+            while 2 * have <= width:
+                key = np.minimum(key[:-have], key[have:])
+                have *= 2
+            if have < width:
+                key = np.minimum(key[: len(key) - (width - have)], key[width - have :])
+            parts.append((key & np.uint64(0xFFFFFF)).astype(np.int64) + lo)
+        node = np.concatenate(parts)
         room = np.zeros(self.n + 1, np.int64)
         fits = self.sizes >= self.window
         np.add.at(room, self.starts[fits], 1)
         np.add.at(room, self.ends[fits] - self.window + 1, -1)
-        ok = np.flatnonzero(np.cumsum(room)[: len(key)] > 0)
-        return ok, (key[ok] & np.uint64(0xFFFFFF)).astype(np.int64)
+        ok = np.flatnonzero(np.cumsum(room)[: len(node)] > 0)
+        return ok, node[ok]
 
     def document(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, side="right")
@@ -116,7 +122,7 @@ def chunks(rows: list, size) -> Iterator[list]:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.hash(text).alias("th"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(*(F.col(c) for c in carry or [id_col])).alias("carry"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("th"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(*(F.col(c) for c in carry or [id_col])).alias("carry"))
 
 
 def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
@@ -139,7 +145,7 @@ def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 arrays = [pa.array(s.hash(a, a + k).view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array((a - s.starts[d]).astype(np.int32)), pa.array(came.view(np.int64)), pa.array(went.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, ["h", "k", "th", "pos", "came", "went"])
 
-    return _keyed(docs, id_col, text_col).select("k", "th", "text").mapInArrow(run, "h long, k long, th int, pos int, came long, went long")
+    return _keyed(docs, id_col, text_col).select("k", "th", "text").mapInArrow(run, "h long, k long, th long, pos int, came long, went long")
 
 
 def graph(docs: DataFrame, **kw) -> DataFrame:
@@ -195,12 +201,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeats are kept whole; repeated rows count as copies of each other; an empty table gives
     no rows; further columns are ignored unless carried.
     """
-    out = "doc_id long, k long, th int, n_words long, n_removed long, kept string, text string, sure array<int>, wpos array<int>, whash array<long>, also array<long>"
+    out = "doc_id long, k long, th long, n_words long, n_removed long, kept string, text string, sure array<int>, wpos array<int>, whash array<long>, also array<long>"
     carried = _keyed(docs, id_col, text_col, carry).schema["carry"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.strip().split()[0] for f in out.split(",")]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for b in batches:
             ids, ks, ths, texts = (b.column(i).to_pylist() for i in range(4))
             at, plain = b.column(4), b.column(5)
@@ -262,6 +268,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = asked.select("k", "th", F.explode(F.arrays_zip("wpos", "whash")).alias("w")).select("k", "th", "w.wpos", "w.whash")
     counted = windows.select("whash", F.lit(True).alias("asked")).unionByName(judged.select(F.explode("also").alias("whash"), F.lit(False).alias("asked")))
     twice = counted.groupBy("whash").agg(F.count("*").alias("n"), F.max("asked").alias("asked")).where("n > 1 AND asked").select("whash")
-    hits = windows.join(twice, "whash").groupBy("k", "th").agg(F.collect_set("wpos").alias("hit"))
+    # a passage that many documents share is one hot hash: its windows are dealt over SALTS keys, the few distinct hashes copied to each
+    salt = F.pmod(F.xxhash64("k", "th", "wpos"), F.lit(SALTS))
+    copied = twice.select("whash", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    hits = windows.withColumn("salt", salt).join(copied, ["whash", "salt"]).groupBy("k", "th").agg(F.collect_set("wpos").alias("hit"))
     settled = asked.join(hits, ["k", "th"], "left").select("doc_id", "text", "sure", "hit", "carry").mapInArrow(settle, StructType([*StructType.fromDDL(DONE), carried]))
     return judged.where("kept IS NOT NULL").select("doc_id", "n_words", "n_removed", "kept", "carry").unionByName(settled)
