@@ -65,3 +65,47 @@ def test_wrapper_decides_within_and_between_articles():
     assert w.extract(other).endswith("Read on")
     copies = html.Wrapper(pages[0], *html.induce(pages[:1] * 4))
     assert said[0][1] in copies.extract(pages[0])
+
+
+def test_stage_links_what_is_similar(spark):
+    """The pipeline's near duplicates against all pairs: only similar texts are linked, and nearly all of them."""
+    from hibiki.llm import simhash
+
+    rng = random.Random(21)
+    wide = [a + b for a in WORDS for b in WORDS]
+    texts = [" ".join(rng.choices(wide, k=rng.choice([3, 60, 150]))) for _ in range(60)]
+    for t in texts[:40]:
+        w = t.split()
+        for share in (0.005, 0.01, 0.02, 0.05):
+            texts.append(" ".join(rng.choice(wide) if rng.random() < share else x for x in w))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {find(i) for i in range(len(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash.representatives(docs).collect()}
+    assert want <= got  # no text goes that has no similar one before it
+    assert len(got - want) <= 0.05 * (len(texts) - len(want)), (len(got), len(want))
+
+
+def test_positions_beyond_a_stretch(monkeypatch):
+    """Nodes of a text longer than a stretch of positions are those of the text as a whole."""
+    import numpy as np
+
+    rng = random.Random(3)
+    s = substring.Spans([[rng.choice(WORDS).encode() for _ in range(500)]])
+    at, node = s.windows()
+    width = s.window - s.k + 1
+    for a, n in zip(at.tolist(), node.tolist()):
+        h = s.hash(np.arange(a, a + width), np.arange(a, a + width) + s.k) & ~np.uint64(0xFFFFFF)
+        assert n == a + int(np.argmin(h))
