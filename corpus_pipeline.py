@@ -17,21 +17,32 @@ from hibiki.llm.common import stored, table
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what a base condition or a quality rule rejects; null text counts as empty and is rejected."""
     ordered = rules.order_rules(docs, (*rules.BASE, *rules.RULES))
-    exprs = rules.feature_columns(F.col("text"))
-    return docs.where(rules.cascade(ordered, lambda k: exprs[k]).isNull())
+    return docs.where(rules.verdict(F.col("text"), ordered).isNull())
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores as keep it apart from every column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row of least (doc_id, text hash) of each near-duplicate group, and one of repeated rows."""
-    best = simhash.representatives(docs)
-    seal = F.xxhash64(F.coalesce("text", F.lit("")))
-    keys = best.select(F.col("doc_id").alias("_best_id"), F.col("seal").alias("_best_seal"), F.col("again").alias("_again"))
-    kept = docs.join(keys, docs.doc_id.eqNullSafe(keys["_best_id"]) & (seal == keys["_best_seal"]))
-    once = kept.where("NOT _again").select(*docs.columns)
+    """Keeps the row of least (doc_id, text hash) of each near-duplicate group, and one of repeated rows.
+
+    Documents are near duplicates if their sets of five-word shingles have a similarity of 0.8
+    or more, over chains. Null and blank texts are one group; no rows give none.
+    """
+    best = free_name(docs, "best")
+    keys = simhash.representatives(docs).select(F.struct("doc_id", "seal", "again").alias(best))
+    seal = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    kept = docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys[best]["doc_id"]) & (seal == keys[best]["seal"]))
+    once = kept.where(~F.col(best)["again"]).select(*docs.columns)
     # of rows with equal id and text, which differ in other columns at most, the first by all columns' hash stays
-    some = kept.where("_again")
-    least = F.min(F.struct(F.xxhash64(*docs.columns), F.struct(*docs.columns)))
-    return once.unionByName(some.groupBy("_best_id", "_best_seal").agg(least.alias("x")).select("x.col2.*"))
+    some = kept.where(F.col(best)["again"])
+    least = F.min(F.struct(F.xxhash64(*docs.columns).alias("h"), F.struct(*docs.columns).alias("row")))
+    return once.unionByName(some.groupBy(best).agg(least.alias("x")).select("x.row.*"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
