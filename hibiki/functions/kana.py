@@ -212,3 +212,42 @@ def variations(syllables: Column, max_units: Column | int | None = None) -> Colu
 def ways(text: Column, max_units: Column | int | None = None) -> Column:
     """variations of a kana text, split once."""
     return let(syllable_split(text), lambda s: variations(s, max_units))
+
+
+def vowel_to_bar(s: Column) -> Column:
+    """Null: a function of the interface that never had a result."""
+    return F.when(s.isNull() | s.isNotNull(), F.lit(None).cast("string"))
+
+
+to_katakana = format_text = vowel_to_bar
+
+
+class KanaConverter:
+    """Splitting, ways to say and likenesses of units, under one name."""
+
+    separate = staticmethod(syllable_split)
+    get_pronunciation_variation = staticmethod(variations)
+
+    @staticmethod
+    def is_same_kana(a: Column, b: Column) -> Column:
+        return a == b
+
+    @staticmethod
+    def is_same_vowel(a: Column, b: Column) -> Column:
+        return kana_vowel(a) == kana_vowel(b)
+
+    @staticmethod
+    def is_same_consonant(a: Column, b: Column) -> Column:
+        return kana_consonant(a) == kana_consonant(b)
+
+    @staticmethod
+    def is_same_bar(a: Column, b: Column) -> Column:
+        return a.endswith("ー") & b.endswith("ー")
+
+    @staticmethod
+    def is_same_hatsuon(a: Column, b: Column) -> Column:
+        return a.endswith("ン") & b.endswith("ン")
+
+    @staticmethod
+    def is_same_sokuon(a: Column, b: Column) -> Column:
+        return a.endswith("ッ") & b.endswith("ッ")

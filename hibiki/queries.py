@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import english, kana, ruby
 from .functions import lexicon as lex
-from .operators import align, distance, segment, tokens
+from .operators import align, distance, lattice, segment, tokens
 from .plans import where as wh
 from .sources import wordlist
 
@@ -372,8 +372,8 @@ pw AS (SELECT target, id, n_units, seq, min(d + (va + vcost) * 4.0) AS sim FROM
 best AS (SELECT target, id, sim, n_units, seq, first_value(n_units) OVER (PARTITION BY target, id ORDER BY n_units, seq) AS sn, first_value(seq) OVER (PARTITION BY target, id ORDER BY n_units, seq) AS ss FROM pw QUALIFY row_number() OVER (PARTITION BY target, id ORDER BY sim, n_units DESC, seq DESC) = 1),
 rk AS (SELECT target, id, sim, n_units::INTEGER AS n_units, seq, row_number() OVER (PARTITION BY target ORDER BY sim, NOT regexp_full_match(id, '(0|[1-9][0-9]{{0,9}})'), coalesce(TRY_CAST(id AS BIGINT), 0), sn, ss)::INTEGER AS rank FROM best)"""
 register("best_per_id", lambda spark, d: nearest(spark, d).select("target", "id", "sim", "n_units", "seq"), NEAREST_SQL + " SELECT target, id, sim, n_units, seq FROM rk")
-register("topk_candidates", lambda spark, d: distance.top(nearest(spark, d)).select("target", "id", "sim", "n_units", "seq", "rank"), NEAREST_SQL + " SELECT target, id, sim, n_units, seq, rank FROM rk WHERE rank <= 30")
-register("rank_candidates", lambda spark, d: distance.ranked(nearest(spark, d)).select("target", "id", "rank"), NEAREST_SQL + " SELECT target, id, rank FROM rk")
+register("topk_candidates", lambda spark, d: lattice.nearest(match_targets(spark, d), match_words(spark, d), distance.unit_matrix(spark), VARIATION_COST, 30).select("target", "id", "sim", "n_units", "seq", "rank"), NEAREST_SQL + " SELECT target, id, sim, n_units, seq, rank FROM rk WHERE rank <= 30")
+register("rank_candidates", lambda spark, d: lattice.nearest(match_targets(spark, d), match_words(spark, d), distance.unit_matrix(spark), VARIATION_COST).select("target", "id", "rank"), NEAREST_SQL + " SELECT target, id, rank FROM rk")
 
 
 def cand_join(spark: SparkSession, sf_dir: str) -> DataFrame:

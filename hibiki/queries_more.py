@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import english, kana, ruby
 from .functions import lexicon as lex
-from .operators import align, distance, segment, tokens
+from .operators import align, distance, lattice, segment, tokens
+from .sources import text
 from .queries import NEAREST_SQL, VARIATION_COST, d_last_vowel, joined, match_targets, match_words, q, register, romaji_words, sql_map, table
 
 # -- aggregates on arrays ------------------------------------------------------------------------
@@ -62,6 +63,16 @@ register(
     lambda spark, d: distances(spark, d, True).groupBy("target").agg(F.round(F.min("d"), 6).alias("least")),
     _near_sql() + ", wu AS (SELECT a, b, unnest(a) AS u1, unnest(b) AS u2, unnest(range(1, len(a) + 1)) AS k, len(a) AS n FROM pr), wp AS (SELECT a, b, sum(dist * k * n / (n * (n + 1) / 2.0)) AS d FROM wu JOIN dist USING (u1, u2) GROUP BY a, b, n HAVING count(*) = n) SELECT target, round(min(d), 6) AS least FROM one JOIN wp USING (a) GROUP BY target",
 )
+register(
+    "nearest_weighted",
+    lambda spark, d: lattice.nearest(match_targets(spark, d), match_words(spark, d), distance.unit_matrix(spark), VARIATION_COST, 1, F.transform(F.col("syllables"), lambda s, i: (i + 1).cast("double"))).select("target", F.round("sim", 6).alias("sim")),
+    NEAREST_SQL
+    + """, ts AS (SELECT w AS target, units AS a, cost AS va, src, n FROM tways WHERE i = n - 1 AND len(units) > 0),
+nx AS (SELECT target, a, va, unnest(a) AS u1, unnest(src) + 1 AS k, unnest(range(len(a))) AS j, n FROM ts),
+nw AS (SELECT DISTINCT units AS b, len(units) AS m FROM wd), nb AS (SELECT b, m, unnest(b) AS u2, unnest(range(m)) AS j FROM nw),
+ng AS (SELECT target, a, nx.va, b, sum(dist * k * n / (n * (n + 1) / 2.0)) AS d FROM nx JOIN nb ON nb.m = len(nx.a) AND nb.j = nx.j JOIN dist ON dist.u1 = nx.u1 AND dist.u2 = nb.u2 GROUP BY target, a, nx.va, b, m HAVING count(*) = m)
+SELECT target, round(min(d + (ng.va + vcost) * 4.0), 6) AS sim FROM ng JOIN wd ON wd.units = ng.b GROUP BY target""",
+)
 register(
     "unit_distance",
     lambda spark, d: best_way(spark, d).select("target", F.posexplode("a").alias("i", "u1")).select("target", F.col("i").cast("long").alias("i"), "u1", kana.kana_vowel(F.col("u1")).alias("u2")).join(F.broadcast(distance.unit_matrix(spark)), ["u1", "u2"], "left").select("target", "i", F.coalesce("dist", F.lit(float("inf"))).alias("dist")),
@@ -303,48 +314,48 @@ def kana_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("align_line", lambda spark, d: kana_lines(spark, d).select("song", "line", F.posexplode(align.align_line(F.col("tokens"))).alias("i", "u")).select("song", "line", "i", "u.*"))
 
 
-def line_costs(spark: SparkSession, sf_dir: str, ranks: int | None = 1) -> tuple[DataFrame, DataFrame]:
-    """Lines with units and breaks, and ranked candidates of every run that some word can match. Equal runs are scored once."""
+def song_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(song, line, units, surfaces, breaks) of every turn."""
+    from .plans.store import stored
+
     numbers = tokens.phrase_numbers(F.transform("tokens", lambda t: t["pos"]))
     toks = F.zip_with("tokens", numbers, lambda t, p: t.withField("phrase", p))
-    units = kana_lines(spark, sf_dir).select("song", "line", align.align_line(toks).alias("u"))
-    from .plans.store import stored
+    units = stored(kana_lines(spark, sf_dir).select("song", "line", align.align_line(toks).alias("u")))
+    each = lambda f: F.transform("u", lambda x: x[f])
+    return units.select("song", "line", each("pronunciation").alias("units"), each("surface_form").alias("surfaces"), segment.phrase_breaks(each("phrase")).alias("breaks"))
 
-    lines = stored(units.select("song", "line", F.transform("u", lambda x: x["pronunciation"]).alias("units"), segment.phrase_breaks(F.transform("u", lambda x: x["phrase"])).alias("breaks")).withColumn("n", F.size("units")))
-    words = stored(match_words(spark, sf_dir))
-    most = words.agg(F.max("n_units")).first()[0] or 0
-    runs = segment.segments(lines.select(F.struct("song", "line").alias("line"), "units"), most)
-    named = runs.withColumn("target", joined(F.col("syllables")))
-    asked = named.select("target", "syllables").distinct()
-    found = distance.nearest(asked, words, distance.unit_matrix(spark), VARIATION_COST, most)
-    if ranks is None:  # no song can use up more words than it has units
-        ranks = (lines.groupBy("song").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) + 1
-    best = distance.top(found, ranks)
-    cands = named.join(stored(best.select("target", "rank", "sim", "id")), "target").select("line.song", "line.line", "i", "t", "rank", "sim", "id")
-    return lines, cands
+
+def covered(spark: SparkSession, sf_dir: str, lines: DataFrame, **parameters) -> DataFrame:
+    return lattice.generate(lines, match_words(spark, sf_dir), distance.unit_matrix(spark), {"VARIATION_COST": VARIATION_COST} | parameters)
 
 
 def segment_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, cands = line_costs(spark, sf_dir)
-    costs = cands.groupBy("song", "line").agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") * 65536 + F.col("t")).alias("k"), F.col("sim").alias("v")))).alias("costs"), F.max(F.col("t") - F.col("i")).alias("longest"))
-    both = lines.join(costs, ["song", "line"], "left").withColumn("costs", F.coalesce("costs", F.create_map().cast("map<int,double>")))
-    return both.select("song", "line", F.posexplode(segment.cover(F.col("n"), F.col("breaks"), F.col("costs"), F.coalesce("longest", F.lit(1)))).alias("word", "w")).select("song", "line", "word", "w.*")
+    """Words for every turn, which may repeat."""
+    return covered(spark, sf_dir, song_lines(spark, sf_dir)).select("song", "line", "word", "i", "t", "filler", "score")
 
 
 def generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words for every turn, none twice in a conversation: as many ranks of each run as the conversation has units."""
-    lines, cands = line_costs(spark, sf_dir, None)
-    room = lines.groupBy("song").agg((F.sum("n") + 1).alias("room"))
-    enough = cands.join(room, "song").where(F.col("rank") <= F.col("room")).drop("room")
-    return segment.generate(lines, enough, {"DUPLICATE": False})
+    """Words for every turn, none twice in a conversation."""
+    return covered(spark, sf_dir, song_lines(spark, sf_dir), DUPLICATE=False)
+
+
+def generate_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """generate with weights that fall along each line; every third line's are not valid and count as none."""
+    n = F.size("units")
+    weights = F.when((F.col("line") % 3 != 0) & (n > 0), F.transform(F.sequence(F.lit(1), n), lambda k: (n - k + 1).cast("double")))
+    return covered(spark, sf_dir, song_lines(spark, sf_dir).withColumn("weights", weights), DUPLICATE=False)
 
 
 def locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """generate with the first two units of every line pinned."""
-    lines, cands = line_costs(spark, sf_dir, None)
-    room = lines.groupBy("song").agg((F.sum("n") + 1).alias("room"))
-    pinned = lines.where("n >= 2").select("song", "line", F.lit(0).alias("i"), F.lit(2).alias("t"), F.concat(F.lit("pin"), F.col("line").cast("string")).alias("id"), F.lit(0.0).alias("sim"))
-    return segment.generate(lines, cands.join(room, "song").where(F.col("rank") <= F.col("room")).drop("room"), {"DUPLICATE": False}, pinned)
+    pin = F.array(F.struct(F.lit(0).alias("i"), F.lit(2).alias("t"), F.concat(F.lit("pin"), F.col("line").cast("string")).alias("id"), F.lit(0.0).alias("sim")))
+    lines = song_lines(spark, sf_dir).withColumn("locks", F.when(F.size("units") >= 2, pin))
+    return covered(spark, sf_dir, lines, DUPLICATE=False)
+
+
+def no_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each word comes in a conversation: once."""
+    return generate(spark, sf_dir).where("NOT filler").groupBy("song", "id").agg(F.count("*").alias("n"))
 
 
 def filler_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,8 +366,32 @@ def filler_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("song", "line", F.aggregate(words, F.lit(0.0), lambda a, w: a + w["score"] + 1).alias("cost"))
 
 
+# -- raw text: conversations with a ruby span in front of every third turn ----------------------------------------
+
+RUBY_TEXT = "CASE WHEN turn % 3 = 0 THEN concat('｜', role, '《', 'ヨミ》', text) ELSE text END"
+
+
+def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.tokenized(F.expr(RUBY_TEXT)).alias("t"))
+
+
+def tokenize_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's repaired tokens by character, its ruby span as one."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.tokenize_together(F.expr(RUBY_TEXT)).alias("t"))
+    return t.select("conv_id", "turn", *(joined(F.transform("t", field(f))).alias(f) for f in ("surface_form", "pronunciation", "phrase")))
+
+
+register("tokenize_together", tokenize_together)
+register(
+    "merge_ruby",
+    lambda spark, d: text_tokens(spark, d).select("conv_id", "turn", F.size("t").cast("long").alias("n"), F.get("t", F.lit(0))["surface_form"].alias("first"), F.coalesce(F.get("t", F.lit(0))["ruby"], F.lit(False)).alias("ruby"), F.element_at("t", -1)["word_position"].cast("long").alias("place")),
+    """WITH t AS (SELECT conv_id, turn, role, replace(replace(text, '’', chr(39)), chr(39), 'APOSTROPHE') AS x FROM conversations)
+SELECT conv_id, turn, (length(x) + (turn % 3 = 0)::INTEGER)::BIGINT AS n, CASE WHEN turn % 3 = 0 THEN role ELSE left(x, 1) END AS first, turn % 3 = 0 AS ruby, CASE WHEN turn % 3 = 0 THEN length(role) + length(x) ELSE length(x) END::BIGINT AS place FROM t""",
+)
 register("segment_dp", segment_dp)
 register("generate", generate)
+register("generate_weighted", generate_weighted)
+register("no_reuse", no_reuse)
 register("locks", locks)
 register(
     "filler_fallback",
