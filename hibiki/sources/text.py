@@ -19,6 +19,7 @@ from ..functions.lexicon import ENGLISH
 from ..functions.ruby import pieces
 from ..operators import align, segment
 from ..operators.tokens import TOKEN, format_tokens
+from ..plans.store import stored
 from .wordlist import read_tidy
 
 FIELDS = [f.split(":")[0] for f in TOKEN[7:-1].split(",")]
@@ -166,13 +167,15 @@ def english_tokens(text: str, tokenizer: Tokenizer, dictionary: dict[str, str] =
 
 def lyrics(lines: DataFrame, make: Callable[[], Tokenizer] = Characters, text_col: str = "text") -> DataFrame:
     """(song, line, units, surfaces, breaks, ...) of raw lines(song, line, text): what lattice.generate takes. Other columns stay; null and empty texts have no units."""
-    return from_tokens(lines.withColumn("tokens", tokenize_together(F.coalesce(F.col(text_col), F.lit("")), make)).drop(text_col))
+    # tokenizing, repair and alignment each run in Python: one is written before the next reads it
+    return from_tokens(stored(lines.withColumn("tokens", tokenize_together(F.coalesce(F.col(text_col), F.lit("")), make)).drop(text_col)))
 
 
 def from_tokens(lines: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """lyrics of lines whose tokens are made already."""
     each = lambda f: F.transform("u", lambda x: x[f])
-    named = lines.withColumn("u", align.align_line(F.col(tokens_col))).drop(tokens_col)
+    # written once: the alignment runs in Python and is read three times, also inside a lambda
+    named = stored(lines.withColumn("u", align.align_line(F.col(tokens_col))).drop(tokens_col))
     return named.withColumn("units", each("pronunciation")).withColumn("surfaces", each("surface_form")).withColumn("breaks", segment.phrase_breaks(each("phrase"))).drop("u")
 
 
