@@ -1,16 +1,18 @@
 """URL verdicts: fixed host and path rules, then association rules mined from labelled URLs.
 
 A URL becomes a basket of tokens. Spark's FP-growth finds frequent baskets among the labelled
-URLs; those with enough support and confidence for `block` become rules, pruned of every rule
-that a shorter one with no less confidence covers. Rules are matched by inverted index: each
-rule is filed under its rarest token, a URL's tokens are joined to that index, and a rule fires
-when all its tokens are there.
+URLs, in which tokens that always come together count as one; those with enough support and
+confidence for `block` become rules, pruned of every rule that a shorter one with no less
+confidence covers. Rules are matched by inverted index: each rule is filed under its rarest
+token, a URL's tokens are joined to that index, and a rule fires when all its tokens are there.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -19,6 +21,8 @@ from .common import stored
 FIXED = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_ROWS, MAX_TOKENS = 0.002, 0.8, 8, 3
 BLOCKED = "block!"
+#: A basket is hot if it holds more than 1 in HOT of the rows that no fixed rule decides.
+HOT = 512
 
 
 def host(url: Column) -> Column:
@@ -60,15 +64,33 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Rules (rule_id, tokens, key, size, support, confidence) from labelled(tokens, blocked)."""
-    baskets = labelled.select(F.when(F.col("blocked") == 1, F.array_append("tokens", BLOCKED)).otherwise(F.col("tokens")).alias("items"))
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS, max_tokens: int = MAX_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """Rules and token classes from labelled(tokens, blocked).
+
+    Rules: (rule_id, tokens, key, size, support, confidence), their tokens are heads of classes.
+    Classes: (token, head); a class is the tokens of exactly the same labelled rows, so that a
+    rule on its head holds for each of them. Before FP-growth runs, tokens with too few blocked
+    rows go, since no rule can hold them, and classes become their heads: neither changes a
+    rule, and long sets of tokens that always come together do not unfold into all their subsets.
+    """
     spark = labelled.sparkSession
-    out = "rule_id long, tokens array<string>, key string, size int, support double, confidence double"
-    n = baskets.count()
+    none = spark.createDataFrame([], "rule_id long, tokens array<string>, key string, size int, support double, confidence double"), spark.createDataFrame([], "token string, head string")
+    given = stored(labelled.select(F.monotonically_increasing_id().alias("row"), F.sort_array("tokens").alias("tokens"), (F.col("blocked") == 1).alias("bad")), "labelled")
+    n = given.count()
     if not n:
-        return spark.createDataFrame([], out)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min(1.0, min_rows / n)), minConfidence=0.0).fit(baskets)
+        return none
+    need = ceil(max(min_support, min(1.0, min_rows / n)) * n)
+    each = given.select("row", "bad", F.explode("tokens").alias("token"))
+    extent = F.struct(F.count("*"), F.sum(F.xxhash64("row").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("x"), "row")))
+    seen = each.groupBy("token").agg(F.count_if("bad").alias("hits"), extent.alias("extent")).where(F.col("hits") >= need)
+    classes = stored(seen.withColumn("head", F.min("token").over(Window.partitionBy("extent"))).select("token", "head"), "classes")
+    # the rows of a class's members are those of its head
+    baskets = stored(each.join(classes.where("token = head"), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("items")), "baskets")
+    rows = baskets.count()
+    if rows < need:
+        return none
+    marked = baskets.select(F.when(F.col("bad"), F.array_append("items", BLOCKED)).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / rows, minConfidence=0.0).fit(marked)
     freq = stored(model.freqItemsets.where(F.size("items") <= max_tokens + 1).withColumn("items", F.sort_array("items")), "itemsets")
     both = freq.where(F.array_contains("items", BLOCKED) & (F.size("items") > 1)).select(F.array_remove("items", BLOCKED).alias("items"), F.col("freq").alias("hits"))
     rules = both.join(freq, "items").select(F.col("items").alias("tokens"), (F.col("hits") / F.lit(float(n))).alias("support"), (F.col("hits") / F.col("freq")).alias("confidence"))
@@ -79,7 +101,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     kept = rules.join(covered, "tokens", "left_anti")
     alone = freq.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     keyed = kept.select("tokens", "support", "confidence", F.explode("tokens").alias("token")).join(alone, "token").groupBy("tokens", "support", "confidence").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
-    return stored(keyed.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "key", F.size("tokens").alias("size"), "support", "confidence"), "rules")
+    return stored(keyed.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "key", F.size("tokens").alias("size"), "support", "confidence"), "rules"), classes
 
 
 def judged(pages: DataFrame, labelled: DataFrame | None, id_col: str = "page_id", url_col: str = "url", fixed=FIXED, **limits) -> DataFrame:
@@ -95,18 +117,25 @@ def judged(pages: DataFrame, labelled: DataFrame | None, id_col: str = "page_id"
     if labelled is None:
         return rows.select("page_id", "url", "host", "path", F.col("f.rule").alias("rule"), F.coalesce("f.verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("array<string>").alias("mined"))
     u = F.col("url").cast("string")
-    rules = mine(labelled.where("blocked IS NOT NULL AND url IS NOT NULL").select(tokens(host(u), path(u), u).alias("tokens"), "blocked"), **limits)
-    # distinct token sets meet the index, not pages: repeated baskets are judged once
-    own = rows.where("f IS NULL").select(F.sort_array(tokens(F.col("host"), F.col("path"), F.col("url"))).alias("basket")).distinct()
+    rules, classes = mine(labelled.where("blocked IS NOT NULL AND url IS NOT NULL").select(tokens(host(u), path(u), u).alias("tokens"), "blocked"), **limits)
+    # distinct token sets meet the index, not pages: repeated baskets are judged once; rows that a fixed rule decides take no part
+    free = rows.where("f IS NULL").withColumn("basket", F.sort_array(tokens(F.col("host"), F.col("path"), F.col("url"))))
+    own = stored(free.groupBy("basket").agg(F.count("*").alias("n")), "urls")
+    heads = own.select("basket", F.explode("basket").alias("token")).join(classes, "token").groupBy("basket").agg(F.collect_set("head").alias("heads"))
     fired = (
-        own.select("basket", F.explode("basket").alias("key"))
+        heads.select("basket", "heads", F.explode("heads").alias("key"))
         .join(rules.select("key", "tokens", "confidence"), "key")
-        .where(F.size(F.array_except("tokens", "basket")) == 0)
+        .where(F.size(F.array_except("tokens", "heads")) == 0)
         .groupBy("basket")
         .agg(F.max_by("tokens", F.struct("confidence", "tokens")).alias("mined"))
     )
-    # rows that a fixed rule decides take no part in the join
-    free = rows.where("f IS NULL").withColumn("basket", F.sort_array(tokens(F.col("host"), F.col("path"), F.col("url")))).join(fired, "basket", "left").drop("basket")
-    out = rows.where("f IS NOT NULL").withColumn("mined", F.lit(None).cast("array<string>")).unionByName(free)
+    fired = stored(own.join(fired, "basket"), "fired")
+    # a basket of more than 1 in HOT rows, of which there are fewer than HOT, is told by broadcast; the others by a join
+    total = own.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * HOT > total
+    hot = own.where(often).select("basket").join(fired.select("basket", "mined"), "basket", "left")
+    known = free.join(F.broadcast(hot), "basket").drop("basket")
+    rare = free.join(F.broadcast(own.where(often).select("basket")), "basket", "left_anti").join(fired.where(~often).select("basket", "mined"), "basket", "left").drop("basket")
+    out = rows.where("f IS NOT NULL").withColumn("mined", F.lit(None).cast("array<string>")).unionByName(known).unionByName(rare)
     verdict = F.coalesce(F.col("f.verdict"), F.when(F.col("mined").isNotNull(), F.lit("block")), F.lit("allow"))
     return out.select("page_id", "url", "host", "path", F.col("f.rule").alias("rule"), verdict.alias("verdict"), "mined")
