@@ -85,6 +85,17 @@ def argmin(a: Column) -> Column:
     return F.array_position(a, F.array_min(a)).cast("int") - 1
 
 
+def find_min(value: Column, at: Column) -> Column:
+    """Aggregate struct(value, at) of the least value that is not infinite, the least at among equals; null if there is none."""
+    return F.min(F.when(value.isNotNull() & ~F.isnan(value) & (value < F.lit(float("inf"))), F.struct(value.alias("value"), at.alias("at"))))
+
+
+def org_round(x: Column, b: Column | float) -> Column:
+    """x rounded to a multiple of 1 / b, halves to even."""
+    b = F.lit(b) if isinstance(b, (int, float)) else b
+    return F.rint(x * b) / b
+
+
 def argsort(a: Column) -> Column:
     """Stable: indexes by value."""
     return F.transform(F.array_sort(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), lambda s: s["i"])

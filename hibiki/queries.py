@@ -1,7 +1,7 @@
 """The registered queries of the library, each with its SQL where SQL can express it.
 
-The tables hold no kana, so kana words come from the documents: every distinct lower-case word
-of 2 to 12 letters that romaji keys cover whole. Endings by length bring in long bars, ン, ッ
+The tables hold no kana, so kana words come from the documents: every distinct lower-case word,
+however long, that romaji keys cover whole. Endings by length bring in long bars, ン, ッ
 and small kana.
 """
 
@@ -48,8 +48,7 @@ def sql_map(values: dict[str, str]) -> str:
 
 
 def latin_words(docs: DataFrame) -> DataFrame:
-    found = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("w"))
-    return found.where(F.length("w").between(2, 12)).distinct()
+    return docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("w")).distinct()
 
 
 def romaji_words(docs: DataFrame) -> DataFrame:
@@ -60,7 +59,7 @@ def romaji_words(docs: DataFrame) -> DataFrame:
 
 
 def words_sql(source: str = "documents", name: str = "deco") -> str:
-    return f"""{name}_w AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM {source}) WHERE length(w) BETWEEN 2 AND 12 AND regexp_full_match(w, '{KEY}+')),
+    return f"""{name}_w AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM {source}) WHERE regexp_full_match(w, '{KEY}+')),
 {name}_k AS (SELECT w, array_to_string(list_transform(regexp_extract_all(w, '{KEY}'), lambda k: ({sql_map(lex.romaji())})[k]), '') AS kana FROM {name}_w),
 {name} AS (SELECT w, kana, kana || ([{', '.join(map(q, ENDINGS))}])[(ascii(w) * 7 + length(w)) % 10 + 1] || left(kana, 1) AS s FROM {name}_k)"""
 
@@ -172,7 +171,20 @@ def d_unmark(s: str) -> str:
 _MARKED, _SYLLABLES = d_syllables("s")
 D_SPLIT = f"list_transform(regexp_extract_all({_MARKED}, '{_SYLLABLES}'), lambda p: {d_unmark('p')})"
 on_words("syllable_split", lambda s: joined(kana.syllable_split(s)), f"array_to_string({D_SPLIT}, '|')")
-on_words("is_syllable", lambda s: kana.is_syllable(s), "(len(x) = 1 AND length(x[1]) > 1 AND x[1] = y)".replace("x", f"({D_SPLIT.replace('(s,', '(left(s, 3),')})").replace("y", "left(s, 3)"), lambda s: F.left(s, F.lit(3)))
+
+
+def is_syllable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of one to four kana in the words, and whether it is one syllable."""
+    s = F.col("s")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length(s) - i + 1)), lambda n: F.substring(s, i, n))))
+    return romaji_words(table(spark, sf_dir, "documents")).select(F.explode(runs).alias("s")).distinct().select("s", kana.is_syllable(s).alias("out"))
+
+
+register(
+    "is_syllable",
+    is_syllable,
+    f"WITH {words_sql()}, pl AS (SELECT s AS whole, unnest(range(1, length(s) + 1)) AS i FROM deco), run AS (SELECT DISTINCT substr(whole, i, n) AS s FROM (SELECT whole, i, unnest([1, 2, 3, 4]) AS n FROM pl) WHERE i + n - 1 <= length(whole)), cut AS (SELECT s, {D_SPLIT} AS x FROM run) SELECT s, (len(x) = 1 AND length(x[1]) > 1 AND x[1] = s) AS out FROM cut",
+)
 on_words("phonon_split", lambda s: joined(kana.phonon_split(s)), None)
 
 
@@ -232,7 +244,7 @@ register(
 )
 register("remove_sign", lambda spark, d: table(spark, d, "documents").select("doc_id", kana.remove_sign(F.col("text")).alias("out")), f"SELECT doc_id, regexp_replace(translate(text, {q(kana.WIDE)}, {q(kana.NARROW)}), '[{kana.SIGNS}{kana.SPACE}・「」。、]', '', 'g') AS out FROM documents")
 register("apostrophe", lambda spark, d: table(spark, d, "documents").select("doc_id", english.apostrophe_to_sign(english.apostrophe_to_string(F.replace("text", F.lit(","), F.lit("’")))).alias("out")), "SELECT doc_id, replace(replace(replace(replace(text, ',', '’'), '’', ''''), '''', 'APOSTROPHE'), 'APOSTROPHE', '''') AS out FROM documents")
-register("is_english_word", lambda spark, d: latin_words(table(spark, d, "documents")).select("w", english.is_english_word(F.col("w")).alias("out")), "SELECT DISTINCT w, regexp_full_match(w, '[a-zA-Z'']+') AS out FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) WHERE length(w) BETWEEN 2 AND 12")
+register("is_english_word", lambda spark, d: latin_words(table(spark, d, "documents")).select("w", english.is_english_word(F.col("w")).alias("out")), "SELECT DISTINCT w, regexp_full_match(w, '[a-zA-Z'']+') AS out FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)")
 register(
     "zenkaku_first",
     lambda spark, d: table(spark, d, "part").select("p_partkey", english.first_wide_letter(F.translate("p_name", "abcdefghijklmnopqrstuvwxyz", english.WIDE_LETTERS[26:])).alias("out")),
@@ -346,7 +358,7 @@ def match_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word table: several words share an id. seq numbers the ways in order of the words."""
     numbered = wordlist.with_row_index(romaji_words(table(spark, sf_dir, "documents")).select("w", "s").sort("w"), "r")
     ways = numbered.select("w", "r", F.posexplode(kana.ways(F.col("s"))).alias("k", "v"))
-    return ways.select(F.expr(WORD_ID.format(t="STRING")).alias("id"), F.size("v.units").alias("n_units"), (F.col("r") * 4096 + F.col("k")).alias("seq"), F.col("v.units").alias("units"), F.col("v.vcost").alias("vcost"))
+    return ways.select(F.expr(WORD_ID.format(t="STRING")).alias("id"), F.size("v.units").alias("n_units"), (F.col("r") * (1 << 32) + F.col("k")).alias("seq"), F.col("v.units").alias("units"), F.col("v.vcost").alias("vcost"))
 
 
 def match_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,7 +375,7 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _T = WAYS_SQL.replace("syl ", "tsyl ").replace("FROM syl", "FROM tsyl").replace("lv ", "tlv ").replace("FROM lv", "FROM tlv").replace("va AS", "tva AS").replace("FROM va", "FROM tva").replace("vv AS", "tvv AS").replace("FROM vv", "FROM tvv").replace("ve AS", "tve AS").replace("FROM deco", "FROM targets")
 NEAREST_SQL = f"""WITH RECURSIVE {words_sql()}, {words_sql('benchmark', 'targets')}, {WAYS_SQL}, {_T}, {LEX_SQL}, {WAYS_RECURSIVE}, {WAYS_RECURSIVE.replace('ways', 'tways').replace(' ve ', ' tve ')},
 num AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS r FROM deco),
-wd AS (SELECT {WORD_ID.format(t='VARCHAR').replace('(w', '(x.w').replace(' w)', ' x.w)')} AS id, len(units) AS n_units, r * 4096 + row_number() OVER (PARTITION BY x.w ORDER BY ord) - 1 AS seq, units, cost AS vcost FROM ways x JOIN num ON num.w = x.w WHERE i = n - 1 AND len(units) > 0),
+wd AS (SELECT {WORD_ID.format(t='VARCHAR').replace('(w', '(x.w').replace(' w)', ' x.w)')} AS id, len(units) AS n_units, r * 4294967296 + row_number() OVER (PARTITION BY x.w ORDER BY ord) - 1 AS seq, units, cost AS vcost FROM ways x JOIN num ON num.w = x.w WHERE i = n - 1 AND len(units) > 0),
 tg AS (SELECT w AS target, units AS a, cost AS va FROM tways WHERE i = n - 1 AND len(units) > 0),
 pr AS (SELECT DISTINCT a, units AS b FROM (SELECT DISTINCT a FROM tg) JOIN (SELECT DISTINCT units FROM wd) ON len(a) = len(units)),
 pu AS (SELECT a, b, unnest(a) AS u1, unnest(b) AS u2 FROM pr),
@@ -377,14 +389,15 @@ register("rank_candidates", lambda spark, d: lattice.nearest(match_targets(spark
 
 
 def cand_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = match_targets(spark, sf_dir).select(F.size(F.get(kana.variations(F.col("syllables")), F.lit(0))["units"]).alias("n_units")).groupBy("n_units").agg(F.count("*").alias("n_targets"))
-    return t.join(match_words(spark, sf_dir).groupBy("n_units").agg(F.count("*").alias("n_words")), "n_units").select(F.col("n_units").cast("long").alias("n_units"), (F.col("n_targets") * F.col("n_words")).alias("pairs"))
+    """The words that meet each target by the number of units of one of its ways."""
+    t = match_targets(spark, sf_dir).select("target", F.explode(F.array_distinct(F.transform(kana.variations(F.col("syllables")), lambda v: F.size(v["units"])))).alias("n_units"))
+    return t.join(match_words(spark, sf_dir), "n_units").groupBy("target", "n_units").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
 
 
 register(
     "cand_join",
     cand_join,
-    NEAREST_SQL + ", ft AS (SELECT len(units) AS n_units, count(*) AS n FROM (SELECT w, units FROM tways WHERE i = n - 1 AND len(units) > 0 QUALIFY row_number() OVER (PARTITION BY w ORDER BY ord) = 1) GROUP BY 1), fw AS (SELECT n_units, count(*) AS n FROM wd GROUP BY 1) SELECT n_units::BIGINT AS n_units, ft.n * fw.n AS pairs FROM ft JOIN fw USING (n_units)",
+    NEAREST_SQL + ", t AS (SELECT DISTINCT target, len(a) AS n_units FROM tg) SELECT target, n_units::INTEGER AS n_units, count(*) AS n, min(seq) AS first FROM t JOIN wd USING (n_units) GROUP BY target, n_units",
 )
 
 

@@ -27,34 +27,34 @@ register(
 )
 register(
     "find_min",
-    lambda spark, d: table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_quantity", "l_linenumber")).alias("x")).select("l_orderkey", F.col("x.l_linenumber").alias("at"), F.col("x.l_quantity").alias("least")),
-    "SELECT l_orderkey, l_linenumber AS at, l_quantity AS least FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) = 1",
+    lambda spark, d: table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 25, F.lit(float("inf"))).otherwise(F.col("l_quantity").cast("double")).alias("x")).groupBy("l_orderkey").agg(distance.find_min(F.col("x"), F.col("l_linenumber")).alias("m")).select("l_orderkey", F.col("m.at").alias("at"), F.col("m.value").alias("least")),
+    "WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 25 THEN l_quantity::DOUBLE END AS x FROM lineitem) SELECT l_orderkey, CASE WHEN x IS NOT NULL THEN l_linenumber END AS at, x AS least FROM t QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY x NULLS LAST, l_linenumber) = 1",
 )
-register("org_round", lambda spark, d: table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.rint(F.col("l_quantity") * 0.25 * 2) / 2).alias("out")), "SELECT l_orderkey, l_linenumber, round_even(l_quantity * 0.25 * 2, 0) / 2 AS out FROM lineitem")
+register("org_round", lambda spark, d: table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", distance.org_round(F.col("l_quantity") * 0.25, 2).alias("out")), "SELECT l_orderkey, l_linenumber, round_even(l_quantity * 0.25 * 2, 0) / 2 AS out FROM lineitem")
 register(
     "product",
-    lambda spark, d: table(spark, d, "region").crossJoin(F.broadcast(table(spark, d, "nation").select("n_name"))).select("r_name", "n_name", F.posexplode(distance.product(F.array(F.array(F.left("r_name", F.lit(1)), F.lit("x")), F.array(F.left("n_name", F.lit(2)), F.lit("y"), F.lit("z")), F.array("r_name")))).alias("i", "p")).select("r_name", "n_name", F.col("i").cast("long").alias("i"), joined(F.col("p")).alias("p")),
-    "WITH t AS (SELECT r_name, n_name, unnest([left(r_name, 1), 'x']) AS a, unnest([0, 1]) AS i FROM region CROSS JOIN nation), u AS (SELECT r_name, n_name, a, i, unnest([left(n_name, 2), 'y', 'z']) AS b, unnest([0, 1, 2]) AS j FROM t) SELECT r_name, n_name, (i * 3 + j)::BIGINT AS i, a || '|' || b || '|' || r_name AS p FROM u",
+    lambda spark, d: table(spark, d, "region").join(table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "n_name", F.posexplode(distance.product(F.array(F.array("r_name", F.lit("x")), F.array(F.col("n_name"), F.lit("y"), F.lit("z")), F.array("r_name")))).alias("i", "p")).select("r_name", "n_name", F.col("i").cast("long").alias("i"), joined(F.col("p")).alias("p")),
+    "WITH t AS (SELECT r_name, n_name, unnest([r_name, 'x']) AS a, unnest([0, 1]) AS i FROM region JOIN nation ON r_regionkey = n_regionkey), u AS (SELECT r_name, n_name, a, i, unnest([n_name, 'y', 'z']) AS b, unnest([0, 1, 2]) AS j FROM t) SELECT r_name, n_name, (i * 3 + j)::BIGINT AS i, a || '|' || b || '|' || r_name AS p FROM u",
 )
 
 
-def best_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each target's first way."""
-    return match_targets(spark, sf_dir).select("target", F.get(kana.variations(F.col("syllables")), F.lit(0))["units"].alias("a"))
+def target_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each target's different ways."""
+    return match_targets(spark, sf_dir).select("target", F.explode(F.array_distinct(kana.variations(F.col("syllables"))["units"])).alias("a"))
 
 
 def distances(spark: SparkSession, sf_dir: str, weighted: bool = False) -> DataFrame:
-    """Targets' first ways against the benchmark words' own ways; weighted by 1, 2, 3 ... along the units."""
+    """Targets' ways against all words' ways, of equal ways of targets one; weighted by 1, 2, 3 ... along the units."""
     w = match_words(spark, sf_dir).select("units").distinct()
-    t = best_way(spark, sf_dir)
-    pairs = t.join(w, F.size("a") == F.size("units")).select("target", "a", F.col("units").alias("b"), joined(F.col("units")).alias("word"))
+    t = target_ways(spark, sf_dir)
+    pairs = t.select("a").distinct().join(w, F.size("a") == F.size("units")).select("a", F.col("units").alias("b"))
     if weighted:
         pairs = pairs.withColumn("w", distance.normalized_weights(F.sequence(F.lit(1), F.size("a")).cast("array<double>"), F.size("a")))
-    return distance.pair_distances(pairs, distance.unit_matrix(spark), ["target", "word"], weighted)
+    return t.join(distance.pair_distances(pairs, distance.unit_matrix(spark), ["a", "b"], weighted), "a")
 
 
 def _near_sql() -> str:
-    return NEAREST_SQL + ", one AS (SELECT w AS target, units AS a FROM tways WHERE i = n - 1 AND len(units) > 0 QUALIFY row_number() OVER (PARTITION BY w ORDER BY ord) = 1)"
+    return NEAREST_SQL + ", one AS (SELECT DISTINCT target, a FROM tg)"
 
 
 register("word_distance", lambda spark, d: distances(spark, d).groupBy("target").agg(F.min("d").alias("least"), F.count("*").alias("n"), F.sum("d").alias("total")), _near_sql() + " SELECT target, min(d) AS least, count(*) AS n, sum(d) AS total FROM one JOIN pd USING (a) GROUP BY target")
@@ -75,8 +75,8 @@ SELECT target, round(min(d + (ng.va + vcost) * 4.0), 6) AS sim FROM ng JOIN wd O
 )
 register(
     "unit_distance",
-    lambda spark, d: best_way(spark, d).select("target", F.posexplode("a").alias("i", "u1")).select("target", F.col("i").cast("long").alias("i"), "u1", kana.kana_vowel(F.col("u1")).alias("u2")).join(F.broadcast(distance.unit_matrix(spark)), ["u1", "u2"], "left").select("target", "i", F.coalesce("dist", F.lit(float("inf"))).alias("dist")),
-    _near_sql() + ", x AS (SELECT target, unnest(range(len(a))) AS i, unnest(a) AS u1 FROM one) SELECT target, i, coalesce(dist, 'inf'::DOUBLE) AS dist FROM x LEFT JOIN dist ON dist.u1 = x.u1 AND dist.u2 = " + d_last_vowel("x.u1"),
+    lambda spark, d: target_ways(spark, d).select("target", joined(F.col("a")).alias("way"), F.posexplode("a").alias("i", "u1")).select("target", "way", F.col("i").cast("long").alias("i"), "u1", kana.kana_vowel(F.col("u1")).alias("u2")).join(F.broadcast(distance.unit_matrix(spark)), ["u1", "u2"], "left").select("target", "way", "i", F.coalesce("dist", F.lit(float("inf"))).alias("dist")),
+    _near_sql() + ", x AS (SELECT target, array_to_string(a, '|') AS way, unnest(range(len(a))) AS i, unnest(a) AS u1 FROM one) SELECT target, way, i, coalesce(dist, 'inf'::DOUBLE) AS dist FROM x LEFT JOIN dist ON dist.u1 = x.u1 AND dist.u2 = " + d_last_vowel("x.u1"),
 )
 
 
@@ -307,7 +307,7 @@ SELECT p_partkey, coalesce(out, '') AS out FROM t LEFT JOIN j USING (p_partkey)"
 def kana_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(song, line, tokens) of every turn: its romaji words as kana tokens; each begins a phrase by its length."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("song"), F.col("turn").alias("line"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("ws"))
-    found = F.filter("ws", lambda w: F.length(w).between(2, 12) & english.is_romaji(w))
+    found = F.filter("ws", english.is_romaji)
     return c.select("song", "line", F.transform(found, lambda w: F.struct(w.alias("surface_form"), english.romaji_words_to_kana(w).alias("pronunciation"), F.element_at(F.array(*map(F.lit, POS)), F.length(w) % 6 + 1).alias("pos"), F.lit(0).alias("phrase"))).alias("tokens"))
 
 
@@ -396,5 +396,5 @@ register("locks", locks)
 register(
     "filler_fallback",
     filler_fallback,
-    "SELECT conv_id AS song, turn AS line, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) BETWEEN 2 AND 12 AND regexp_full_match(w, '%s+'))) * 1000001.0::DOUBLE AS cost FROM conversations" % lex.romaji_pattern(),
+    "SELECT conv_id AS song, turn AS line, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: regexp_full_match(w, '%s+'))) * 1000001.0::DOUBLE AS cost FROM conversations" % lex.romaji_pattern(),
 )
