@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, packing, quality, rules, simhash, substring, tokens, toxicity, urls
+from . import audit, collocate, decontam, html, packing, quality, rules, simhash, substring, tokens, toxicity, urls, vectorpack
 from .common import table
 
 
@@ -62,9 +62,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocate.mined(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return vectorpack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = (
+    op1_simhash, op2_tokens, op3_quality, op4_decontamination, op5_html, op6_quality_rules, op7_substring, op8_toxicity, op9_urls, op10_packing,
+    op11_filter_audit, op12_collocations, op13_vector_packing,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_tokens, op3_quality, op4_decontamination, op5_html, op6_quality_rules, op7_substring, op8_toxicity, op9_urls, op10_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": rules.ORACLE_SQL}
+    return {"op6_quality_rules": rules.ORACLE_SQL, "op11_filter_audit": audit.ORACLE_SQL, "op12_collocations": collocate.ORACLE_SQL}
