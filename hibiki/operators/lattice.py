@@ -1,305 +1,749 @@
-"""Words for whole lines and ranked words for targets, over a prefix tree of the word list.
+"""Words for whole lines and ranked words for targets, over a sharded index of the word list.
 
-The word list is a dimension table: its unit lists become a prefix tree, laid out by depth in
-arrays, which is broadcast while it has at most MOST_WORDS rows. A target is read syllable by
-syllable; for every depth one array keeps the least cost with which the ways read so far reach
-each node, so that words that begin alike and ways of a syllable that meet again are scored
-once, and no pair of target and word is ever a row. Longer word lists go through the joins of
-`distance` and `segment`.
+`index` cuts the word list, in order of its units, into shards of at most SHARD_ROWS rows; the
+executors make them. While all shards together are small they are broadcast, and a task walks
+them (`wordtree`) with many targets or lines at once. A larger index stays a table: each target
+first meets the shard that may hold its nearest words, then those whose least distance does not
+pass what it has found, in batches that are joined with the shard; the best of all shards are
+merged. No pair of target and word is ever a row.
 
-Costs add up in the order of units, and each syllable's edits where they come, so sums of
-matrices that are not binary fractions may differ in the last digits from `distance.nearest`.
+A line is covered prefix by prefix. A run of syllables needs its word only if the word may cost
+no more than the cheapest cover of the run by shorter words, so walks end at that limit, and
+are taken up again with a higher one only for runs whose words within the limit are all used.
+
+Sums are those of the joins in `distance`: unit by unit, then the edits of both sides together.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterator
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kana
+from ..plans.store import stored
+from ..sources.wordlist import id_order
 from .distance import normalized_weights
 from .segment import DEFAULTS, FILLER
-
-MOST_WORDS = 500_000
-_INTEGER = re.compile("0|[1-9][0-9]{0,9}")
+from .wordtree import EPS, GROUP, Asked, Ways, Words, lengths_of
+
+#: Word rows of a shard, and bytes of all shards up to which they are broadcast.
+SHARD_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
+#: Targets that meet a shard in one row of the join.
+BATCH = 1_000
+#: First limit of a walk.
+LIMIT = 32.0
+#: Words that a run should have at hand where none may come twice.
+AT_HAND = 3
+#: Units of lines that are walked together.
+UNITS = 2_000
+LOCK = "struct<i:int,t:int,id:string,sim:double,surface:string,pronunciation:array<string>,kana:string,original:string>"
 GENERATED = "song long, line long, word int, i int, t int, id string, sim double, score double, filler boolean, locked boolean, surface string, pronunciation array<string>, kana string, original string, originalkana string, original_surface string, vcost int"
 RANKED = "target string, id string, sim double, n_units int, seq long, rank int"
+COLUMNS = [f.split()[0] for f in GENERATED.replace(", ", ",").split(",")]
 
 
-def _id_key(x: str) -> tuple[bool, int]:
-    whole = _INTEGER.fullmatch(x) is not None and int(x) < 4294967295
-    return (not whole, int(x) if whole else 0)
-
-
-class WordIndex:
-    """words: rows id, n_units, seq, units, vcost, and what else a result row tells; names, grid: the unit distances."""
-
-    def __init__(self, words: pd.DataFrame, names: list[str], grid: np.ndarray, variation_cost: float = 0.0):
-        self.place = {n: i for i, n in enumerate(names)}
-        self.grid, self.variation_cost = grid, float(variation_cost)
-        words = words.sort_values(["n_units", "seq"], kind="stable").reset_index(drop=True)
-        nodes: list[dict[tuple[int, ...], int]] = [{(): 0}]
-        parent: list[list[int]] = [[]]
-        code: list[list[int]] = [[]]
-        ends: list[list[tuple[int, int]]] = [[]]
-        for row, units in enumerate(words["units"]):
-            codes = tuple(self.place.get(u, -1) for u in units)
-            if not codes or -1 in codes:
-                continue
-            at = 0
-            for d in range(1, len(codes) + 1):
-                if d == len(nodes):
-                    nodes.append({})
-                    parent.append([])
-                    code.append([])
-                    ends.append([])
-                got = nodes[d].get(codes[:d])
-                if got is None:
-                    got = nodes[d][codes[:d]] = len(nodes[d])
-                    parent[d].append(at)
-                    code[d].append(codes[d - 1])
-                at = got
-            ends[len(codes)].append((at, row))
-        self.parent, self.code = [np.array(x, np.int32) for x in parent], [np.array(x, np.int32) for x in code]
-        self.end_node = [np.array([n for n, _ in x], np.int64) for x in ends]
-        self.end_row = [np.array([r for _, r in x], np.int64) for x in ends]
-        self.ids, wid = np.unique(words["id"].to_numpy(str), return_inverse=True) if len(words) else (np.zeros(0, str), np.zeros(0, np.int64))
-        self.wid = wid.astype(np.int64)
-        self.keys = [_id_key(x) for x in self.ids.tolist()]
-        self.extra = words["vcost"].to_numpy(float) * self.variation_cost if len(words) else np.zeros(0)
-        self.words = words
-
-    def advance(self, state: dict[int, np.ndarray], ways, weight: float = 1.0) -> dict[int, np.ndarray]:
-        """The costs by depth after one more syllable, said in any of its ways (units, cost)."""
-        out: dict[int, np.ndarray] = {}
-        for depth, cost in state.items():
-            for units, edits in ways:
-                d, c = depth, cost
-                for u in units:
-                    d += 1
-                    k = self.place.get(u)
-                    if d >= len(self.parent) or k is None:
-                        break
-                    c = c[self.parent[d]] + (self.grid[k] * weight)[self.code[d]]
-                else:
-                    if edits and self.variation_cost:
-                        c = c + edits * self.variation_cost
-                    out[d] = np.minimum(out[d], c) if d in out else c
-        return out
+class Index(NamedTuple):
+    """shards(shard, firsts, rows, blob): firsts are the codes of the rows' first units."""
+
+    shards: DataFrame
+    words: DataFrame
+    names: list[str]
+    grid: np.ndarray
+    variation_cost: float
+    bytes: int
+    count: int
+
+    def fits(self) -> bool:
+        return self.bytes <= BROADCAST_BYTES
+
+    def shared(self):
+        """A broadcast of all shards, which `held` opens."""
+        blobs = [bytes(r.blob) for r in self.shards.sort("shard").select("blob").collect()]  # at most BROADCAST_BYTES
+        return self.shards.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, blobs, self.names, self.grid, self.variation_cost))
+
+
+_HELD: dict[str, Words] = {}
+
+
+def held(shared) -> Words:
+    """This worker's words of a broadcast index."""
+    token, *parts = shared.value
+    if token not in _HELD:
+        _HELD.clear()
+        _HELD[token] = Words(*parts)
+    return _HELD[token]
 
-    def rows_and_costs(self, state: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Word rows that the state reaches, in order of (units, seq), and their costs."""
-        found = [(self.end_row[d], state[d][self.end_node[d]] + self.extra[self.end_row[d]]) for d in sorted(state) if d and len(self.end_row[d])]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
-
-    def best(self, state: dict[int, np.ndarray], taken: np.ndarray | None) -> tuple[float, int] | None:
-        """Cost and row of the best word that is not taken; of equal words the first by id order, of its equal ways the one read last."""
-        rows, costs = self.rows_and_costs(state)
-        free = costs if taken is None or not len(rows) else np.where(taken[self.wid[rows]], np.inf, costs)
-        if not len(free) or not np.isfinite(least := free.min()):
-            return None
-        tied = np.flatnonzero(free == least)
-        names = np.unique(self.wid[rows[tied]])
-        if len(names) > 1:
-            whose = self.wid[rows]
-            chosen = min(names.tolist(), key=lambda w: (*self.keys[w], int(np.argmax(whose == w)) if self.keys[w][0] else 0))
-            tied = tied[self.wid[rows[tied]] == chosen]
-        return float(least), int(rows[tied[-1]])
-
-    def ranked(self, state: dict[int, np.ndarray], k: int | None) -> list[tuple[int, float]]:
-        """Rows and costs of every id's best way, or the first k, in rank order."""
-        rows, costs = self.rows_and_costs(state)
-        fine = np.isfinite(costs)
-        rows, costs = rows[fine], costs[fine]
-        if not len(rows):
-            return []
-        whose = self.wid[rows]
-        order = np.lexsort((-np.arange(len(rows)), costs, whose))
-        first = order[np.r_[True, whose[order][1:] != whose[order][:-1]]]
-        seen = np.full(len(self.ids), len(rows))
-        np.minimum.at(seen, whose, np.arange(len(rows)))
-        if k is not None and len(first) > k:  # ties at the k-th cost stay for the full order
-            first = first[costs[first] <= np.partition(costs[first], k - 1)[k - 1]]
-        told = sorted(first.tolist(), key=lambda x: (costs[x], *self.keys[whose[x]], seen[whose[x]]))
-        return [(int(rows[x]), float(costs[x])) for x in told[:k]]
-
-
-def cover_line(index: WordIndex, ways: list, breaks: set[int], p: dict, taken: np.ndarray | None, weights=None, s: int = 0, t: int | None = None) -> tuple[float, list[dict]]:
-    """The cover of syllables s to t, prefix by prefix; with `taken` words neither taken nor on the prefix's own path come.
-
-    Each end takes the first strict minimum over starts, earliest first and filler before the
-    word. That is the method, not an optimum over all covers where words may not repeat.
+
+def index(words: DataFrame, dist: DataFrame, variation_cost: float = 0.0, shard_rows: int | None = None) -> Index:
+    """The index of a word table (id, n_units, seq, units, vcost[, surface, original, kana]) of any length.
+
+    dist(u1, u2, dist) has a fixed size. Rows without units, or with a unit that dist has not,
+    match nothing and are left out.
     """
-    n = len(ways)
-    t = n if t is None else t
-    each = p["WORD_NUMBER_PENALTY"]
-    best: dict[int, tuple[float, list[dict]]] = {s: (0.0, [])}
-    states: dict[int, dict[int, np.ndarray]] = {}
-    for e in range(s + 1, t + 1):
-        states[e - 1] = {0: np.zeros(1)}
-        states = {i: x for i, y in states.items() if (x := index.advance(y, ways[e - 1], 1.0 if weights is None else weights[e - 1]))}
-        choice = None
-        for i in sorted({*states, e - 1}):
-            base, path = best[i]
-            if e - i == 1 and (choice is None or base + FILLER + each < choice[0]):
-                choice = (base + FILLER + each, path, {"i": i, "t": e, "row": None, "sim": FILLER, "score": FILLER})
-            if i not in states:
-                continue
-            busy = taken
-            if taken is not None and (own := [index.wid[w["row"]] for w in path if w["row"] is not None]):
-                busy = taken.copy()
-                busy[own] = True
-            got = index.best(states[i], busy)
-            if got is not None:
-                score = got[0] - p["SAME_PHRASE_BREAK_REWARD"] if e in breaks else got[0] + (p["MID_PHRASE_BREAK_PENALTY"] if e != n else 0.0)
-                if choice is None or base + score + each < choice[0]:
-                    choice = (base + score + each, path, {"i": i, "t": e, "row": got[1], "sim": got[0], "score": score})
-        best[e] = (choice[0], [*choice[1], choice[2]])
-    return best[t]
+    rows = dist.collect()  # one row for each pair of units
+    names = sorted({r.u1 for r in rows})
+    place = {n: i for i, n in enumerate(names)}
+    grid = np.full((len(names), len(names)), np.inf)
+    for r in rows:
+        if r.u2 in place:
+            grid[place[r.u1], place[r.u2]] = r.dist
+    per_shard = shard_rows or SHARD_ROWS
+    table = F.map_from_arrays(F.array(*map(F.lit, names)).cast("array<string>"), F.array(*(F.lit(i) for i in range(len(names)))).cast("array<int>"))
+    extra = [F.col(c).cast("string").alias(c) if c in words.columns else F.lit(None).cast("string").alias(c) for c in ("surface", "original", "kana")]
+    coded = words.select(F.col("id").cast("string").alias("id"), F.col("n_units").cast("int").alias("n_units"), F.col("seq").cast("long").alias("seq"), F.col("vcost").cast("int").alias("vcost"), F.transform("units", lambda u: F.try_element_at(table, u)).alias("codes"), *extra)
+    coded = stored(coded.where((F.size("codes") > 0) & F.forall("codes", lambda c: c.isNotNull())))
+    parts = max(1, -(-coded.count() // per_shard))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def shard(t: pa.Table) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema) as out:
+                out.write_table(t)
+            firsts = sorted({c[0] for c in t["codes"].to_pylist()})
+            return pa.RecordBatch.from_arrays([pa.array([firsts], pa.list_(pa.int32())), pa.array([len(t)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["firsts", "rows", "blob"])
+
+        for b in batches:
+            waiting.append(b)
+            while sum(x.num_rows for x in waiting) > per_shard:
+                t = pa.Table.from_batches(waiting)
+                yield shard(t.slice(0, per_shard).combine_chunks())
+                waiting = t.slice(per_shard).to_batches()
+        if sum(x.num_rows for x in waiting):
+            yield shard(pa.Table.from_batches(waiting).combine_chunks())
+
+    sorted_ = coded.repartitionByRange(parts, "codes", "seq").sortWithinPartitions("codes", "n_units", "seq")
+    shards = stored(sorted_.mapInArrow(build, "firsts array<int>, rows long, blob binary").withColumn("shard", F.monotonically_increasing_id()))
+    size = shards.agg(F.sum(F.length("blob")), F.count("*")).first()
+    return Index(shards, coded, names, grid, float(variation_cost), int(size[0] or 0), int(size[1]))
 
 
 def _listed(x) -> list:
     return [] if x is None or isinstance(x, float) else list(x)
 
 
-def _ways(x) -> list:
-    return [[(list(v["units"]), int(v["cost"])) for v in syllable["v"]] for syllable in _listed(x)]
+def _variants(units: Column) -> Column:
+    return F.transform(units, lambda u: F.struct(u.alias("s"), kana.syllable_variants(u).alias("v")))
+
+
+def _number(ways: Ways, syllables) -> list[int]:
+    return [ways.add(x["s"], [(list(v["units"]), int(v["cost"])) for v in x["v"]]) for x in _listed(syllables)]
+
+
+def _padded(rows: list[list], empty) -> np.ndarray:
+    out = np.full((len(rows), max(map(len, rows), default=0)), empty)
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
+
 
+# -- ranked words of targets -------------------------------------------------------------------------
 
-def _line_rows(index: WordIndex, r, p: dict, taken: np.ndarray | None, number: dict[str, int]) -> list[tuple]:
-    """Result rows of one line; words taken by it are marked in taken."""
-    ways, units = _ways(r.ways), _listed(r.units)
-    weights = _listed(r.weights) or None
+
+def ranks(words: Words, targets: list[tuple[list, list | None]], k: int | None, bounds: list[float] | None = None) -> list[list[tuple[float, int, int]]]:
+    """The first k, or all, (sum, word, row) of each target (syllables with ways, weights or None), in rank order, with all that equal the k-th.
+
+    The limit of a walk rises until it holds k words. bounds: sums beyond which no word is asked for.
+    """
+    out: list[list[tuple[float, int, int]]] = [[] for _ in targets]
+    if not len(words.n_units):
+        return out
+    ways = Ways(words.place)
+    numbers = [_number(ways, s) for s, _ in targets]
+    for weighted in (False, True):
+        group = [i for i, (_, w) in enumerate(targets) if numbers[i] and (w is not None) == weighted]
+        group.sort(key=lambda i: numbers[i])
+        for c in range(0, len(group), GROUP):
+            some = group[c : c + GROUP]
+            weights = _padded([list(map(float, targets[i][1])) for i in some], 0.0) if weighted else None
+            asked = Asked(_padded([numbers[i] for i in some], -1), weights)
+            ends = [int(asked.node[x, len(numbers[i]) - 1]) for x, i in enumerate(some)]
+            most = words.most * max(1.0, float(weights.max())) if weighted else words.most
+            lengths = None
+            open_ = list(range(len(some)))
+            now = most if k is None else LIMIT
+            while open_:
+                limit = np.full(asked.size, -np.inf)
+                for x in open_:
+                    limit[ends[x]] = max(limit[ends[x]], min(now, most, bounds[some[x]] if bounds else np.inf))
+                hits = list(words.walk(ways, asked, limit))
+                if lengths is None:
+                    lengths = lengths_of(ways, asked)
+                got = words.ranked(*(np.concatenate(x) for x in zip(*hits)), lengths.__getitem__) if hits else {}
+                left = []
+                for x in open_:
+                    found = got.get(ends[x], [])
+                    if k is None or len(found) >= k or now >= most or (bounds and now >= bounds[some[x]]):
+                        if k is not None and len(found) > k:
+                            found = [f for f in found if f[0] <= found[k - 1][0]]
+                        out[some[x]] = found
+                    else:
+                        left.append(x)
+                open_ = left
+                now *= 2
+    return out
+
+
+def nearest(targets: DataFrame, words: DataFrame | Index, dist: DataFrame | None = None, variation_cost: float = 0.0, k: int | None = None, weights: Column | None = None) -> DataFrame:
+    """(target, id, sim, n_units, seq, rank): each target's words in rank order, the first k or all.
+
+    targets(target, syllables); weights: a column of targets with one weight for each syllable,
+    ignored where it is not valid. words: a word table, or its index. The same result as
+    distance.ranked(distance.nearest(..)), without rows for pairs. Targets are told by their
+    name: rows that repeat one are ranked once each by a small index, together by a large one.
+    """
+    found = words if isinstance(words, Index) else index(words, dist, variation_cost)
+    w = F.lit(None).cast("array<double>") if weights is None else normalized_weights(weights, F.size("syllables"))
+    rows = targets.select("target", _variants(F.col("syllables")).alias("ways"), w.alias("w"))
+    if not found.fits():
+        return _nearest_by_shards(rows, found, k)
+    shared = found.shared()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = held(shared)
+        for pdf in batches:
+            for c in range(0, len(pdf), GROUP):
+                some = pdf.iloc[c : c + GROUP]
+                got = ranks(own, [(_listed(r.ways), _listed(r.w) or None) for r in some.itertuples()], k)
+                out = [(t, s, w, r, i) for t, found in zip(some["target"], got) for i, (s, w, r) in enumerate(found[:k], 1)]
+                if not out:
+                    continue
+                told = np.array([x[3] for x in out], np.int64)
+                ids = own.ids.take(pa.array([x[2] for x in out], pa.int64())).to_pylist()
+                yield pd.DataFrame({"target": [x[0] for x in out], "id": ids, "sim": [x[1] for x in out], "n_units": own.n_units[told].astype("int32"), "seq": own.seq[told], "rank": np.array([x[4] for x in out], "int32")})
+
+    return rows.repartition(max(1, int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "target").mapInPandas(run, RANKED)
+
+
+_SHARED = "target string, id string, sim double, n_units int, seq long, lengths array<int>"
+
+
+def _nearest_by_shards(rows: DataFrame, found: Index, k: int | None) -> DataFrame:
+    """nearest over an index that is not broadcast. rows(target, ways, w)."""
+    spark = rows.sparkSession
+    # each shard's first units: a few hundred bits for SHARD_ROWS word rows
+    firsts = {r.shard: np.array(r.firsts) for r in found.shards.select("shard", "firsts").collect()}
+    directory = spark.sparkContext.broadcast((list(firsts), list(firsts.values()), found.names, found.grid, found.variation_cost))
+    rows = stored(rows)
+    batches = max(1, -(-rows.count() // BATCH))
+
+    def least(ways, w) -> np.ndarray:
+        """The least that a word of each shard can cost: its first unit against those of the target's ways, and their edits."""
+        shards, codes, names, grid, cost = directory.value
+        place = {u: i for i, u in enumerate(names)}
+        out = np.full(len(shards), np.inf)
+        silent = 0
+        for x, way in enumerate(ways):
+            for v in way["v"]:
+                if len(v["units"]) and (u := place.get(v["units"][0])) is not None:
+                    row = grid[u] * (w[x] if w else 1.0)
+                    out = np.minimum(out, [row[c].min() + (silent + v["cost"]) * cost for c in codes])
+            quiet = [v["cost"] for v in way["v"] if not len(v["units"])]
+            if not quiet:
+                break
+            silent += min(quiet)
+        return out
+
+    def deal(first: bool):
+        def run(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shards = directory.value[0]
+            for pdf in batches_:
+                out = []
+                for r in pdf.itertuples():
+                    low = least(_listed(r.ways), _listed(r.w))
+                    home = int(np.argmin(low)) if len(low) else -1
+                    bound = np.inf if first else r.bound
+                    for s in [home] if first else range(len(low)):
+                        if s >= 0 and np.isfinite(low[s]) and low[s] <= bound + 1e-6 and (first or s != home):
+                            out.append((r.target, r.ways, r.w, bound, shards[s]))
+                yield pd.DataFrame(out, columns=["target", "ways", "w", "bound", "shard"])
+
+        return run
+
+    pair = f"target string, ways {rows.schema['ways'].dataType.simpleString()}, w array<double>, bound double, shard long"
+
+    def searched(pairs: DataFrame) -> DataFrame:
+        grouped = pairs.groupBy("shard", F.pmod(F.xxhash64("target"), F.lit(batches)).alias("batch")).agg(F.collect_list(F.struct("target", "ways", "w", "bound")).alias("asked"))
+        names, grid, cost = found.names, found.grid, found.variation_cost
+
+        def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches_:
+                for x in range(b.num_rows):
+                    own = Words([b.column(1)[x].as_py()], names, grid, cost)
+                    asked = b.column(0)[x].as_py()
+                    got = ranks(own, [(a["ways"], a["w"]) for a in asked], k, [a["bound"] for a in asked])
+                    told = [(a["target"], s, w, r) for a, f in zip(asked, got) for s, w, r in f]
+                    at = np.array([t[3] for t in told], np.int64)
+                    ways = {a["target"]: _lengths(a["ways"], own.place) for a in asked}
+                    ids = own.ids.take(pa.array([t[2] for t in told], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in told], pa.string()), ids.cast(pa.string()), pa.array([t[1] for t in told], pa.float64()), pa.array(own.n_units[at].astype(np.int32)), pa.array(own.seq[at].astype(np.int64)), pa.array([ways[t[0]] for t in told], pa.list_(pa.int32()))], [f.split()[0] for f in _SHARED.split(", ")])
+
+        return grouped.join(found.shards.select("shard", "blob"), "shard").select("asked", "blob").mapInArrow(run, _SHARED)
+
+    near = stored(searched(rows.mapInPandas(deal(True), pair)))
+    if k is None:
+        bound = F.lit(float("inf"))
+        asked = rows.withColumn("bound", bound)
+    else:
+        place = F.row_number().over(Window.partitionBy("target").orderBy("sim"))
+        kth = near.withColumn("r", place).where(F.col("r") == k).groupBy("target").agg(F.min("sim").alias("bound"))
+        asked = rows.join(kth, "target", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    every = near.unionByName(searched(asked.mapInPandas(deal(False), pair)))
+    best = every.groupBy("target", "id").agg(F.min(F.struct("sim", (-F.col("n_units")).alias("n"), (-F.col("seq")).alias("s"))).alias("x"), F.first("lengths").alias("lengths"))
+    best = best.select("target", "id", "x.sim", (-F.col("x.n")).alias("n_units"), (-F.col("x.s")).alias("seq"), "lengths")
+    # where ids are no numbers, equals are told apart by the id's first place among words of the target's lengths
+    first = found.words.groupBy("id", "n_units").agg(F.min("seq").alias("seq")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n_units", "seq"))).alias("places"))
+    seen = F.get(F.filter("places", lambda p: F.array_contains("lengths", p["n_units"])), F.lit(0))
+    out = best.join(first, "id").withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("sim", *id_order(F.col("id"), seen))))
+    return (out if k is None else out.where(F.col("rank") <= k)).select("target", "id", "sim", "n_units", "seq", "rank")
+
+
+def _lengths(ways: list, place: dict[str, int]) -> list[int]:
+    bits = 1
+    for way in ways:
+        now = 0
+        for v in way["v"]:
+            if all(u in place for u in v["units"]):
+                now |= bits << len(v["units"])
+        bits = now
+    return [n for n in range(1, bits.bit_length()) if bits >> n & 1]
+
+
+# -- covers of lines -----------------------------------------------------------------------------------
+
+
+class Run:
+    """What is known of a run of syllables: all words within `limit`, as (sum, word, row) in rank order."""
+
+    __slots__ = ("limit", "found")
+
+    def __init__(self):
+        self.limit, self.found = -np.inf, []
+
+
+class Covers:
+    """Covers of lines by a worker's words, with the runs that have been asked for so far."""
+
+    #: Runs that are remembered before the memory starts anew.
+    MOST_RUNS = 200_000
+
+    def __init__(self, words: Words, parameters: dict):
+        self.words, self.p = words, parameters
+        self.ways = Ways(words.place)
+        self.longest = int(words.n_units.max(initial=0))
+        self.runs: dict[tuple, Run] = {}
+
+    def reach(self, line: list[int]) -> list[int]:
+        """For each start the end of its longest run that a word can match."""
+        least = np.array([min((len(u) for u, _ in self.ways.list[k]), default=1 << 20) for k in line], np.int64)
+        total = np.r_[0, np.cumsum(least)]
+        return [int(np.searchsorted(total, total[i] + self.longest, "right")) - 1 for i in range(len(line))]
+
+    def key(self, line: list[int], weights: list[float] | None, i: int, e: int) -> tuple:
+        return (*line[i:e],) if weights is None else (*line[i:e], *weights[i:e])
+
+    def ask(self, wanted: dict[tuple, tuple[list[int], list[float] | None, float]]) -> None:
+        """Finds all words within the limit of each run: key to (syllables, weights, limit)."""
+        if not len(self.words.n_units):
+            for key, (_, _, limit) in wanted.items():
+                self.runs.setdefault(key, Run()).limit = limit
+            return
+        for weighted in (False, True):
+            some = sorted((x for x in wanted.items() if (x[1][1] is not None) == weighted), key=lambda x: (x[1][0], x[1][1] or []))
+            for c in range(0, len(some), 4 * GROUP):
+                part = some[c : c + 4 * GROUP]
+                asked = Asked(_padded([s for _, (s, _, _) in part], -1), _padded([w for _, (_, w, _) in part], 0.0) if weighted else None)
+                limit = np.full(asked.size, -np.inf)
+                nodes = [int(asked.node[x, len(s) - 1]) for x, (_, (s, _, _)) in enumerate(part)]
+                for node, (_, (_, _, top)) in zip(nodes, part):
+                    limit[node] = max(limit[node], top)
+                hits = list(self.words.walk(self.ways, asked, limit))
+                lengths = lengths_of(self.ways, asked)
+                got = self.words.ranked(*(np.concatenate(x) for x in zip(*hits)), lengths.__getitem__) if hits else {}
+                for node, (key, (_, _, top)) in zip(nodes, part):
+                    run = self.runs.get(key) or self.runs.setdefault(key, Run())
+                    run.limit, run.found = top, got.get(node, [])
+
+    def most(self, weights) -> float:
+        return self.words.most * (max(1.0, max(weights)) if weights else 1.0)
+
+    def adjusted(self, breaks: set[int], n: int, e: int) -> float:
+        return -self.p["SAME_PHRASE_BREAK_REWARD"] if e in breaks else self.p["MID_PHRASE_BREAK_PENALTY"] if e != n else 0.0
+
+    def prepare(self, lines: list[tuple[list[int], list[float] | None, set[int], list[tuple[int, int]]]], at_hand: int, busy: set[int] | None = None) -> None:
+        """Asks for all runs of the lines until each has at_hand words that are not busy, or all of those that cost no more than its cover by shorter runs.
+
+        lines: (syllables, weights, breaks, free stretches). Limits rise for all runs together;
+        what is found bounds the runs that hold it.
+        """
+        if len(self.runs) > self.MOST_RUNS:
+            self.runs.clear()
+        starts: list[tuple[int, int, int]] = []  # line, first syllable, number of runs
+        for x, (line, _, _, free) in enumerate(lines):
+            ends = self.reach(line)
+            for s, t in free:
+                starts += [(x, i, min(t, ends[i]) - i) for i in range(s, t)]
+        if not starts or not len(self.words.n_units):
+            return
+        most = max(n for _, _, n in starts)
+        each = self.p["WORD_NUMBER_PENALTY"]
+        # by size - 1 and start: what a word's place adds to its sum, and the run; the start of the next syllable is the next one
+        add, top_of = np.full((most, len(starts)), np.inf), np.full((most, len(starts)), -np.inf)
+        runs: list[list[Run]] = []
+        for c, (x, i, n) in enumerate(starts):
+            line, weights, breaks, _ = lines[x]
+            add[:n, c] = [self.adjusted(breaks, len(line), i + k) + each for k in range(1, n + 1)]
+            top_of[:n, c] = self.most(weights)
+            own = []
+            for k in range(1, n + 1):
+                key = self.key(line, weights, i, i + k)
+                own.append(self.runs.get(key) or self.runs.setdefault(key, Run()))
+            runs.append(own)
+        groups = []
+        for weighted in (False, True):
+            some = [c for c, (x, _, n) in enumerate(starts) if n and (lines[x][1] is not None) == weighted]
+            some.sort(key=lambda c: lines[starts[c][0]][0][starts[c][1] : starts[c][1] + starts[c][2]])
+            for g in range(0, len(some), GROUP):
+                part = some[g : g + GROUP]
+                cut = lambda c, w: lines[starts[c][0]][w][starts[c][1] : starts[c][1] + starts[c][2]]
+                asked = Asked(_padded([cut(c, 0) for c in part], -1), _padded([cut(c, 1) for c in part], 0.0) if weighted else None)
+                groups.append((part, asked, lengths_of(self.ways, asked)))
+        now = LIMIT
+        while True:
+            best = np.full((most, len(starts)), np.inf)
+            short = np.zeros((most, len(starts)), bool)
+            for c, own in enumerate(runs):
+                for k, run in enumerate(own):
+                    at_hand_ = list(islice((f[0] for f in run.found if busy is None or f[1] not in busy), at_hand))
+                    if at_hand_:
+                        best[k, c] = at_hand_[0]
+                    short[k, c] = len(at_hand_) < at_hand
+            # covers[k]: the cheapest cover of the k + 1 syllables from each start by what is found so far
+            covers = np.full((most, len(starts)), np.inf)
+            tops = np.full((most, len(starts)), np.inf)
+            for k in range(most):
+                tops[k] = FILLER + each
+                if k:
+                    tops[k] = np.inf
+                    for m in range(k):
+                        tops[k, : len(starts) - m - 1] = np.minimum(tops[k, : len(starts) - m - 1], covers[m, : len(starts) - m - 1] + covers[k - m - 1, m + 1 :])
+                covers[k] = np.where(np.isfinite(add[k]), np.minimum(tops[k], best[k] + add[k]), np.inf)
+            need = np.minimum(np.where(np.isfinite(add), tops - np.where(np.isfinite(add), add, 0.0), -np.inf), top_of)
+            idle = True
+            for part, asked, lengths in groups:
+                limit = np.full(asked.size, -np.inf)
+                open_: dict[int, Run] = {}
+                for row, c in enumerate(part):
+                    for k, run in enumerate(runs[c]):
+                        top = need[k, c]
+                        if short[k, c] and run.limit + EPS < top:
+                            idle = False
+                            if run.limit + EPS < min(now, top):
+                                node = int(asked.node[row, k])
+                                limit[node] = max(limit[node], min(now, top))
+                                open_[node] = run
+                if not open_:
+                    continue
+                hits = list(self.words.walk(self.ways, asked, limit))
+                got = self.words.ranked(*(np.concatenate(x) for x in zip(*hits)), lengths.__getitem__) if hits else {}
+                for node, run in open_.items():
+                    run.limit, run.found = float(limit[node]), got.get(node, [])
+            if idle:
+                return
+            now *= 2
+
+    def first_free(self, line, weights, i: int, e: int, top: float, busy: set[int] | None, own: set[int]):
+        """The best word of a run that is neither busy nor own, if its sum is within top; a run's words are taken up again where all at hand are used."""
+        key = self.key(line, weights, i, e)
+        run = self.runs.get(key)
+        most = min(top, self.most(weights))
+        while True:
+            if run is not None:
+                for f in run.found:
+                    if f[0] > most + EPS:
+                        return None
+                    if busy is None or (f[1] not in busy and f[1] not in own):
+                        return f
+                if run.limit + EPS >= most:
+                    return None
+            limit = min(self.most(weights), max(LIMIT, 2 * run.limit if run is not None else LIMIT))
+            self.ask({key: (line[i:e], None if weights is None else weights[i:e], limit)})
+            run = self.runs[key]
+
+    def cover(self, line: list[int], weights, breaks: set[int], busy: set[int] | None, s: int, t: int) -> list[tuple]:
+        """The cover of syllables s to t, prefix by prefix, as (i, t, word or None, row or None, sim, score); with busy words neither busy nor on the prefix's own path come.
+
+        Each end takes the least total over starts, of equal ones the earliest start and the
+        filler before the word. That is the method, not an optimum over all covers where words
+        may not repeat.
+        """
+        n, each = len(line), self.p["WORD_NUMBER_PENALTY"]
+        ends = self.reach(line)
+        starts: dict[int, list[int]] = {}
+        for i in range(s, t):
+            for e in range(i + 1, min(t, ends[i]) + 1):
+                starts.setdefault(e, []).append(i)
+        best: dict[int, tuple[float, tuple | None, frozenset]] = {s: (0.0, None, frozenset())}
+        for e in range(s + 1, t + 1):
+            base = best[e - 1][0]
+            # (total, start, filler before word), and what it takes
+            chosen = (base + FILLER + each, 2 * (e - 1))
+            step = (e - 1, e, None, None, FILLER, FILLER)
+            add = self.adjusted(breaks, n, e)
+            for i in reversed(starts.get(e, ())):
+                base, _, own = best[i]
+                slack = chosen[0] - base - each - add
+                got = self.first_free(line, weights, i, e, slack, busy, own)
+                if got is None:
+                    continue
+                score = got[0] - self.p["SAME_PHRASE_BREAK_REWARD"] if e in breaks else got[0] + (self.p["MID_PHRASE_BREAK_PENALTY"] if e != n else 0.0)
+                now = (base + score + each, 2 * i + 1)
+                if now < chosen:
+                    chosen, step = now, (i, e, got[1], got[2], got[0], score)
+            own = best[step[0]][2]
+            best[e] = (chosen[0], step, own | {step[2]} if busy is not None and step[2] is not None else own)
+        out = []
+        at = t
+        while at > s:
+            step = best[at][1]
+            out.append(step)
+            at = step[0]
+        return out[::-1]
+
+
+class Line(NamedTuple):
+    row: object
+    numbers: list[int]
+    weights: list[float] | None
+    breaks: set[int]
+    locks: list
+    free: list[tuple[int, int]]
+
+
+def _line(covers: Covers, r) -> Line:
+    numbers = _number(covers.ways, r.ways)
+    locks = sorted(_listed(r.locks), key=lambda x: x["i"])
+    free, at = [], 0
+    for lock in locks:
+        if at < lock["i"]:
+            free.append((at, lock["i"]))
+        at = max(at, lock["t"])
+    if at < len(numbers):
+        free.append((at, len(numbers)))
+    return Line(r, numbers, list(map(float, _listed(r.weights))) or None, set(map(int, _listed(r.breaks))), locks, free)
+
+
+def _rows(covers: Covers, line: Line, busy: set[int] | None) -> list[tuple]:
+    """Result rows of one line; words taken by it are added to busy."""
+    words, r = covers.words, line.row
+    units = _listed(r.units)
     surfaces = _listed(r.surfaces) or [""] * len(units)
-    breaks, n = set(map(int, _listed(r.breaks))), len(ways)
-    pinned = sorted(_listed(r.locks), key=lambda x: x["i"])
-    if taken is not None:
-        for x in pinned:
-            if x["id"] in number:
-                taken[number[x["id"]]] = True
-    found, at = [], 0
-    for lock in [*pinned, None]:
-        end = n if lock is None else lock["i"]
+    if busy is not None:
+        busy |= {n for x in line.locks if (n := words.numbered(x["id"])) is not None}
+    found: list[tuple[tuple, object]] = []
+    free = iter(line.free)
+    at = 0
+    for lock in [*line.locks, None]:
+        end = len(units) if lock is None else lock["i"]
         if at < end:
-            path = cover_line(index, ways, breaks, p, taken, weights, at, end)[1]
+            path = covers.cover(line.numbers, line.weights, line.breaks, busy, *next(free))
             found += [(w, None) for w in path]
-            if taken is not None:
-                taken[[index.wid[w["row"]] for w in path if w["row"] is not None]] = True
+            if busy is not None:
+                busy |= {w[2] for w in path if w[2] is not None}
         if lock is not None:
-            found.append(({"i": lock["i"], "t": lock["t"], "row": None, "sim": lock["sim"], "score": lock["sim"]}, lock["id"]))
+            found.append(((lock["i"], lock["t"], None, None, lock["sim"], lock["sim"]), lock))
             at = max(at, lock["t"])
     out = []
-    for k, (w, pin) in enumerate(found):
-        said, shown = "".join(units[w["i"] : w["t"]]), "".join(surfaces[w["i"] : w["t"]])
-        if w["row"] is None:
-            own = (pin, w["sim"], w["score"], pin is None, pin is not None, said if pin is None else pin, units[w["i"] : w["t"]], said, "", said, shown, None)
+    for k, ((i, t, word, row, sim, score), lock) in enumerate(found):
+        said, shown = "".join(units[i:t]), "".join(surfaces[i:t])
+        told = lambda name, other: other if lock[name] is None else lock[name]  # noqa: B023, E731
+        if lock is not None:
+            own = (lock["id"], sim, score, lock["id"] is None, True, told("surface", lock["id"] or said), list(told("pronunciation", units[i:t])), told("kana", said), told("original", ""), said, shown, None)
+        elif row is None:
+            own = (None, sim, score, True, False, said, units[i:t], said, "", said, shown, None)
         else:
-            row = index.words.iloc[w["row"]]
-            tell = lambda c, other: row[c] if c in index.words else other
-            own = (row["id"], w["sim"], w["score"], False, False, tell("surface", row["id"]), list(row["units"]), tell("kana", "".join(row["units"])), tell("original", ""), said, shown, int(row["vcost"]))
-        out.append((r.song, r.line, k, int(w["i"]), int(w["t"]), *own))
+            w = words.told(row)
+            units_of = [words.names[c] for c in w["codes"]]
+            own = (w["id"], sim, score, False, False, w["surface"] or w["id"], units_of, w["kana"] or "".join(units_of), w["original"] or "", said, shown, w["vcost"])
+        out.append((r.song, r.line, k, i, t, *own))
     return out
 
 
-COLUMNS = [f.split()[0] for f in GENERATED.replace(", ", ",").split(",")]
+def line_rows(lines: DataFrame) -> DataFrame:
+    """lines(song, line, units[, breaks, weights, surfaces, locks]) with the ways of their syllables, valid weights alone, and whole locks."""
+    blank = {"breaks": "array<int>", "surfaces": "array<string>"}
+    have = [F.col(c).cast(kind).alias(c) if c in lines.columns else F.lit(None).cast(kind).alias(c) for c, kind in blank.items()]
+    weights = normalized_weights(F.col("weights"), F.size("units")) if "weights" in lines.columns else F.lit(None).cast("array<double>")
+    if "locks" in lines.columns:
+        given = {f.name for f in lines.schema["locks"].dataType.elementType.fields}
+        fields = [f.split(":", 1) for f in ("i:int", "t:int", "id:string", "sim:double", "surface:string", "pronunciation:array<string>", "kana:string", "original:string")]
+        whole = F.transform("locks", lambda x: F.struct(*((x[n] if n in given else F.lit(None)).cast(kind).alias(n) for n, kind in fields)))
+    else:
+        whole = F.lit(None).cast(f"array<{LOCK}>")
+    return lines.select(F.col("song").cast("long").alias("song"), F.col("line").cast("long").alias("line"), "units", _variants(F.col("units")).alias("ways"), weights.alias("weights"), *have, whole.alias("locks"))
+
+
+def covered_songs(words: Words, parameters: dict, rows, busy: set | None) -> list[tuple]:
+    """Result rows of lines in order; busy: the song's used words, which grow, or None where words may repeat."""
+    covers = Covers(words, parameters)
+    out: list[tuple] = []
+    waiting: list[Line] = []
+    size = 0
+
+    def flush():
+        covers.prepare([(x.numbers, x.weights, x.breaks, x.free) for x in waiting], 1 if busy is None else AT_HAND)
+        for x in waiting:
+            if busy:  # what earlier lines have used is made up for, all runs of the line together
+                covers.prepare([(x.numbers, x.weights, x.breaks, x.free)], AT_HAND, busy)
+            out.extend(_rows(covers, x, busy))
+        waiting.clear()
+
+    for r in rows:
+        waiting.append(_line(covers, r))
+        size += len(waiting[-1].numbers)
+        if size > UNITS:
+            flush()
+            size = 0
+    flush()
+    return out
+
+
+class Candidates:
+    """Ranked words of a song's runs, k of each at most, in place of an index at hand."""
+
+    def __init__(self, names: list[str], longest: int):
+        self.names, self.place, self.longest = names, {u: i for i, u in enumerate(names)}, longest
+
+    def numbered(self, id_: str | None) -> str | None:
+        return id_
 
+    def told(self, row) -> dict:
+        return row
 
-def index_of(words: DataFrame, dist: DataFrame, variation_cost: float) -> WordIndex | None:
-    """The index of a word table and a distance table of fixed size; None if the words are too many."""
-    keep = [c for c in ("surface", "original", "kana") if c in words.columns]
-    some = words.select(F.col("id").cast("string").alias("id"), F.col("n_units").cast("int").alias("n_units"), F.col("seq").cast("long").alias("seq"), "units", F.col("vcost").cast("int").alias("vcost"), *keep).limit(MOST_WORDS + 1).toPandas()
-    if len(some) > MOST_WORDS:
+
+class Short(Exception):
+    """A run's candidates are all used, and there may be more."""
+
+
+class Listed(Covers):
+    """Covers by ranked candidates, as many as k for a run."""
+
+    def __init__(self, words: Candidates, parameters: dict, k: int):
+        self.words, self.p, self.k, self.ways, self.longest = words, parameters, k, Ways(words.place), words.longest
+        self.spans: dict[tuple[int, int], list] = {}
+
+    def first_free(self, line, weights, i: int, e: int, top: float, busy: set | None, own: frozenset):
+        found = self.spans.get((i, e), [])
+        for f in found:
+            if f["sim"] > top + EPS:
+                return None
+            if busy is None or (f["id"] not in busy and f["id"] not in own):
+                return f["sim"], f["id"], f
+        if len(found) >= self.k and busy is not None:
+            raise Short
         return None
-    rows = dist.collect()
-    names = sorted({r.u1 for r in rows})
-    at = {n: i for i, n in enumerate(names)}
-    grid = np.full((len(names), len(names)), np.inf)
-    for r in rows:
-        grid[at[r.u1], at[r.u2]] = r.dist
-    return WordIndex(some, names, grid, variation_cost)
 
 
-def generate(lines: DataFrame, words: DataFrame, dist: DataFrame, parameters: dict | None = None) -> DataFrame:
+#: Candidates of a run that are asked for first where no word may come twice; eight times as many for songs that use them up.
+FIRST_CANDIDATES = 8
+
+
+def _generate_by_shards(rows: DataFrame, found: Index, p: dict) -> DataFrame:
+    """generate over an index that is not broadcast: candidates of all different runs, then the covers."""
+    rows = stored(rows)
+    longest = int(found.words.agg(F.max("n_units")).first()[0] or 0)
+    least = F.transform("ways", lambda w: F.coalesce(F.array_min(F.transform(w["v"], lambda v: F.size(v["units"]))), F.lit(0)))
+    before = F.aggregate(least, F.array(F.lit(0)), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + k)))
+    ends = rows.select("song", "line", "ways", "weights", before.alias("before")).select("*", F.explode(F.when(F.size("ways") > 0, F.sequence(F.lit(1), F.size("ways")))).alias("t"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("t") - 1), lambda i: F.get("before", F.col("t")) - F.get("before", i) <= longest)
+    some = lambda c: F.slice(c, F.col("i") + 1, F.col("t") - F.col("i"))
+    runs = ends.select("song", "line", "ways", "weights", "t", F.explode(starts).alias("i")).select("song", "line", "i", "t", some("ways").alias("ways"), some("weights").alias("w"))
+    name = F.concat_ws("\0", F.transform("ways", lambda w: w["s"]), F.coalesce(F.transform("w", lambda x: x.cast("string")), F.array().cast("array<string>")))
+    runs = stored(runs.withColumn("target", name))
+    each = runs.groupBy("target").agg(F.first("ways").alias("ways"), F.first("w").alias("w"))
+    details = found.words.groupBy("id", "n_units", "seq").agg(*(F.first(c).alias(c) for c in ("codes", "vcost", "surface", "original", "kana")))
+    names = found.names
+
+    def asked(songs: DataFrame | None, k: int) -> DataFrame:
+        mine = runs if songs is None else runs.join(songs, "song", "left_semi")
+        targets = each if songs is None else each.join(mine.select("target").distinct(), "target", "left_semi")
+        cands = _nearest_by_shards(targets, found, k).join(details, ["id", "n_units", "seq"])
+        lists = cands.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("rank", "sim", "id", "codes", "vcost", "surface", "original", "kana"))).alias("c"))
+        spans = mine.select("song", "line", "i", "t", "target").join(lists, "target").groupBy("song", "line").agg(F.collect_list(F.struct("i", "t", "c")).alias("spans"))
+        part = rows if songs is None else rows.join(songs, "song", "left_semi")
+        return part.join(spans, ["song", "line"], "left")
+
+    def made(pdf: pd.DataFrame, k: int, busy: set | None) -> list[tuple]:
+        covers = Listed(Candidates(names, longest), p, k)
+        out = []
+        for r in pdf.itertuples():
+            covers.spans = {(x["i"], x["t"]): list(x["c"]) for x in _listed(r.spans)}
+            out += _rows(covers, _line(covers, r), busy)
+        return out
+
+    if p["DUPLICATE"]:
+
+        def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame(made(pdf, 1, None), columns=COLUMNS)
+
+        return asked(None, 1).mapInPandas(alone, GENERATED)
+
+    def song(k: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            try:
+                return pd.DataFrame(made(pdf.sort_values("line", kind="stable"), k, set()), columns=COLUMNS).assign(short=False)
+            except Short:
+                return pd.DataFrame([(pdf["song"].iloc[0], *[None] * (len(COLUMNS) - 1), True)], columns=[*COLUMNS, "short"])
+
+        return run
+
+    out, songs, k = None, None, FIRST_CANDIDATES
+    while True:
+        now = stored(asked(songs, k).groupBy("song").applyInPandas(song(k), GENERATED + ", short boolean"))
+        whole = now.where("NOT short").drop("short")
+        out = whole if out is None else out.unionByName(whole)
+        songs = now.where("short").select("song").distinct()
+        if songs.isEmpty():
+            return out
+        k *= 8
+
+
+def generate(lines: DataFrame, words: DataFrame | Index, dist: DataFrame | None = None, parameters: dict | None = None) -> DataFrame:
     """Words for every line of every song, as GENERATED rows; with DUPLICATE off no word comes twice in a song.
 
     lines(song, line, units[, breaks, weights, surfaces, locks]): units are syllables; weights,
     one for each syllable, count distances by position and are ignored where they are not valid;
-    locks, array<struct<i, t, id, sim>>, pin words. words: the word table. Without DUPLICATE a
-    song is one group, since each line depends on the words before it; else lines are apart.
-    Lines without units give no rows. Word lists over MOST_WORDS are an error: score those with
-    `segment.segments`, `distance.nearest` and `segment.generate`.
+    locks, array<struct<i, t, id, sim[, surface, pronunciation, kana, original]>>, pin words and
+    are told with what they bring, else with the line's own units; a lock without id is a filler. words: the word
+    table or its index. Without DUPLICATE a song is one group, since each line depends on the
+    words before it; else lines are apart. Lines without units give no rows. An index that is
+    too large to be broadcast is asked for the ranked words of all different runs instead.
     """
     p = DEFAULTS | (parameters or {})
-    index = index_of(words, dist, p["VARIATION_COST"])
-    if index is None:
-        raise ValueError(f"more than {MOST_WORDS} word rows: use distance.nearest and segment.generate")
-    blank = {"breaks": "array<int>", "weights": "array<double>", "surfaces": "array<string>", "locks": "array<struct<i:int,t:int,id:string,sim:double>>"}
-    have = [F.col(c) if c in lines.columns else F.lit(None).cast(kind).alias(c) for c, kind in blank.items() if c != "weights"]
-    weights = normalized_weights(F.col("weights"), F.size("units")) if "weights" in lines.columns else F.lit(None).cast("array<double>")
-    rows = lines.select("song", "line", "units", F.transform("units", lambda u: F.struct(kana.syllable_variants(u).alias("v"))).alias("ways"), weights.alias("weights"), *have)
-    shared = lines.sparkSession.sparkContext.broadcast(index)
+    found = words if isinstance(words, Index) else index(words, dist, p["VARIATION_COST"])
+    rows = line_rows(lines)
+    if not found.fits():
+        return _generate_by_shards(rows, found, p)
+    shared = found.shared()
+    n = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def song(pdf: pd.DataFrame) -> pd.DataFrame:
-        index = shared.value
-        number = {x: i for i, x in enumerate(index.ids.tolist())}
-        taken = np.zeros(len(index.ids), bool)
-        out = []
-        for r in pdf.sort_values("line", kind="stable").itertuples():
-            out += _line_rows(index, r, p, taken, number)
-        return pd.DataFrame(out, columns=COLUMNS)
+        return pd.DataFrame(covered_songs(held(shared), p, pdf.sort_values("line", kind="stable").itertuples(), set()), columns=COLUMNS)
 
     def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([x for r in pdf.itertuples() for x in _line_rows(shared.value, r, p, None, {})], columns=COLUMNS)
+            yield pd.DataFrame(covered_songs(held(shared), p, pdf.itertuples(), None), columns=COLUMNS)
 
     if p["DUPLICATE"]:
-        return rows.mapInPandas(alone, GENERATED)
+        return rows.repartition(n, "song", "line").mapInPandas(alone, GENERATED)
     return rows.groupBy("song").applyInPandas(song, GENERATED)
-
-
-def nearest(targets: DataFrame, words: DataFrame, dist: DataFrame, variation_cost: float = 0.0, k: int | None = None, weights: Column | None = None) -> DataFrame:
-    """(target, id, sim, n_units, seq, rank): each target's words in rank order, the first k or all.
-
-    targets(target, syllables); weights: a column of targets with one weight for each syllable,
-    ignored where it is not valid. The same result as distance.ranked(distance.nearest(..)),
-    without rows for pairs: targets meet the broadcast index, and a word list over MOST_WORDS
-    goes through those joins.
-    """
-    index = index_of(words, dist, variation_cost)
-    if index is None:
-        if weights is not None:
-            raise ValueError(f"weights need a word list of at most {MOST_WORDS} rows")
-        from .distance import nearest as joined
-        from .distance import ranked
-
-        found = ranked(joined(targets, words, dist, variation_cost))
-        return (found if k is None else found.where(F.col("rank") <= k)).drop("seen")
-    w = F.lit(None).cast("array<double>") if weights is None else normalized_weights(weights, F.size("syllables"))
-    rows = targets.select("target", F.transform("syllables", lambda u: F.struct(kana.syllable_variants(u).alias("v"))).alias("ways"), w.alias("w"))
-    shared = targets.sparkSession.sparkContext.broadcast(index)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        columns = [f.split()[0] for f in RANKED.split(", ")]
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                state: dict[int, np.ndarray] = {0: np.zeros(1)}
-                given = _listed(r.w)
-                for j, ways in enumerate(_ways(r.ways)):
-                    state = index.advance(state, ways, given[j] if given else 1.0)
-                for rank, (row, cost) in enumerate(index.ranked(state, k), 1):
-                    out.append((r.target, index.words["id"].iat[row], cost, index.words["n_units"].iat[row], index.words["seq"].iat[row], rank))
-                if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            yield pd.DataFrame(out, columns=columns)
-
-    return rows.repartition(max(1, int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "target").mapInPandas(run, RANKED)
