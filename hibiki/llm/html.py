@@ -9,8 +9,9 @@ root gives its text, without the nodes that match the template. A page that has
 or whose host has no other page, finds its root by the same descent over its own text.
 
 Words of class, id and role and the kinds of elements are hints: text under a hint counts less
-in the descent, and what a hint marks below the root is left out unless it holds most of the
-root's text. No hint hides the root or what it lies in. A sample is at most SAMPLES pages, one
+in the descent, and what a hint marks below the root is left out, however long it is. A class,
+id or role is a hint only if all words of one of its names are words of boilerplate or say
+nothing, so that `share-price` is none. No hint hides the root or what it lies in. A sample is at most SAMPLES pages, one
 for each class of the page hash, so that it is found by aggregation and stays small however
 many pages a host has.
 
@@ -45,7 +46,7 @@ BLOCK = frozenset("address article aside blockquote body caption dd details dial
 #: Elements that a start tag of the given kind closes.
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _HOLDS = {"li": frozenset(["ul", "ol"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]), "option": frozenset(["select"])}
-SKIPPED = frozenset("script style textarea title noscript template iframe head nav header footer aside form button select input svg object audio video canvas dialog menu".split())
+SKIPPED = frozenset("script style textarea title noscript template iframe head nav header footer aside form button select input svg object audio video canvas dialog".split())
 #: Elements that no hint ever marks, and those that look like the content.
 NEVER, LIKELY = frozenset("html body main article".split()), frozenset("main article".split())
 #: What text under a hint and text in a likely element count beside other text in the descent, and the share that a child needs.
@@ -53,14 +54,23 @@ HINTED, LIKED, SHARE = 0.2, 4.0, 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: Words of class, id or role that hint at boilerplate.
 MARKS = frozenset("ad ads adbox advert advertisement adverts sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside notice notices cookie cookies consent gdpr popup modal alert subscribe newsletter signup login comment comments disqus reply replies discussion share sharing social related recommended widget toolbar search complementary contentinfo".split())
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: Words that say nothing about what a name marks.
+NEUTRAL = frozenset("area article bar block body bottom box button buttons column container content entry footer global group holder inner item items left line link links list main outer page panel post primary reader region right row secondary section site slot story text thread title top unit user wrap wrapper zone".split())
+_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+
+
+def marked(name: str) -> bool:
+    """Whether one name of a class, id or role is made of words of boilerplate and words that say nothing."""
+    parts = [w for w in _SPLIT.split(name) if w and not w.isdigit()]
+    parts = [w.lower() for w in parts]
+    return not MARKS.isdisjoint(parts) and all(w in MARKS or w in NEUTRAL for w in parts)
 
 
 class Node:
-    __slots__ = ("tag", "kids", "hint", "shape", "size")
+    __slots__ = ("tag", "kids", "hint", "shape")
 
     def __init__(self, tag: str, hint: bool = False):
-        self.tag, self.kids, self.hint, self.shape, self.size = tag, [], hint, -1, 0
+        self.tag, self.kids, self.hint, self.shape = tag, [], hint, -1
 
 
 def parse(html: str) -> Node:
@@ -92,8 +102,8 @@ def parse(html: str) -> Node:
             attrs = m[3] or ""
             marks = ()
             if attrs:
-                marks = {w for a in _NAMES.finditer(attrs) for w in _SPLIT.split((a[2] or a[3] or a[4] or "").lower())}
-            node = Node(name, name not in NEVER and (name in SKIPPED or bool(marks) and not MARKS.isdisjoint(marks)))
+                marks = [w for a in _NAMES.finditer(attrs) for w in (a[2] or a[3] or a[4] or "").split()]
+            node = Node(name, name not in NEVER and (name in SKIPPED or any(map(marked, marks))))
             if name in _RAW:
                 end = _RAW[name].search(html, pos)
                 pos = end.end() if end else n
@@ -136,20 +146,10 @@ def preorder(root: Node) -> list[Node]:
     return out
 
 
-def measure(root: Node, plain=()) -> list[Node]:
-    """Sets size, the characters of text in each subtree, blanks at the ends aside; nodes in plain count none of their own. Returns the nodes in preorder."""
-    nodes = preorder(root)
-    for x in reversed(nodes):
-        x.size = (0 if x in plain else len(own_text(x))) + sum(k.size for k in x.kids if type(k) is not str)
-    return nodes
-
-
-def blocks(node: Node, skip=frozenset()) -> list[str]:
-    """Texts of a subtree's blocks in page order: references decoded, white space one space. Without nodes in skip, and hinted ones unless they hold most of the text."""
+def blocks(node: Node, skip=frozenset(), hints: bool = True) -> list[str]:
+    """Texts of a subtree's blocks in page order: references decoded, white space one space. Without nodes in skip and, with hints, hinted ones."""
     out: list[str] = []
     run: list[str] = []
-    measure(node)
-    most = node.size / 2
 
     def end():
         text = " ".join("".join(run).split())
@@ -166,7 +166,7 @@ def blocks(node: Node, skip=frozenset()) -> list[str]:
             end()
         elif k.tag == "br":
             run.append(" ")
-        elif k in skip or (k.hint and k.size <= most):
+        elif k in skip or (hints and k.hint):
             if k.tag in BLOCK:
                 end()
         else:
@@ -334,8 +334,8 @@ def content_root(tree: Node, slot: dict[Node, float]) -> Node:
         at = best
 
 
-def induce(pages: list[str]) -> tuple[list[int], list[list[int]]]:
-    """The path of the content root in the first page's tree, as element positions, and the paths of template nodes."""
+def induce(pages: list[str]) -> tuple[int, list[int]]:
+    """The content root in the first page's tree and its template nodes, by their places in preorder."""
     trees = [parse(p) for p in dict.fromkeys(pages)]  # copies of a page would make all its text template
     shapes, ref = Shapes(), trees[0]
     for t in trees:
@@ -363,40 +363,19 @@ def induce(pages: list[str]) -> tuple[list[int], list[list[int]]]:
     for x in reversed(nodes):
         held[x] = slot.get(x, 0) + sum(held[k] for k in elements(x))
     root = content_root(ref, slot)
-    template: list[list[int]] = []
-    at: list[int] | None = None
-    stack = [(ref, [])]
-    while stack:
-        x, path = stack.pop()
-        if x is root:
-            at = path
-        if x in alike and not held[x] and len(path) <= MOST_DEPTH:  # a node that holds a slot stays
-            template.append(path)
-        stack += [(k, [*path, i]) for i, k in enumerate(elements(x))]
-    return at or [], template
-
-
-#: Nodes deeper than this are no template: their paths would take more room than their text.
-MOST_DEPTH = 500
-
-
-def _at(x: Node, path: list[int]) -> Node | None:
-    for i in path:
-        kids = elements(x)
-        if i >= len(kids):
-            return None
-        x = kids[i]
-    return x
+    # a node that holds a slot stays
+    return nodes.index(root), [i for i, x in enumerate(nodes) if x in alike and not held[x]]
 
 
 class Wrapper:
     #: Shapes that pages may add before the numbering starts anew.
     MOST_SHAPES = 20_000
 
-    def __init__(self, reference: str, root: list[int], template: list[list[int]]):
+    def __init__(self, reference: str, root: int, template: list[int]):
         self.tree = parse(reference)
-        self.root = _at(self.tree, root) if root else None
-        self.template = {_at(self.tree, p) for p in template}
+        nodes = preorder(self.tree)
+        self.root = nodes[root] if root else None
+        self.template = {nodes[i] for i in template}
         self.shapes = None
 
     def extract(self, html: str) -> str:
@@ -414,7 +393,7 @@ class Wrapper:
         if found is None:
             found = content_root(tree, {x: 0 if x in skip else len(own_text(x)) for x in preorder(tree)})
         # where all of the content is alike on the samples, it is content all the same
-        return "\n".join(blocks(found, skip) or blocks(found))
+        return "\n".join(blocks(found, skip) or blocks(found) or blocks(found, hints=False))
 
 
 def host_of(url):
@@ -445,9 +424,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 refs.append(x[0]["html"])
                 roots.append(root)
                 templates.append(template)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(refs, pa.string()), pa.array(roots, pa.list_(pa.int32())), pa.array(templates, pa.list_(pa.list_(pa.int32())))], ["host", "ref", "root", "template"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(refs, pa.string()), pa.array(roots, pa.int32()), pa.array(templates, pa.list_(pa.int32()))], ["host", "ref", "root", "template"])
 
-    wrappers = stored(lists.mapInArrow(wrap, "host string, ref string, root array<int>, template array<array<int>>"), "wrappers")
+    wrappers = stored(lists.mapInArrow(wrap, "host string, ref string, root int, template array<int>"), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Wrapper] = {}
