@@ -122,7 +122,7 @@ def chunks(rows: list, size) -> Iterator[list]:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("th"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(*(F.col(c) for c in carry or [id_col])).alias("carry"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("th"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(c) for c in carry or [id_col])).alias("carry"))
 
 
 def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
