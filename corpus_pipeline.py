@@ -20,6 +20,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.where(rules.verdict(F.col("text"), ordered).isNull())
 
 
+def quoted(name: str) -> str:
+    """A column's name as expressions read it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """name, with as many underscores as keep it apart from every column."""
     taken = {c.lower() for c in docs.columns}
@@ -38,11 +43,12 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     keys = simhash.representatives(docs).select(F.struct("doc_id", "seal", "again").alias(best))
     seal = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     kept = docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys[best]["doc_id"]) & (seal == keys[best]["seal"]))
-    once = kept.where(~F.col(best)["again"]).select(*docs.columns)
-    # of rows with equal id and text, which differ in other columns at most, the first by all columns' hash stays
-    some = kept.where(F.col(best)["again"])
-    least = F.min(F.struct(F.xxhash64(*docs.columns).alias("h"), F.struct(*docs.columns).alias("row")))
-    return once.unionByName(some.groupBy(best).agg(least.alias("x")).select("x.row.*"))
+    columns = list(map(quoted, docs.columns))
+    once = kept.where(~F.col(best)["again"]).select(*columns)
+    # of rows with equal id and text, which differ in other columns at most, the first by the hash of all columns' JSON stays
+    row = F.struct(*columns)
+    first = kept.where(F.col(best)["again"]).groupBy(best).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("x"))
+    return once.unionByName(first.select("x.*"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     others = [c for c in docs.columns if c != "text"]
     out = substring.remove_repeats(docs, untouched=True, carry=others)
     text = F.col("kept")
-    return out.select(*(text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("carry")[c].alias(c) for c in docs.columns))
+    return out.select(*(text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("carry").getField(c).alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
