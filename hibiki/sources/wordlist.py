@@ -12,22 +12,40 @@ from ..functions.english import format_kana
 from ..plans.where import compiled
 
 
+def _offsets(spark: SparkSession, sizes: list[tuple], kind: str) -> DataFrame:
+    """(.., before): for (key .., n) in order, the sum of n of all keys before. One row for each partition or file split."""
+    out, total = [], 0
+    for *key, n in sizes:
+        out.append((*key, total))
+        total += n
+    return spark.createDataFrame(out, kind)
+
+
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """Rows numbered from 0 in their present order: sizes of earlier partitions (one number each) plus the place in the own.
+    """Rows numbered from 0 in their present order: sizes of earlier partitions (one number each, broadcast) plus the place in the own.
 
     The input must read alike twice, as files and sorts by a unique key do.
     """
-    marked = df.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    sizes = marked.groupBy(part.alias("p")).count().collect()  # one row a partition
-    before, total = {}, 0
-    for r in sorted(sizes, key=lambda r: r.p):
-        before[r.p] = total
-        total += r["count"]
-    if not before:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    offsets = F.map_from_arrays(F.array(*map(F.lit, before)), F.array(*(F.lit(v).cast("long") for v in before.values())))
-    return marked.withColumn(name, F.element_at(offsets, part) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+    marked = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    sizes = sorted((r["_part"], r["n"]) for r in marked.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    before = _offsets(df.sparkSession, sizes, "_part long, _before long")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + place).alias(name))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, seq, value) of a text file or folder: line counts from 0 in each file, seq over all files in order of their paths, however Spark deals them out."""
+    meta = F.col("_metadata")
+    text = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    sizes = sorted((r["file"], r["_block"], r["first"], r["n"]) for r in text.groupBy("file", "_block").agg(F.min("_at").alias("first"), F.count("*").alias("n")).collect())
+    rows, total, line = [], 0, 0
+    for k, (file, block, first, n) in enumerate(sizes):
+        line = line if k and sizes[k - 1][0] == file else 0
+        rows.append((file, block, first, total, line))
+        total, line = total + n, line + n
+    before = spark.createDataFrame(rows, "file string, _block long, _first long, _total long, _line long")
+    place = F.col("_at") - F.col("_first")
+    return text.join(F.broadcast(before), ["file", "_block"]).select("file", (F.col("_line") + place).alias("line"), (F.col("_total") + place).alias("seq"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def cells(line: Column) -> Column:
@@ -45,14 +63,16 @@ def tidy(lines: DataFrame, header: str, where: str = "", line_col: str = "value"
 
 
 def read_tidy(spark: SparkSession, path: str, where: str = "") -> DataFrame:
-    """A tidy CSV file or folder with one header line, with the line number as seq."""
-    text = spark.read.text(path)
-    first = text.first()
+    """A tidy CSV file, or a folder of them, with the line number over all files as seq.
+
+    The first line of each file is its header and is dropped; a later line that equals it is
+    data. The columns are those of the first file by path.
+    """
+    lines = read_lines(spark, path)
+    first = lines.where("line = 0").orderBy("file").select("value").first()
     if first is None:
         return spark.createDataFrame([], "seq long")
-    header = first[0].lstrip("\ufeff")
-    numbered = with_row_index(text.select(F.regexp_replace("value", "\r$", "").alias("value")), "seq")
-    return tidy(numbered.where((F.col("seq") > 0) & (F.col("value") != first[0])), header, where)
+    return tidy(lines.where("line > 0").select("seq", "value"), first[0].lstrip("\ufeff"), where)
 
 
 def plain(lines: DataFrame, order_col: str, line_col: str = "value") -> DataFrame:
@@ -72,7 +92,7 @@ def plain(lines: DataFrame, order_col: str, line_col: str = "value") -> DataFram
 
 
 def read_plain(spark: SparkSession, path: str) -> DataFrame:
-    return plain(with_row_index(spark.read.text(path), "line"), "line")
+    return plain(read_lines(spark, path).select("seq", "value"), "seq")
 
 
 def reading(columns: list[str]) -> Column:
