@@ -40,8 +40,11 @@ SHARD_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
 BATCH = 1_000
 #: First limit of a walk.
 LIMIT = 32.0
+STEP = 24.0
+#: What is added to the limits of runs where no word may come twice, so that few must be taken up again one by one.
+SPARE = 16.0
 #: Words that a run should have at hand where none may come twice.
-AT_HAND = 3
+AT_HAND = 2
 #: Units of lines that are walked together.
 UNITS = 2_000
 LOCK = "struct<i:int,t:int,id:string,sim:double,surface:string,pronunciation:array<string>,kana:string,original:string>"
@@ -127,6 +130,11 @@ def index(words: DataFrame, dist: DataFrame, variation_cost: float = 0.0, shard_
     return Index(shards, coded, names, grid, float(variation_cost), int(size[0] or 0), int(size[1]))
 
 
+def further(limit: float) -> float:
+    """The next limit: a walk grows manifold with each step."""
+    return max(limit + STEP, 1.25 * limit)
+
+
 def _listed(x) -> list:
     return [] if x is None or isinstance(x, float) else list(x)
 
@@ -189,7 +197,7 @@ def ranks(words: Words, targets: list[tuple[list, list | None]], k: int | None,
                     else:
                         left.append(x)
                 open_ = left
-                now *= 2
+                now = further(now)
     return out
 
 
@@ -417,6 +425,8 @@ class Covers:
                 cut = lambda c, w: lines[starts[c][0]][w][starts[c][1] : starts[c][1] + starts[c][2]]
                 asked = Asked(_padded([cut(c, 0) for c in part], -1), _padded([cut(c, 1) for c in part], 0.0) if weighted else None)
                 groups.append((part, asked, lengths_of(self.ways, asked)))
+        # where words may not repeat, a cover's own words make runs dearer than their first words tell
+        spare = SPARE if at_hand > 1 else 0.0
         now = LIMIT
         while True:
             best = np.full((most, len(starts)), np.inf)
@@ -437,7 +447,7 @@ class Covers:
                     for m in range(k):
                         tops[k, : len(starts) - m - 1] = np.minimum(tops[k, : len(starts) - m - 1], covers[m, : len(starts) - m - 1] + covers[k - m - 1, m + 1 :])
                 covers[k] = np.where(np.isfinite(add[k]), np.minimum(tops[k], best[k] + add[k]), np.inf)
-            need = np.minimum(np.where(np.isfinite(add), tops - np.where(np.isfinite(add), add, 0.0), -np.inf), top_of)
+            need = np.minimum(np.where(np.isfinite(add), tops - np.where(np.isfinite(add), add, 0.0), -np.inf) + spare, top_of)
             idle = True
             for part, asked, lengths in groups:
                 limit = np.full(asked.size, -np.inf)
@@ -459,7 +469,7 @@ class Covers:
                     run.limit, run.found = float(limit[node]), got.get(node, [])
             if idle:
                 return
-            now *= 2
+            now = further(now)
 
     def first_free(self, line, weights, i: int, e: int, top: float, busy: set[int] | None, own: set[int]):
         """The best word of a run that is neither busy nor own, if its sum is within top; a run's words are taken up again where all at hand are used."""
@@ -475,7 +485,7 @@ class Covers:
                         return f
                 if run.limit + EPS >= most:
                     return None
-            limit = min(self.most(weights), max(LIMIT, 2 * run.limit if run is not None else LIMIT))
+            limit = min(self.most(weights), max(LIMIT, further(run.limit) if run is not None else LIMIT))
             self.ask({key: (line[i:e], None if weights is None else weights[i:e], limit)})
             run = self.runs[key]
 
@@ -746,4 +756,4 @@ def generate(lines: DataFrame, words: DataFrame | Index, dist: DataFrame | None
 
     if p["DUPLICATE"]:
         return rows.repartition(n, "song", "line").mapInPandas(alone, GENERATED)
-    return rows.groupBy("song").applyInPandas(song, GENERATED)
+    return rows.repartition(n, "song").groupBy("song").applyInPandas(song, GENERATED)
