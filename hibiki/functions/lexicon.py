@@ -166,6 +166,18 @@ def consonant_distance(a: str, b: str) -> int:
     return min(80, 4 * abs(p[0] - q[0]) + 12 * (p[1] != q[1]) + 8 * (p[2] != q[2]) + 4)
 
 
+@cache
+def vowel_names() -> dict[str, str]:
+    """Kana to its vowel in kana, with long bars and the vowel pairs エイ and オウ; ン, ッ and the pause have none of these."""
+    names = dict(zip("aiueopNq", ["ア", "イ", "ウ", "エ", "オ", "sp", "sp", "sp"]))
+    out = {}
+    for kana, (_, v) in phonons().items():
+        vowel = names[v[-1]]
+        ends = [""] if kana in ("ン", "ッ", "sp") else ["", "ー"] + {"エ": ["イ"], "オ": ["ウ"]}.get(vowel, [])
+        out |= {kana + e: vowel for e in ends}
+    return out
+
+
 @cache
 def vowel_matrix() -> dict[tuple[str, str], int]:
     codes = sorted({v for _, v in units().values()})

@@ -203,6 +203,19 @@ def align_line(tokens: Column, dictionary: dict[str, list[str]] = KANJI) -> Colu
     return run(tokens)
 
 
+PIECES = "array<struct<surface:string,reading:string,token:int,phrase:int,subword:int,char_index:int,inner:int>>"
+
+
+def line_pieces(tokens: Column, dictionary: dict[str, list[str]] = KANJI) -> Column:
+    """The characters of a line's reading in order, with token, subword and number of the surface character, all counted from 0; signs have gone to the character before."""
+
+    @F.pandas_udf(PIECES)
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [{"surface": c.surface, "reading": c.reading, "token": c.token, "phrase": c.phrase, "subword": c.subword, "char_index": c.char, "inner": c.inner} for c in characters(list(x), dictionary)] for x in lists])
+
+    return run(tokens)
+
+
 def kanji_pairs(surface: Column, reading: Column, dictionary: dict[str, list[str]] = KANJI) -> Column:
     @F.pandas_udf("array<struct<surface:string,reading:string>>")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:

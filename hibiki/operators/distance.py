@@ -39,6 +39,10 @@ def unit_matrix(spark: SparkSession, vowels: DataFrame | None = None, consonants
     return a.join(c, "c1").join(b, "c2").join(v, ["v1", "v2"]).select("u1", "u2", ((F.col("dc") + F.col("dv")) / 2).alias("dist"))
 
 
+def same_kana(a: Column, b: Column) -> Column:
+    return a == b
+
+
 def same_bar(a: Column, b: Column) -> Column:
     return a.endswith("ー") & b.endswith("ー")
 

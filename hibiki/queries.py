@@ -16,7 +16,7 @@ from .functions import english, kana, ruby
 from .functions import lexicon as lex
 from .operators import align, distance, lattice, segment, tokens
 from .plans import where as wh
-from .sources import wordlist
+from .sources import dictionary, wordlist
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -262,14 +262,14 @@ def d_spell(s: str) -> str:
 register("spell_letters", lambda spark, d: table(spark, d, "part").select("p_partkey", english.spell_letters(F.col("p_name")).alias("out")), f"SELECT p_partkey, {d_spell('p_name')} AS out FROM part")
 register(
     "english_lookup",
-    lambda spark, d: table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("i", "word")).select("p_partkey", F.col("i").cast("long").alias("i"), english.english_lookup(F.col("word")).alias("out")),
+    lambda spark, d: dictionary.looked_up(table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("i", "word")), "word", dictionary.english(spark), "out").select("p_partkey", F.col("i").cast("long").alias("i"), "out"),
     f"WITH t AS (SELECT p_partkey, string_split(p_name, ' ') AS a FROM part), u AS (SELECT p_partkey, unnest(range(len(a))) AS i, unnest(a) AS word FROM t) SELECT p_partkey, i, coalesce(({sql_map(lex.ENGLISH)})[upper(word)], word) AS out FROM u",
 )
 register("format_kana", lambda spark, d: table(spark, d, "part").select("p_partkey", english.format_kana(F.col("p_name")).alias("out")))
 KANJI_TEXT = "translate(p_name, 'abcdefghijkl', '山川東京日本花火大小人空')"
 register(
     "kanji_to_kana",
-    lambda spark, d: table(spark, d, "part").select("p_partkey", tokens.kanji_to_kana(F.expr(KANJI_TEXT)).alias("out")),
+    lambda spark, d: dictionary.kanji_texts(table(spark, d, "part").select("p_partkey", F.expr(KANJI_TEXT).alias("text")), "p_partkey", "text", dictionary.kanji(spark), "out"),
     f"SELECT p_partkey, array_to_string(list_filter(list_transform(string_split({KANJI_TEXT}, ''), lambda c: ({sql_map({k: v[0] for k, v in lex.KANJI.items()})})[c]), lambda x: x IS NOT NULL), '') AS out FROM part",
 )
 
@@ -321,33 +321,49 @@ dist AS (SELECT a.kana AS u1, b.kana AS u2, ((CASE WHEN a.cc = b.cc THEN 0 WHEN
  FROM lx a CROSS JOIN lx b LEFT JOIN far ON far.a = a.vq AND far.b = b.vq)"""
 REWARD = {"SAME_KANA_REWARD": 0.5, "SAME_VOWEL_REWARD": 0.75, "SAME_CONSONANT_REWARD": 0.5, "SAME_HATSUON_REWARD": 0.25, "SAME_SOKUON_REWARD": 0.25, "SAME_BAR_REWARD": 0.1}
 
-register("kana_dist_build", lambda spark, d: distance.unit_matrix(spark), f"WITH {LEX_SQL} SELECT u1, u2, dist FROM dist")
-register(
+def unit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(u1, u2, n): units that follow each other in the ways to say the document words, and how often."""
+    after = F.when(F.size("units") > 1, F.transform(F.sequence(F.lit(0), F.size("units") - 2), lambda i: F.struct(F.get("units", i).alias("u1"), F.get("units", i + 1).alias("u2"))))
+    return match_words(spark, sf_dir).select(F.explode(after).alias("p")).groupBy("p.u1", "p.u2").agg(F.count("*").alias("n"))
+
+
+def pair_query(name: str, change: Callable[[DataFrame], DataFrame], columns: str) -> None:
+    """A query over the unit pairs of the words, each with its distance; units that the matrix has not are left out."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # the distance table has a fixed size
+        return change(unit_pairs(spark, sf_dir).join(F.broadcast(distance.unit_matrix(spark)), ["u1", "u2"]))
+
+    register(name, run)
+    _PAIR_SQL[name] = columns
+
+
+#: Select lists of the pair queries' SQL, which needs the word table's.
+_PAIR_SQL: dict[str, str] = {}
+pair_query("kana_dist_build", lambda p: p.select("u1", "u2", "n", "dist"), "u1, u2, n, dist")
+pair_query(
     "kana_dist_rewards",
-    lambda spark, d: distance.rewarded(distance.unit_matrix(spark), REWARD),
-    f"WITH {LEX_SQL} SELECT u1, u2, dist * (CASE WHEN u1 = u2 THEN 0.5 ELSE 1 END) * (CASE WHEN {d_last_vowel('u1')} = {d_last_vowel('u2')} THEN 0.75 ELSE 1 END) * (CASE WHEN {d_consonant('u1')} = {d_consonant('u2')} THEN 0.5 ELSE 1 END) * (CASE WHEN u1 LIKE '%ン' AND u2 LIKE '%ン' THEN 0.25 ELSE 1 END) * (CASE WHEN u1 LIKE '%ッ' AND u2 LIKE '%ッ' THEN 0.25 ELSE 1 END) AS dist FROM dist",
+    lambda p: distance.rewarded(p, REWARD).select("u1", "u2", "n", "dist"),
+    f"u1, u2, n, dist * (CASE WHEN u1 = u2 THEN 0.5 ELSE 1 END) * (CASE WHEN {d_last_vowel('u1')} = {d_last_vowel('u2')} THEN 0.75 ELSE 1 END) * (CASE WHEN {d_consonant('u1')} = {d_consonant('u2')} THEN 0.5 ELSE 1 END) * (CASE WHEN u1 LIKE '%ン' AND u2 LIKE '%ン' THEN 0.25 ELSE 1 END) * (CASE WHEN u1 LIKE '%ッ' AND u2 LIKE '%ッ' THEN 0.25 ELSE 1 END) AS dist",
 )
-register("scale_matrix", lambda spark, d: distance.scaled(distance.unit_matrix(spark).withColumnRenamed("dist", "d"), 1.6).select("u1", "u2", F.round("d", 6).alias("dist")), f"WITH {LEX_SQL} SELECT u1, u2, round(dist * 1.6, 6) AS dist FROM dist")
-register(
+pair_query("scale_matrix", lambda p: distance.scaled(p.withColumnRenamed("dist", "d"), 1.6).select("u1", "u2", "n", F.round("d", 6).alias("dist")), "u1, u2, n, round(dist * 1.6, 6) AS dist")
+_LIKE = {"kana": distance.same_kana, "vowel": distance.same_vowel, "consonant": distance.same_consonant, "bar": distance.same_bar, "hatsuon": distance.same_hatsuon, "sokuon": distance.same_sokuon}
+pair_query(
     "same_vowel_pairs",
-    lambda spark, d: distance.unit_matrix(spark).select("u1", "u2", distance.same_vowel(F.col("u1"), F.col("u2")).alias("vowel"), distance.same_consonant(F.col("u1"), F.col("u2")).alias("consonant"), distance.same_bar(F.col("u1"), F.col("u2")).alias("bar")),
-    f"WITH {LEX_SQL} SELECT u1, u2, {d_last_vowel('u1')} = {d_last_vowel('u2')} AS vowel, {d_consonant('u1')} = {d_consonant('u2')} AS consonant, u1 LIKE '%ー' AND u2 LIKE '%ー' AS bar FROM dist",
+    lambda p: p.select("u1", "u2", *(f(F.col("u1"), F.col("u2")).alias(k) for k, f in _LIKE.items())),
+    f"u1, u2, u1 = u2 AS kana, {d_last_vowel('u1')} = {d_last_vowel('u2')} AS vowel, {d_consonant('u1')} = {d_consonant('u2')} AS consonant, u1 LIKE '%ー' AND u2 LIKE '%ー' AS bar, u1 LIKE '%ン' AND u2 LIKE '%ン' AS hatsuon, u1 LIKE '%ッ' AND u2 LIKE '%ッ' AS sokuon",
 )
 
 
 def kana2vowel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kana to vowel kana, with long bars and the vowel pairs エイ and オウ."""
-    names = dict(zip("aiueopNq", ["ア", "イ", "ウ", "エ", "オ", "sp", "sp", "sp"]))
-    base = spark.createDataFrame([(k, names[v[-1]]) for k, (_, v) in lex.phonons().items()], "kana string, vowel string")
-    ends = F.when(F.col("kana").isin("ン", "ッ", "sp"), F.array(F.lit(""))).when(F.col("vowel") == "エ", F.array(F.lit(""), F.lit("ー"), F.lit("イ"))).when(F.col("vowel") == "オ", F.array(F.lit(""), F.lit("ー"), F.lit("ウ"))).otherwise(F.array(F.lit(""), F.lit("ー")))
-    return base.select("kana", "vowel", F.explode(ends).alias("end")).select(F.concat("kana", "end").alias("kana"), "vowel")
+    """The units of the document words' ways, how often each comes, and its vowel in kana."""
+    units = match_words(spark, sf_dir).select(F.explode("units").alias("kana")).groupBy("kana").agg(F.count("*").alias("n"))
+    names = spark.createDataFrame(list(lex.vowel_names().items()), "kana string, vowel string")
+    return units.join(F.broadcast(names), "kana", "left")
 
 
-register(
-    "kana2vowel",
-    kana2vowel,
-    f"WITH p(kana, v) AS (VALUES {', '.join(f'({q(k)}, {q(v[-1])})' for k, (_, v) in lex.phonons().items())}), t AS (SELECT kana, CASE v WHEN 'a' THEN 'ア' WHEN 'i' THEN 'イ' WHEN 'u' THEN 'ウ' WHEN 'e' THEN 'エ' WHEN 'o' THEN 'オ' ELSE 'sp' END AS vowel FROM p) SELECT kana || unnest(CASE WHEN kana IN ('ン', 'ッ', 'sp') THEN [''] WHEN vowel = 'エ' THEN ['', 'ー', 'イ'] WHEN vowel = 'オ' THEN ['', 'ー', 'ウ'] ELSE ['', 'ー'] END) AS kana, vowel FROM t",
-)
+register("kana2vowel", kana2vowel)
+KANA2VOWEL_SQL = f"p(kana, v) AS (VALUES {', '.join(f'({q(k)}, {q(v[-1])})' for k, (_, v) in lex.phonons().items())}), pv AS (SELECT kana, CASE v WHEN 'a' THEN 'ア' WHEN 'i' THEN 'イ' WHEN 'u' THEN 'ウ' WHEN 'e' THEN 'エ' WHEN 'o' THEN 'オ' ELSE 'sp' END AS vowel FROM p), kv AS (SELECT kana || unnest(CASE WHEN kana IN ('ン', 'ッ', 'sp') THEN [''] WHEN vowel = 'エ' THEN ['', 'ー', 'イ'] WHEN vowel = 'オ' THEN ['', 'ー', 'ウ'] ELSE ['', 'ー'] END) AS kana, vowel FROM pv)"
 
 # -- matching: benchmark words are the targets, document words the word list ----------------------------
 
@@ -383,15 +399,19 @@ pd AS (SELECT a, b, sum(dist) AS d FROM pu JOIN dist USING (u1, u2) GROUP BY a,
 pw AS (SELECT target, id, n_units, seq, min(d + (va + vcost) * 4.0) AS sim FROM tg JOIN pd USING (a) JOIN wd ON wd.units = pd.b GROUP BY ALL),
 best AS (SELECT target, id, sim, n_units, seq, first_value(n_units) OVER (PARTITION BY target, id ORDER BY n_units, seq) AS sn, first_value(seq) OVER (PARTITION BY target, id ORDER BY n_units, seq) AS ss FROM pw QUALIFY row_number() OVER (PARTITION BY target, id ORDER BY sim, n_units DESC, seq DESC) = 1),
 rk AS (SELECT target, id, sim, n_units::INTEGER AS n_units, seq, row_number() OVER (PARTITION BY target ORDER BY sim, NOT regexp_full_match(id, '(0|[1-9][0-9]{{0,9}})'), coalesce(TRY_CAST(id AS BIGINT), 0), sn, ss)::INTEGER AS rank FROM best)"""
+for _name, _columns in _PAIR_SQL.items():
+    _SQL[_name] = NEAREST_SQL + f", up AS (SELECT units[i] AS u1, units[i + 1] AS u2, count(*) AS n FROM (SELECT units, unnest(range(1, len(units))) AS i FROM wd) GROUP BY ALL) SELECT {_columns} FROM up JOIN dist USING (u1, u2)"
+_SQL["kana2vowel"] = NEAREST_SQL + f", {KANA2VOWEL_SQL}, un AS (SELECT unnest(units) AS kana FROM wd), uc AS (SELECT kana, count(*) AS n FROM un GROUP BY kana) SELECT kana, n, vowel FROM uc LEFT JOIN kv USING (kana)"
 register("best_per_id", lambda spark, d: nearest(spark, d).select("target", "id", "sim", "n_units", "seq"), NEAREST_SQL + " SELECT target, id, sim, n_units, seq FROM rk")
 register("topk_candidates", lambda spark, d: lattice.nearest(match_targets(spark, d), match_words(spark, d), distance.unit_matrix(spark), VARIATION_COST, 30).select("target", "id", "sim", "n_units", "seq", "rank"), NEAREST_SQL + " SELECT target, id, sim, n_units, seq, rank FROM rk WHERE rank <= 30")
 register("rank_candidates", lambda spark, d: lattice.nearest(match_targets(spark, d), match_words(spark, d), distance.unit_matrix(spark), VARIATION_COST).select("target", "id", "rank"), NEAREST_SQL + " SELECT target, id, rank FROM rk")
 
 
 def cand_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words that meet each target by the number of units of one of its ways."""
+    """How many words meet each target by the number of units of one of its ways, and the first: words are counted by that number before the join."""
     t = match_targets(spark, sf_dir).select("target", F.explode(F.array_distinct(F.transform(kana.variations(F.col("syllables")), lambda v: F.size(v["units"])))).alias("n_units"))
-    return t.join(match_words(spark, sf_dir), "n_units").groupBy("target", "n_units").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    sizes = match_words(spark, sf_dir).groupBy("n_units").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    return t.join(sizes, "n_units").select("target", "n_units", "n", "first")
 
 
 register(

@@ -231,17 +231,6 @@ def js_key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("js_key_order", js_key_order, "WITH t AS (SELECT p_brand, CASE WHEN p_size % 3 = 0 THEN 'k' || p_size ELSE p_size::VARCHAR END AS id, min(p_partkey) AS seen FROM part GROUP BY ALL) SELECT p_brand, id, row_number() OVER (PARTITION BY p_brand ORDER BY TRY_CAST(id AS BIGINT) IS NULL, coalesce(TRY_CAST(id AS BIGINT), 0), seen)::INTEGER AS place FROM t")
 
 
-def char_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running count of changes along each user's events: the numbering of characters and subwords."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    changed = (F.coalesce(F.lag("event_type").over(w), F.lit("")) != F.col("event_type")).cast("int")
-    return table(spark, sf_dir, "events").select("user_id", "event_id", changed.alias("c")).select("user_id", "event_id", (F.sum("c").over(w) - 1).alias("n"))
-
-
-register("char_index", char_index, "WITH c AS (SELECT user_id, event_id, (coalesce(lag(event_type) OVER w, '') <> event_type)::INTEGER AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, (sum(c) OVER (PARTITION BY user_id ORDER BY event_id) - 1)::BIGINT AS n FROM c")
-
 # -- ruby and alignment ---------------------------------------------------------------------------------
 
 MARKED = "CASE p_size % 5 WHEN 0 THEN p_name WHEN 1 THEN '｜' || p_name || '《ひら》' || p_type WHEN 2 THEN p_name || '|' || p_type || '《' || p_brand || '》' WHEN 3 THEN '｜' || p_name || '《》' ELSE '｜' || p_name || '｜' || p_type || '《よみ》x' END"
@@ -314,6 +303,19 @@ def kana_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("align_line", lambda spark, d: kana_lines(spark, d).select("song", "line", F.posexplode(align.align_line(F.col("tokens"))).alias("i", "u")).select("song", "line", "i", "u.*"))
 
 
+register(
+    "char_index",
+    lambda spark, d: kana_lines(spark, d).select("song", "line", F.posexplode(align.line_pieces(F.col("tokens"))).alias("k", "p")).select("song", "line", "k", "p.reading", "p.token", "p.subword", "p.char_index"),
+    # a Latin word gives one part, whose kana are never more than its letters: each reading character is a character of its own
+    f"""WITH t AS (SELECT conv_id AS song, turn AS line, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: regexp_full_match(w, '{lex.romaji_pattern()}+')) AS ws FROM conversations),
+u AS (SELECT song, line, unnest(ws) AS w, unnest(range(len(ws))) AS token FROM t),
+r AS (SELECT song, line, token, length(w) % 6 = 3 AS sign, array_to_string(list_transform(regexp_extract_all(w, '{lex.romaji_pattern()}'), lambda k: ({sql_map(lex.romaji())})[k]), '') AS said FROM u),
+c AS (SELECT song, line, token, sign, said, unnest(range(1, length(said) + 1)) AS j FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY song, line ORDER BY token, j) - 1 AS char_index FROM c)
+SELECT song, line, (row_number() OVER (PARTITION BY song, line ORDER BY token, j) - 1)::INTEGER AS k, said[j] AS reading, token::INTEGER AS token, token::INTEGER AS subword, char_index::INTEGER AS char_index FROM n WHERE NOT sign""",
+)
+
+
 def song_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(song, line, units, surfaces, breaks) of every turn."""
     from .plans.store import stored
@@ -359,11 +361,10 @@ def no_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filler_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines without any candidate: every unit is filler."""
-    lines = kana_lines(spark, sf_dir).select("song", "line", F.size("tokens").alias("n"))
-    none = F.create_map().cast("map<int,double>")
-    words = segment.cover(F.col("n"), F.array(F.lit(0)), none, 1)
-    return lines.select("song", "line", F.aggregate(words, F.lit(0.0), lambda a, w: a + w["score"] + 1).alias("cost"))
+    """Lines whose units no word can match, whole words of the line here: every one is filler."""
+    lines = kana_lines(spark, sf_dir).select("song", "line", F.transform("tokens", lambda t: F.concat(F.lit("?"), t["pronunciation"])).alias("units"))
+    cost = covered(spark, sf_dir, lines).groupBy("song", "line").agg(F.sum(F.col("score") + 1).alias("cost"))
+    return lines.join(cost, ["song", "line"], "left").select("song", "line", F.coalesce("cost", F.lit(0.0)).alias("cost"))
 
 
 # -- raw text: conversations with a ruby span in front of every third turn ----------------------------------------
@@ -382,6 +383,15 @@ def tokenize_together(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("tokenize_together", tokenize_together)
+
+
+def english_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every part's name, its Latin words with kana readings."""
+    t = table(spark, sf_dir, "part").select("p_partkey", text.english_line(F.col("p_name"), text.Words).alias("t"))
+    return t.select("p_partkey", *(joined(F.transform("t", field(f))).alias(f) for f in ("surface_form", "pronunciation")))
+
+
+register("english_line", english_line)
 register(
     "merge_ruby",
     lambda spark, d: text_tokens(spark, d).select("conv_id", "turn", F.size("t").cast("long").alias("n"), F.get("t", F.lit(0))["surface_form"].alias("first"), F.coalesce(F.get("t", F.lit(0))["ruby"], F.lit(False)).alias("ruby"), F.element_at("t", -1)["word_position"].cast("long").alias("place")),

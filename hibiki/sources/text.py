@@ -7,6 +7,7 @@ worker by a function without arguments, so that it need not be sent.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from typing import Protocol, runtime_checkable
 
@@ -24,6 +25,7 @@ from .wordlist import read_tidy
 
 FIELDS = [f.split(":")[0] for f in TOKEN[7:-1].split(",")]
 TOKENS = f"array<{TOKEN}>"
+_WORDS = re.compile("[A-Za-z']+|.", re.S)
 _LATIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ'")
 
 
@@ -46,47 +48,6 @@ class Characters:
         return list(texts)
 
 
-class MeCab:
-    """The fugashi tagger with the ipadic dictionary, where they are installed; a word without nine features is unknown."""
-
-    #: Place of each field among the dictionary's features.
-    PLACES = {"pos": 0, "pos_detail_1": 1, "pos_detail_2": 2, "pos_detail_3": 3, "conjugated_type": 4, "conjugated_form": 5}
-    WORDS = {"basic_form": 6, "reading": 7, "pronunciation": 8}
-
-    def __init__(self, tagger=None):
-        if tagger is None:
-            try:
-                import fugashi
-                import ipadic
-            except ImportError as e:
-                raise ImportError("the MeCab tokenizer needs the packages fugashi and ipadic") from e
-            tagger = fugashi.GenericTagger(ipadic.MECAB_ARGS)
-        self.tagger = tagger
-
-    @staticmethod
-    def features(word) -> list[str]:
-        raw = getattr(word, "feature_raw", None)
-        return raw.split(",") if raw is not None else list(map(str, word.feature))
-
-    def tokenize(self, texts: list[str]) -> list[list[dict]]:
-        out = []
-        for t in texts:
-            line = []
-            for i, word in enumerate(self.tagger(t), 1):
-                f = self.features(word)
-                known = self.PLACES | (self.WORDS if len(f) > 7 else {})
-                line.append(dict.fromkeys(FIELDS, "*") | {k: f[n] if n < len(f) else "*" for k, n in known.items()} | {"surface_form": word.surface, "word_position": i, "phrase": None, "ruby": None})
-            out.append(line)
-        return out
-
-    def get_yomi(self, texts: list[str]) -> list[str]:
-        def said(word) -> str:
-            f = self.features(word)
-            return f[7] if len(f) > 7 and f[7] not in ("", "*") else word.surface
-
-        return ["".join(map(said, self.tagger(t))) for t in texts]
-
-
 def token(surface: str, reading: str, **more) -> dict:
     """A noun with a reading."""
     plain = dict.fromkeys(FIELDS, "*") | {"surface_form": surface, "basic_form": surface, "reading": reading, "pronunciation": reading, "pos": "名詞", "pos_detail_1": "一般", "word_position": 1, "phrase": None, "ruby": None}
@@ -165,6 +126,35 @@ def english_tokens(text: str, tokenizer: Tokenizer, dictionary: dict[str, str] =
     return out
 
 
+def english_line(text: Column, make: Callable[[], Tokenizer] = Characters, dictionary: dict[str, str] = ENGLISH) -> Column:
+    """english_tokens of each text; null text gives null."""
+    held: list[Tokenizer] = []
+
+    @F.pandas_udf(TOKENS)
+    def run(values: pd.Series) -> pd.Series:
+        if not held:
+            held.append(make())
+        return pd.Series([None if v is None else [{k: t.get(k) for k in FIELDS} for t in english_tokens(v, held[0], dictionary)] for v in values], dtype=object)
+
+    return run(text)
+
+
+class Words:
+    """Runs of letters and apostrophes as words of unknown reading, every other character apart: for Latin text."""
+
+    def tokenize(self, texts: list[str]) -> list[list[dict]]:
+        out = []
+        for t in texts:
+            line = []
+            for m in _WORDS.finditer(t):
+                line.append(token(m[0], "*" if _LATIN.issuperset(m[0]) else m[0], word_position=m.start() + 1))
+            out.append(line)
+        return out
+
+    def get_yomi(self, texts: list[str]) -> list[str]:
+        return list(texts)
+
+
 def lyrics(lines: DataFrame, make: Callable[[], Tokenizer] = Characters, text_col: str = "text") -> DataFrame:
     """(song, line, units, surfaces, breaks, ...) of raw lines(song, line, text): what lattice.generate takes. Other columns stay; null and empty texts have no units."""
     # tokenizing, repair and alignment each run in Python: one is written before the next reads it
