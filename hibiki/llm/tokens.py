@@ -367,6 +367,62 @@ def lookup(keys: DataFrame, path: str, classes: int, whole: bool = False) -> Dat
     return asked.groupBy("class").cogroup(index.groupBy("class")).applyInPandas(find, PLACE)
 
 
+#: Parts up to which a fetch opens only those that it needs, by name; beyond, it reads them all.
+NAMED_PARTS = 10_000
+
+
+def _part_files(spark: SparkSession, path: str, parts: list[tuple[int, int]]) -> list[str]:
+    """The id files of the given (shard, part): a task writes its shard's parts, and Spark names a file by its task."""
+    jvm, out = spark.sparkContext._jvm, []
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for shard, sub in parts:
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/kind=ids/sub={sub}/part-{shard:05d}-*")
+        found = p.getFileSystem(conf).globStatus(p)
+        if not found:
+            raise ValueError(f"the index names part {sub} of shard {shard}, which is not there")
+        out += [f.getPath().toString() for f in found]
+    return out
+
+
+def fetch(keys: DataFrame, path: str, classes: int) -> DataFrame:
+    """(key, ids array<int>) of those of keys(key) that the index has, read from the payloads where the index says.
+
+    One lookup in the hash gives a key's part and offset; only parts that hold an asked key are
+    opened, and only the asked ids are taken from them. Null keys and keys that were never put in
+    give no row; of a repeated key the first record counts, the end id included.
+    """
+    spark = keys.sparkSession
+    places_ = lookup(keys.where("key IS NOT NULL"), path, classes)
+    asked = places_.groupBy("shard", "sub").agg(F.collect_list(F.struct("key", "at", "n_tokens")).alias("asked"))
+    from .common import stored
+
+    asked = stored(asked, "asked")
+    some = [(r.shard, r["sub"]) for r in asked.select("shard", "sub").limit(NAMED_PARTS + 1).collect()]
+    if not some:
+        return spark.createDataFrame([], "key long, ids array<int>")
+    files = [f"{path}/kind=ids"] if len(some) > NAMED_PARTS else _part_files(spark, path, some)
+    number = lambda at: F.conv(F.hex(F.reverse(F.substring("content", at, 4))), 16, 10).cast("int")
+    blobs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(files).select(number(9).alias("shard"), number(13).alias("sub"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                blob = b.column(0)[i].as_buffer()
+                kind, _, _, own, counts, at = _parse(blob)
+                ids = np.frombuffer(blob, kind, int(counts.sum(dtype=np.int64)), at)
+                first = np.cumsum(counts.astype(np.int64)) - counts
+                found = b.column(1)[i].as_py()
+                for x in found:
+                    k = int(np.searchsorted(first, x["at"]))
+                    if k >= len(own) or first[k] != x["at"] or own[k] != x["key"] or counts[k] != x["n_tokens"]:
+                        raise ValueError(f"the index leads to a wrong record for key {x['key']}")
+                taken = [ids[x["at"] : x["at"] + x["n_tokens"]].astype(np.int32) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in found], pa.int64()), pa.array(taken, pa.list_(pa.int32()))], ["key", "ids"])
+
+    # asked places are few beside the payloads: the payloads go to them only where both are large
+    return blobs.join(asked, ["shard", "sub"]).select("content", "asked").mapInArrow(run, "key long, ids array<int>")
+
+
 def starts(spark: SparkSession, path: str) -> DataFrame:
     """(shard, sub, base): ids of all documents in earlier parts. One row a part goes through the running sum."""
     from pyspark.sql import Window
