@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .kana import HIRA, KATA
+from .kana import HIRA, KATA, let
 
 PARSED = "plain string, annotations array<struct<start:int,end:int,reading:string>>"
 PIECES = "array<struct<type:string,surface:string,reading:string>>"
@@ -47,22 +46,61 @@ def pieces(text: str) -> list[dict]:
     return out
 
 
+# the same for Java's engine, possessive so that long spans need no stack; and what the matches of a text are: spans, runs of plain characters, escapes, single characters
+_JAVA_ATOMS = r"(?:[^｜|《》\n\r\\]++|\\[｜|《》\\]|\\(?![｜|《》\\]))++"
+_JAVA_SPAN = rf"[｜|]({_JAVA_ATOMS})《({_JAVA_ATOMS})》"
+_JAVA_MATCHES = rf"{_JAVA_SPAN}|[^｜|\\]++|\\[｜|《》\\]|(?s:.)"
+
+
+def _plain(s: Column) -> Column:
+    return F.regexp_replace(s, r"\\([｜|《》\\])", "$1")
+
+
 def ruby_parse(s: Column) -> Column:
-    """struct<plain, annotations>; escapes make it a state machine, so in Arrow batches."""
+    """struct<plain, annotations>: the text's matches in order, and a fold that keeps the place in the plain text."""
+    first = lambda m: F.left(m, F.lit(1))
+    kind = "array<struct<surface:string,reading:string>>"
+
+    def piece(m):
+        span = (F.length(m) > 1) & first(m).isin("｜", "|")
+        surface = F.when(span, _plain(F.regexp_extract(m, _JAVA_SPAN, 1))).when((F.length(m) == 2) & (first(m) == "\\"), F.right(m, F.lit(1))).otherwise(m)
+        return F.struct(surface.alias("surface"), F.when(span, F.translate(_plain(F.regexp_extract(m, _JAVA_SPAN, 2)), HIRA, KATA)).alias("reading"))
 
-    @F.pandas_udf(PARSED)
-    def run(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(v) if v is not None else {"plain": None, "annotations": None} for v in values], columns=["plain", "annotations"])
+    pieces_ = F.transform(F.regexp_extract_all(s, F.lit(_JAVA_MATCHES), 0), piece).cast(kind)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,reading:string>>").alias("marks"))
 
-    return run(s)
+    def step(acc, p):
+        end = acc["at"] + F.length(p["surface"])
+        mark = F.struct(acc["at"].alias("start"), end.alias("end"), p["reading"].alias("reading"))
+        return F.struct(end.alias("at"), F.when(p["reading"].isNull(), acc["marks"]).otherwise(F.concat(acc["marks"], F.array(mark))).alias("marks"))
+
+    def whole(ps):
+        plain = F.array_join(F.transform(ps, lambda p: p["surface"]), "")
+        return F.when(ps.isNotNull(), F.struct(plain.alias("plain"), F.aggregate(ps, start, step)["marks"].alias("annotations")))
+
+    # a null text gives nulls, not a null struct
+    out = let(pieces_, whole)
+    return F.struct(out["plain"].alias("plain"), out["annotations"].alias("annotations"))
 
 
 def ruby_split(s: Column) -> Column:
-    @F.pandas_udf(PIECES)
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else pieces(v) for v in values])
+    """Marked spans and the stretches between them, in order, of ruby_parse's result."""
+
+    def cut(r):
+        plain, marks = r["plain"], r["annotations"]
+        piece = lambda kind, a, b, reading: F.struct(F.lit(kind).alias("type"), F.substring(plain, a + 1, b - a).alias("surface"), reading.cast("string").alias("reading"))
+        none = F.lit(None).cast("string")
+
+        def around(i):
+            m = F.get(marks, i)
+            before = F.coalesce(F.get(marks, i - 1)["end"], F.lit(0))
+            rest = F.when((before < F.length(plain)) | (F.size(marks) == 0), piece("chunk", before, F.length(plain), none))
+            return F.when(i < F.size(marks), F.array(F.when(m["start"] > before, piece("chunk", before, m["start"], none)), piece("ruby", m["start"], m["end"], m["reading"]))).otherwise(F.array(rest))
+
+        parts = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size(marks)), around)), lambda x: x.isNotNull())
+        return F.when(plain.isNotNull(), parts.cast(PIECES))
 
-    return run(s)
+    return let(ruby_parse(s), cut)
 
 
 def has_ruby(s: Column) -> Column:
