@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,26 +113,62 @@ def to_kana(text: str, dictionary: dict[str, str] = ENGLISH, names: dict[str, st
     return "".join(names.get(c, c) for c in text)
 
 
-def english_to_kana(s: Column, dictionary: dict[str, str] = ENGLISH, names: dict[str, str] = LETTER_NAMES) -> Column:
-    """to_kana of each value: general romaji is a state machine, so in an Arrow batch function."""
+@cache
+def _machine() -> tuple[list[int], list[str]]:
+    """The romaji keys as a transition table of 26 letters a state, and the kana: above 0 the next state, below 0 the kana that a letter completes, 0 neither."""
+    keys = romaji()
+    state = {p: i for i, p in enumerate(sorted(_prefixes(), key=lambda x: (len(x), x)), 1)} | {"": 0}
+    kana = sorted(set(keys.values()))
+    place = {k: i for i, k in enumerate(kana)}
+    table = [0] * (26 * len(state))
+    for p, i in state.items():
+        for c in range(26):
+            key = p + chr(97 + c)
+            table[26 * i + c] = -1 - place[keys[key]] if key in keys else state.get(key, 0)
+    return table, kana
+
+
+def roman_letters_to_kana(s: Column) -> Column:
+    """roman_to_kana as one fold over the characters.
+
+    Every letter alone is a key or begins one, so a letter that does not go on with the pending
+    ones always begins anew.
+    """
+    table, kana = _machine()
+    steps, names = F.array(*map(F.lit, table)), F.array(*map(F.lit, kana))
+    text = F.when(F.length(F.lower(s)) != F.length(s), F.lower(s)).otherwise(s)
+    start = F.struct(F.lit("").alias("out"), F.lit("").alias("pending"), F.lit(0).alias("state"), F.lit("").alias("before"))
+
+    def begun(out: Column, pending: Column, letter: Column, c: Column, low: Column, state: Column | int):
+        """The state after a letter: completed, or one more pending; null where it does neither."""
+        t = F.get(steps, state * 26 + letter)
+        new = lambda o, p, n: F.struct(o.alias("out"), p.alias("pending"), n.alias("state"), low.alias("before"))
+        return F.when(t < 0, new(F.concat(out, F.get(names, -t - 1)), F.lit(""), F.lit(0))).when(t > 0, new(out, F.concat(pending, c), t))
 
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return values.map(lambda x: x if x is None else known.setdefault(x, to_kana(x, dictionary, names)))
+    def step(acc, c):
+        low = F.lower(c)
+        letter = F.ascii(low) - 97
+        mark = F.when(acc["before"] == "n", F.lit("ン")).when(acc["before"] == low, F.lit("ッ")).otherwise(acc["pending"])
+        again = begun(F.concat(acc["out"], mark), F.lit(""), letter, c, low, 0)
+        other = F.struct(F.concat(acc["out"], acc["pending"], c).alias("out"), F.lit("").alias("pending"), F.lit(0).alias("state"), low.alias("before"))
+        return F.when((F.length(low) == 1) & letter.between(0, 25), F.coalesce(begun(acc["out"], acc["pending"], letter, c, low, acc["state"]), again)).otherwise(other)
 
-    return run(s)
+    def end(acc):
+        p = acc["pending"]
+        return F.concat(acc["out"], F.when(p.endswith("n"), F.concat(F.left(p, F.length(p) - 1), F.lit("ン"))).otherwise(p))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit("(?s)."), 0), start, step, end)
+
+
+def english_to_kana(s: Column, dictionary: dict[str, str] = ENGLISH, names: dict[str, str] = LETTER_NAMES) -> Column:
+    """to_kana of each value, native."""
+    return spell_letters(roman_letters_to_kana(english_lookup(first_wide_letter(s), dictionary)), names)
 
 
 def format_kana(s: Column, dictionary: dict[str, str] = ENGLISH) -> Column:
     """A reading made uniform: Latin runs as kana, katakana, no signs, no unnatural kana."""
     from .kana import hira_to_kata, normalize_kana, remove_sign
 
-    # only texts with Latin letters visit Python: each distinct run is converted there, the rest stays native
-    @F.pandas_udf("string")
-    def latin(values: pd.Series) -> pd.Series:
-        import re
-
-        return values.map(lambda x: x if x is None else re.sub(r"[a-zA-Z']+", lambda m: to_kana(m[0], dictionary), x))
-
-    return normalize_kana(remove_sign(hira_to_kata(F.when(s.rlike("[a-zA-Z']"), latin(s)).otherwise(s))))
+    runs = F.transform(F.regexp_extract_all(s, F.lit("(?s)[a-zA-Z']+|[^a-zA-Z']+"), 0), lambda r: F.when(is_english_word(r), english_to_kana(r, dictionary)).otherwise(r))
+    latin = F.when(s.rlike("[a-zA-Z']"), F.array_join(runs, "")).otherwise(s)
+    return normalize_kana(remove_sign(hira_to_kata(latin)))
