@@ -37,7 +37,7 @@ def test_lines_keep_their_order_in_splits(spark, folder):
     assert [r.value.removeprefix("﻿") for r in rows] == a + b
 
 
-@pytest.mark.parametrize("split", [1 << 20, 97, 11])
+@pytest.mark.parametrize("split", [1 << 20, 2_311])
 def test_data_source(spark, folder, split):
     path, a, _ = folder
     tidysource.register(spark)
