@@ -125,8 +125,16 @@ class Automaton:
         for d in range(1, depth):
             back = np.where(window[-1] > 0, codes[np.maximum(ends - d, 0)], 0)
             window.append(back.astype(np.int64))
-        # codes have 31 bits: two words of a window make one sort key
-        order = np.lexsort([(a << 31) | b for a, b in zip(window[::2], [*window[1::2], np.zeros(len(ends), np.int64)])][::-1])
+        # as many words of a window as have room make one sort key
+        bits = int(codes.max(initial=0)).bit_length()
+        room = 63 // max(1, bits)
+        keys = []
+        for d in range(0, depth, room):
+            key = window[d]
+            for w in window[d + 1 : d + room]:
+                key = (key << bits) | w
+            keys.append(key)
+        order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
         window = [w[order] for w in window]
         ends = ends[order]
         total = np.r_[0, np.cumsum(weight[ends])]
@@ -165,47 +173,38 @@ class Automaton:
 
 
 class Shard:
-    """The pieces of one language that a task has read so far, as codes of words."""
+    """The pieces of one language that a task has read so far."""
 
     def __init__(self, lang: str):
-        self.lang, self.place = lang, {}
-        self.hash: list[int] = []
-        self.codes: list[np.ndarray] = []
-        self.weight: list[np.ndarray] = []
-        self.size = 0
+        self.lang, self.size = lang, 0
+        self.texts: list[pa.Array] = []
+        self.times: list[np.ndarray] = []
 
     def add(self, texts: pa.Array, n: np.ndarray) -> None:
-        import xxhash
+        self.texts.append(texts)
+        self.times.append(n)
+        self.size += int(pc.sum(pc.count_substring(texts, " ")).as_py()) + 2 * len(texts)
 
-        split = pc.split_pattern(texts, " ")
+    def laid(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Codes of all words, from 1 on, with a 0 before each piece; how often each place's piece comes; the word of each code."""
+        split = pc.split_pattern(pa.concat_arrays(self.texts), " ")
         words = pc.dictionary_encode(split.flatten())
-        if isinstance(words, pa.ChunkedArray):
-            words = words.combine_chunks()
-        seen = words.dictionary.to_pylist()
-        own = np.empty(len(seen), np.int32)
-        for i, w in enumerate(seen):
-            code = self.place.get(w)
-            if code is None:
-                code = self.place[w] = len(self.place) + 1
-                self.hash.append(xxhash.xxh64_intdigest(f"{self.lang}\0{w}".encode(), 42))
-            own[i] = code
         sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         codes = np.zeros(len(words) + len(sizes), np.int32)
-        first = np.cumsum(sizes + 1) - sizes - 1
         told = np.ones(len(codes), bool)
-        told[first] = False
-        codes[told] = own[words.indices.to_numpy()]
-        self.codes.append(codes)
-        self.weight.append(np.repeat(n, sizes + 1))
-        self.size += len(codes)
-
-    def strings(self) -> pa.Array:
-        """Word of each code; of 0 none."""
-        return pa.array([None, *self.place], pa.string())
+        told[np.cumsum(sizes + 1) - sizes - 1] = False
+        codes[told] = words.indices.to_numpy()
+        codes[told] += 1
+        return codes, np.repeat(np.concatenate(self.times), sizes + 1), pa.concat_arrays([pa.nulls(1, pa.string()), words.dictionary])
 
     def counted(self, lengths: tuple[int, ...], word_bits, pair_bits) -> Iterator[pa.RecordBatch]:
-        codes, weight = np.concatenate(self.codes), np.concatenate(self.weight)
-        h = np.r_[np.zeros(1, np.uint64), np.array(self.hash, np.uint64)]
+        import xxhash
+
+        codes, weight, names = self.laid()
+        h = np.zeros(0, np.uint64)
+        if word_bits is not None:
+            top = f"{self.lang}\0".encode()
+            h = np.array([0, *(xxhash.xxh64_intdigest(top + w.encode(), 42) for w in names[1:].to_pylist())], np.uint64)
         if word_bits is not None:
             fine = _in_filter(word_bits, h)
             fine[0] = False
@@ -221,8 +220,11 @@ class Shard:
             starts = np.flatnonzero(~left & right)
             codes = np.where(keep & (codes > 0) & ~alone, codes, 0)
             codes, weight = np.insert(codes, starts, 0), np.insert(weight, starts, 0)
+        # numbers of the words that are left, as small as can be
+        used = np.zeros(len(names), bool)
+        used[0], used[codes] = True, True
+        names, codes = names.filter(pa.array(used)), (np.cumsum(used, dtype=np.int32) - np.int32(1))[codes]
         automaton = Automaton(codes, weight, max(lengths))
-        names = self.strings()
         for k in lengths:
             place, n = automaton.substrings(k)
             for at in range(0, len(place), 20_000):
