@@ -7,9 +7,16 @@ more and has one edge in and one edge out, wherever it occurs, is on a nonbranch
 words from its predecessor to its successor repeat as a whole. Joins bring every node's counts
 to its coordinates; consecutive nonbranching nodes of a document compact into one repeated
 span, whose windows are accepted as they are. Windows at path ends and branches, whose node
-repeats, are verified one by one: by the hash of all their words, counted over the corpus. A
-path's outermost nodes are not plain themselves, so a window of theirs that is accepted in one
-document may be verified in another; accepted ones of such nodes are counted, too.
+repeats, are verified one by one: by two hashes of all their words, 96 bits together, counted
+over the corpus. A path's outermost nodes are not plain themselves, so a window of theirs that is
+accepted in one document may be verified in another; accepted ones of such nodes are counted, too.
+
+What hashes may get wrong: a window of a path is accepted if a node and an edge beside it agree
+with another place's, 128 bits, and any other window by 96 bits, so among 10^13 distinct windows
+fewer than 0.001 wrong pairs are to be expected.
+
+A hash that holds more than 1 in HOT of the rows goes to a broadcast join, as there are fewer than
+HOT such hashes at any size of input; the other hashes shuffle.
 
 Rows are told apart by (doc_id, hash of text), so repeated rows count as copies of each other.
 """
@@ -33,8 +40,10 @@ K = 8
 START, END = 0, 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Keys that the windows of one hash are dealt over.
-SALTS = 8
+_CHECK_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
+_CHECK_INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
+#: A hash is hot if it holds more than 1 in HOT of the rows that repeated hashes hold.
+HOT = 2048
 #: Words that are hashed together in one array.
 _CHUNK_WORDS = 400_000
 
@@ -59,20 +68,33 @@ class Spans:
         self.starts = self.ends - self.sizes
         n = int(self.sizes.sum())
         h = np.fromiter((xxhash.xxh64_intdigest(x) for w in docs for x in w), np.uint64, n)
+        self.n, self.words, self.second = n, h, None
+        self.first = self._sums(h, _BASE, _INVERSE)
+
+    def _sums(self, h: np.ndarray, base: np.uint64, inverse: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the word hashes times powers of base, and the powers of its inverse."""
         with np.errstate(over="ignore"):
-            power = np.full(n, _BASE, np.uint64)
-            back = np.full(n + 1, _INVERSE, np.uint64)
-            if n:
-                power[0] = 1
-            back[0] = 1
-            self.back = np.multiply.accumulate(back)
-            self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(h * np.multiply.accumulate(power), out=self.sums[1:])
-        self.n = n
+            power = np.full(self.n, base, np.uint64)
+            back = np.full(self.n + 1, inverse, np.uint64)
+            power[:1] = back[0] = 1
+            sums = np.zeros(self.n + 1, np.uint64)
+            np.cumsum(h * np.multiply.accumulate(power), out=sums[1:])
+            return sums, np.multiply.accumulate(back)
+
+    @staticmethod
+    def _span(sums: np.ndarray, back: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return _mixed((sums[b] - sums[a]) * back[a])
 
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return _mixed((self.sums[b] - self.sums[a]) * self.back[a])
+        return self._span(*self.first, a, b)
+
+    def check(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A second hash of the same spans, over other word hashes and another base: 32 bits."""
+        if self.second is None:
+            with np.errstate(over="ignore"):
+                self.second = self._sums(_mixed(self.words + _CHECK_BASE), _CHECK_BASE, _CHECK_INVERSE)
+        return (self._span(*self.second, a, b) >> np.uint64(32)).astype(np.uint32)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts of all windows, and the start of each one's node."""
@@ -148,17 +170,40 @@ def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     return _keyed(docs, id_col, text_col).select("k", "th", "text").mapInArrow(run, "h long, k long, th long, pos int, came long, went long")
 
 
+def hot_keys(counts: DataFrame) -> DataFrame:
+    """counts, rows of distinct keys and their count n, with hot: whether a key holds more than 1 in HOT of all that is counted."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.withColumn("hot", F.col("n") > total // HOT)
+
+
 def graph(docs: DataFrame, **kw) -> DataFrame:
     """Per row key, its repeated nodes: at, their positions, and plain, whether each is on a nonbranching path."""
     every = stored(nodes(docs, **kw), "nodes")
-    twice = every.groupBy("h").count().where("count > 1").select("h")
-    again = stored(every.join(twice, "h"), "repeated")
-    degree = again.groupBy("h").agg((F.min("came") == F.max("came")).alias("one_in"), (F.min("went") == F.max("went")).alias("one_out"))
-    placed = again.join(degree, "h").select("k", "th", F.struct("pos", (F.col("one_in") & F.col("one_out")).alias("plain")).alias("x"))
-    lists = placed.groupBy("k", "th").agg(F.sort_array(F.collect_set("x")).alias("x"))
+    twice = hot_keys(stored(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "counts"))
+    marked = every.join(F.broadcast(twice.where("hot").select("h", "hot")), "h", "left")
+    rest = marked.where("hot IS NULL").drop("hot").join(twice.where("NOT hot").select("h", "hot"), "h")
+    again = stored(marked.where("hot").unionByName(rest), "repeated")
+
+    def placed(part: DataFrame, hint) -> DataFrame:
+        degree = part.groupBy("h").agg((F.min("came") == F.max("came")).alias("one_in"), (F.min("went") == F.max("went")).alias("one_out"))
+        return part.join(hint(degree), "h").select("k", "th", F.struct("pos", (F.col("one_in") & F.col("one_out")).alias("plain")).alias("x"))
+
+    both = placed(again.where("hot"), F.broadcast).unionByName(placed(again.where("NOT hot"), lambda x: x))
+    lists = both.groupBy("k", "th").agg(F.sort_array(F.collect_set("x")).alias("x"))
     return lists.select("k", "th", F.col("x.pos").alias("at"), F.col("x.plain").alias("plain"))
 
 
+def recurring(windows: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(k, th, hit): per row key the places of its windows (k, th, wpos, whash, wcheck) whose both hashes come again, among the accepted (whash, wcheck), too."""
+    name = ["whash", "wcheck"]
+    counted = windows.select(*name, F.lit(True).alias("asked")).unionByName(accepted.select(*name, F.lit(False).alias("asked")))
+    twice = hot_keys(stored(counted.groupBy(*name).agg(F.count("*").alias("n"), F.max("asked").alias("asked")).where("n > 1 AND asked").select(*name, "n"), "windows"))
+    marked = windows.join(F.broadcast(twice.where("hot").select(*name, "hot")), name, "left")
+    rest = marked.where("hot IS NULL").drop("hot").join(twice.where("NOT hot").select(*name), name)
+    hits = marked.where("hot").drop("hot").unionByName(rest)
+    return hits.groupBy("k", "th").agg(F.collect_set("wpos").alias("hit"))
+
+
 def _paths(anchors: np.ndarray, plain: np.ndarray, k: int) -> list[tuple[int, int]]:
     """Repeated spans [a, b): each run of consecutive nonbranching nodes, with the nodes beside it."""
     out, i, n = [], 0, len(anchors)
@@ -201,12 +246,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeats are kept whole; repeated rows count as copies of each other; an empty table gives
     no rows; further columns are ignored unless carried.
     """
-    out = "doc_id long, k long, th long, n_words long, n_removed long, kept string, text string, sure array<int>, wpos array<int>, whash array<long>, also array<long>"
+    out = "doc_id long, k long, th long, n_words long, n_removed long, kept string, text string, sure array<int>, wpos array<int>, whash array<long>, wcheck array<int>, also array<long>, alsocheck array<int>"
     carried = _keyed(docs, id_col, text_col, carry).schema["carry"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.strip().split()[0] for f in out.split(",")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), *(pa.list_(t()) for t in (pa.int32, pa.int32, pa.int64, pa.int32, pa.int64, pa.int32))]
         for b in batches:
             ids, ks, ths, texts = (b.column(i).to_pylist() for i in range(4))
             at, plain = b.column(4), b.column(5)
@@ -235,16 +280,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         ask = rep[o] & ~sure
                         q = p[ask] + s.starts[j]
                         e = p[sure & rep[o] & ~flat[o]] + s.starts[j]
-                        pending[i] = (p[sure], p[ask], s.hash(q, q + window).view(np.int64), s.hash(e, e + window).view(np.int64))
+                        pending[i] = (p[sure], p[ask], *(f(x, x + window).view(t) for x in (q, e) for f, t in ((s.hash, np.int64), (s.check, np.int32))))
                 for i, w in part:
-                    sure, ask, hashes, also = pending.get(i, (np.zeros(0, np.int64),) * 4)
+                    sure, ask, hashes, checks, also, also_checks = pending.get(i, (np.zeros(0, np.int64),) * 6)
                     if len(ask):
-                        found.append((ids[i], ks[i], ths[i], len(w), None, None, texts[i], sure.astype(np.int32), ask.astype(np.int32), hashes, also))
+                        found.append((ids[i], ks[i], ths[i], len(w), None, None, texts[i], sure.astype(np.int32), ask.astype(np.int32), hashes, checks, also, also_checks))
                     else:
                         gone, kept = _finish(w, sure, window, digest)
                         if untouched and not gone:
                             kept = texts[i]
-                        found.append((ids[i], ks[i], ths[i], len(w), gone, kept, None, None, None, None, also if len(also) else None))
+                        found.append((ids[i], ks[i], ths[i], len(w), gone, kept, None, None, None, None, None, *((also, also_checks) if len(also) else (None, None))))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*found), kinds)), b.column(6).slice(done, len(part))], [*names, "carry"])
                 done += len(part)
 
@@ -265,12 +310,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with_nodes = _keyed(docs, id_col, text_col, carry).join(lists, ["k", "th"], "left").select("doc_id", "k", "th", "text", "at", "plain", "carry")
     judged = stored(with_nodes.mapInArrow(judge, StructType([*StructType.fromDDL(out), carried])), "judged")
     asked = judged.where("kept IS NULL")
-    windows = asked.select("k", "th", F.explode(F.arrays_zip("wpos", "whash")).alias("w")).select("k", "th", "w.wpos", "w.whash")
-    counted = windows.select("whash", F.lit(True).alias("asked")).unionByName(judged.select(F.explode("also").alias("whash"), F.lit(False).alias("asked")))
-    twice = counted.groupBy("whash").agg(F.count("*").alias("n"), F.max("asked").alias("asked")).where("n > 1 AND asked").select("whash")
-    # a passage that many documents share is one hot hash: its windows are dealt over SALTS keys, the few distinct hashes copied to each
-    salt = F.pmod(F.xxhash64("k", "th", "wpos"), F.lit(SALTS))
-    copied = twice.select("whash", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    hits = windows.withColumn("salt", salt).join(copied, ["whash", "salt"]).groupBy("k", "th").agg(F.collect_set("wpos").alias("hit"))
+    windows = asked.select("k", "th", F.explode(F.arrays_zip("wpos", "whash", "wcheck")).alias("w")).select("k", "th", "w.*")
+    accepted = judged.select(F.explode(F.arrays_zip(F.col("also").alias("whash"), F.col("alsocheck").alias("wcheck"))).alias("w")).select("w.*")
+    hits = recurring(windows, accepted)
     settled = asked.join(hits, ["k", "th"], "left").select("doc_id", "text", "sure", "hit", "carry").mapInArrow(settle, StructType([*StructType.fromDDL(DONE), carried]))
     return judged.where("kept IS NOT NULL").select("doc_id", "n_words", "n_removed", "kept", "carry").unionByName(settled)

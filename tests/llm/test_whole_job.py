@@ -109,3 +109,26 @@ def test_positions_beyond_a_stretch(monkeypatch):
     for a, n in zip(at.tolist(), node.tolist()):
         h = s.hash(np.arange(a, a + width), np.arange(a, a + width) + s.k) & ~np.uint64(0xFFFFFF)
         assert n == a + int(np.argmin(h))
+
+
+def test_windows_whose_first_hashes_clash_stay(spark):
+    """Windows recur only if both hashes agree; accepted windows count; hot and rare hashes go by different joins."""
+    rows = [(1, 0, 5, 77, 1), (2, 0, 9, 77, 2), (3, 0, 1, 88, 3), (4, 0, 2, 99, 4), (5, 0, 3, 99, 5)]
+    rows += [(100 + i, 0, 0, 7, 7) for i in range(5000)] + [(9000, 0, 0, 6, 6), (9000, 0, 1, 6, 6), (9001, 0, 4, 6, 6)]
+    windows = spark.createDataFrame(rows, "k long, th long, wpos int, whash long, wcheck int")
+    accepted = spark.createDataFrame([(88, 3), (99, 6), (5, 5), (5, 5)], "whash long, wcheck int")
+    got = {r.k: sorted(r.hit) for r in substring.recurring(windows, accepted).collect()}
+    assert got == {3: [1], 9000: [0, 1], 9001: [4]} | {100 + i: [0] for i in range(5000)}
+    hot = {r.n: r.hot for r in substring.hot_keys(spark.createDataFrame([(1, 5000), (2, 2)], "h long, n long")).collect()}
+    assert hot == {5000: True, 2: False}
+
+
+def test_the_second_hash_tells_spans_by_their_words_alone():
+    import numpy as np
+
+    rng = random.Random(8)
+    one = [rng.choice(WORDS).encode() for _ in range(300)]
+    s, t = substring.Spans([one]), substring.Spans([one[40:], one])
+    a = np.arange(200)
+    assert (s.check(a + 40, a + 75) == t.check(a, a + 35)).all() and (s.check(a, a + 35) == t.check(a + 260, a + 295)).all()
+    assert len(set(s.check(a, a + 35).tolist())) == len({tuple(one[i : i + 35]) for i in range(200)})
