@@ -34,7 +34,10 @@ def first_wide_letter(s: Column) -> Column:
     return F.when(head == "", s).otherwise(F.concat(F.translate(head, WIDE_LETTERS, narrow), tail))
 
 
-def literal_map(values: dict[str, str]) -> Column:
+def literal_map(values: dict[str, str] | Column) -> Column:
+    """values in the plan; a map column, such as dictionary.with_entries makes, stays itself."""
+    if isinstance(values, Column):
+        return values
     return F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*map(F.lit, values.values())))
 
 
@@ -48,7 +51,7 @@ def romaji_words_to_kana(s: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(romaji_pattern()), 0), lambda k: F.element_at(table, k)), "")
 
 
-def english_lookup(s: Column, dictionary: dict[str, str] = ENGLISH) -> Column:
+def english_lookup(s: Column, dictionary: dict[str, str] | Column = ENGLISH) -> Column:
     return F.coalesce(F.try_element_at(literal_map(dictionary), F.upper(s)), s)
 
 
@@ -160,12 +163,12 @@ def roman_letters_to_kana(s: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(text, F.lit("(?s)."), 0), start, step, end)
 
 
-def english_to_kana(s: Column, dictionary: dict[str, str] = ENGLISH, names: dict[str, str] = LETTER_NAMES) -> Column:
+def english_to_kana(s: Column, dictionary: dict[str, str] | Column = ENGLISH, names: dict[str, str] = LETTER_NAMES) -> Column:
     """to_kana of each value, native."""
     return spell_letters(roman_letters_to_kana(english_lookup(first_wide_letter(s), dictionary)), names)
 
 
-def format_kana(s: Column, dictionary: dict[str, str] = ENGLISH) -> Column:
+def format_kana(s: Column, dictionary: dict[str, str] | Column = ENGLISH) -> Column:
     """A reading made uniform: Latin runs as kana, katakana, no signs, no unnatural kana."""
     from .kana import hira_to_kata, normalize_kana, remove_sign
 

@@ -193,8 +193,15 @@ def line_units(tokens: list[dict], dictionary: dict[str, list[str]] = KANJI) ->
     return out
 
 
-def align_line(tokens: Column, dictionary: dict[str, list[str]] = KANJI) -> Column:
-    """line_units of a column of token lists."""
+def align_line(tokens: Column, dictionary: dict[str, list[str]] | Column = KANJI) -> Column:
+    """line_units of a column of token lists; dictionary may be a map column of each row's entries."""
+    if isinstance(dictionary, Column):
+
+        @F.pandas_udf(UNITS)
+        def with_own(lists: pd.Series, known: pd.Series) -> pd.Series:
+            return pd.Series([None if x is None else line_units(list(x), {k: list(v) for k, v in dict(m or {}).items()}) for x, m in zip(lists, known)], dtype=object)
+
+        return with_own(tokens, dictionary)
 
     @F.pandas_udf(UNITS)
     def run(lists: pd.Series) -> pd.Series:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.lexicon import ENGLISH, KANJI
 
@@ -50,3 +51,20 @@ def kanji_texts(rows: DataFrame, key: str, text: str, table: DataFrame, out: str
     places = rows.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit("(?s)."), 0)).alias("_i", "kanji"))
     said = places.join(first, "kanji").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "said"))), lambda x: x["said"]), "").alias("_out"))
     return rows.join(said, key, "left").select(key, F.when(F.col(text).isNotNull(), F.coalesce("_out", F.lit(""))).alias(out))
+
+
+def with_entries(rows: DataFrame, keys: list[str], words: Column, table: DataFrame, out: str) -> DataFrame:
+    """rows with out, a map of those entries of table(word, said) that a row's words name.
+
+    words: an array column. keys tell the rows apart. A row brings its few entries along, however
+    long the dictionary is; of several entries of a word the least counts; rows without any get an
+    empty map.
+    """
+    kind = table.schema["said"].dataType
+    entries = table.where("said IS NOT NULL").groupBy("word").agg(F.min("said").alias("said"))
+    asked = rows.select(*keys, F.explode(F.array_distinct(words)).alias("word")).where("word IS NOT NULL")
+    found = asked.join(entries, "word").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("word", "said"))).alias("_own"))
+    found = found.select(*(F.col(k).alias(f"_at_{k}") for k in keys), "_own")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(ArrayType(kind)))
+    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]
+    return rows.join(found, same, "left").select(*rows.columns, F.coalesce("_own", none).alias(out))

@@ -15,12 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.english import APOSTROPHE, to_kana
+from ..functions.english import APOSTROPHE, first_wide_letter, to_kana
 from ..functions.lexicon import ENGLISH
 from ..functions.ruby import pieces
 from ..operators import align, segment
 from ..operators.tokens import TOKEN, format_tokens
 from ..plans.store import stored
+from . import dictionary as dictionaries
 from .wordlist import read_tidy
 
 FIELDS = [f.split(":")[0] for f in TOKEN[7:-1].split(",")]
@@ -155,17 +156,35 @@ class Words:
         return list(texts)
 
 
-def lyrics(lines: DataFrame, make: Callable[[], Tokenizer] = Characters, text_col: str = "text") -> DataFrame:
-    """(song, line, units, surfaces, breaks, ...) of raw lines(song, line, text): what lattice.generate takes. Other columns stay; null and empty texts have no units."""
-    # tokenizing, repair and alignment each run in Python: one is written before the next reads it
-    return from_tokens(stored(lines.withColumn("tokens", tokenize_together(F.coalesce(F.col(text_col), F.lit("")), make)).drop(text_col)))
-
+def lyrics(lines: DataFrame, make: Callable[[], Tokenizer] = Characters, text_col: str = "text", english: DataFrame | None = None, kanji: DataFrame | None = None) -> DataFrame:
+    """(song, line, units, surfaces, breaks, ...) of raw lines(song, line, text): what lattice.generate takes. Other columns stay; null and empty texts have no units.
 
-def from_tokens(lines: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """lyrics of lines whose tokens are made already."""
+    english(word, said) and kanji(kanji, readings) are dictionary tables of any length, joined on
+    (song, line), which must then be distinct; without them the small ones of our own are used.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # tokenizing, repair and alignment each run in Python: one is written before the next reads it
+    if english is None and kanji is None:
+        return from_tokens(stored(lines.withColumn("tokens", tokenize_together(text, make)).drop(text_col)))
+    told = stored(lines.withColumn("tokens", tokenized(text, make)).drop(text_col))
+    surfaces = F.transform("tokens", lambda t: t["surface_form"])
+    if english is not None:
+        words = F.transform(surfaces, lambda s: F.upper(first_wide_letter(F.replace(s, F.lit(APOSTROPHE), F.lit("'")))))
+        told = dictionaries.with_entries(told, ["song", "line"], words, english, "_english")
+    if kanji is not None:
+        letters = F.regexp_extract_all(F.array_join(surfaces, ""), F.lit("(?s)."), 0)
+        told = dictionaries.with_entries(told, ["song", "line"], letters, kanji.select(F.col("kanji").alias("word"), F.col("readings").alias("said")), "_kanji")
+    own = {k: F.col(f"_{k}") for k, v in (("english", english), ("kanji", kanji)) if v is not None}
+    ready = stored(told.withColumn("tokens", format_tokens(F.col("tokens"), **own)))
+    return from_tokens(ready, kanji=own.get("kanji")).drop("_english", "_kanji")
+
+
+def from_tokens(lines: DataFrame, tokens_col: str = "tokens", kanji: Column | None = None) -> DataFrame:
+    """lyrics of lines whose tokens are made already; kanji: a map column of each line's kanji and their readings."""
     each = lambda f: F.transform("u", lambda x: x[f])
     # written once: the alignment runs in Python and is read three times, also inside a lambda
-    named = stored(lines.withColumn("u", align.align_line(F.col(tokens_col))).drop(tokens_col))
+    aligned = align.align_line(F.col(tokens_col)) if kanji is None else align.align_line(F.col(tokens_col), kanji)
+    named = stored(lines.withColumn("u", aligned).drop(tokens_col))
     return named.withColumn("units", each("pronunciation")).withColumn("surfaces", each("surface_form")).withColumn("breaks", segment.phrase_breaks(each("phrase"))).drop("u")
 
 
@@ -182,15 +201,27 @@ def read_sample(spark: SparkSession, name: str, folder: str, where: str = "") ->
     return read_tidy(spark, f"{folder.rstrip('/')}/{name}.csv", where)
 
 
-def read_data(spark: SparkSession, folder: str, similarity: str = "simple") -> dict:
-    """The dictionaries and distance tables in a folder's JSON files, through Spark's file systems; another kind of similarity is an error."""
-    if similarity not in MATRICES:
-        raise ValueError(f"no similarity {similarity!r}: there are {', '.join(MATRICES)}")
-    names = FILES | dict(zip(("vowel_similarity", "consonant_similarity"), MATRICES[similarity]))
+def _read_json(spark: SparkSession, folder: str, names: dict[str, str]) -> dict:
     found = {r.path.rsplit("/", 1)[-1]: r.content for r in spark.read.format("binaryFile").load([f"{folder.rstrip('/')}/{n}" for n in names.values()]).select("path", "content").collect()}
     return {k: json.loads(bytes(found[n]).decode()) for k, n in names.items()}
 
 
+def _matrices(similarity: str) -> dict[str, str]:
+    if similarity not in MATRICES:
+        raise ValueError(f"no similarity {similarity!r}: there are {', '.join(MATRICES)}")
+    return dict(zip(("vowel_similarity", "consonant_similarity"), MATRICES[similarity]))
+
+
+def read_data(spark: SparkSession, folder: str, similarity: str = "simple") -> dict:
+    """The dictionaries and distance tables in a folder's JSON files, through Spark's file systems; another kind of similarity is an error."""
+    return _read_json(spark, folder, FILES | _matrices(similarity))
+
+
+def read_distances(spark: SparkSession, folder: str, similarity: str = "simple") -> dict:
+    """The two distance tables alone, which are of fixed size, unlike the dictionaries."""
+    return _read_json(spark, folder, _matrices(similarity))
+
+
 def cells(table: dict[str, dict[str, float]]) -> dict[tuple[str, str], float]:
     """A nested distance table as distance.matrix takes it."""
     return {(a, b): float(d) for a, row in table.items() for b, d in row.items()}

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kana
-from ..functions.english import format_kana
+from ..functions.english import first_wide_letter, format_kana
 from ..plans.where import compiled
+from .dictionary import with_entries
 
 
 def _offsets(spark: SparkSession, sizes: list[tuple], kind: str) -> DataFrame:
@@ -103,18 +104,32 @@ def reading(columns: list[str]) -> Column:
     return F.when(p.isNull() | p.isin("", "NA", "na"), F.col("surface")).otherwise(p)
 
 
-def words(rows: DataFrame, max_units: int | None = None, get_yomi: Callable[[Column], Column] | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+def _said_by(rows: DataFrame, english: DataFrame) -> DataFrame:
+    """rows whose kana, a reading yet to be made uniform, is told with a dictionary table."""
+    latin = F.col("kana").rlike("[a-zA-Z']")
+    runs = F.transform(F.regexp_extract_all("kana", F.lit("[a-zA-Z']+"), 0), lambda r: F.upper(first_wide_letter(r)))
+    own = with_entries(rows.where(latin).select("kana").distinct(), ["kana"], runs, english, "_english")
+    told = own.select(F.col("kana").alias("_from"), format_kana(F.col("kana"), F.col("_english")).alias("_said"))
+    joined = rows.where(latin).join(told, F.col("kana") == F.col("_from")).withColumn("kana", F.col("_said")).drop("_from", "_said")
+    return rows.where(~latin).withColumn("kana", format_kana(F.col("kana"))).unionByName(joined)
+
+
+def words(rows: DataFrame, max_units: int | None = None, get_yomi: Callable[[Column], Column] | None = None, order: tuple[str, ...] = (), english: DataFrame | None = None) -> DataFrame:
     """The word table: one row for each way to say each word of rows(id, surface[, original, pronunciation]).
 
     Readings with kanji go through get_yomi, where one is given; empty readings drop out.
     n_units is the number of units, by which words are matched; ordinal is the way's number.
-    max_units keeps long readings from unfolding into more ways than any line can use.
+    max_units keeps long readings from unfolding into more ways than any line can use. english
+    (word, said) is a dictionary table of any length; readings with Latin runs are made distinct before they meet it.
     """
     said = reading(rows.columns)
     if get_yomi is not None:
         said = F.when(said.rlike("[一-龠]"), get_yomi(said)).otherwise(said)
     original = F.col("original") if "original" in rows.columns else F.col("surface")
-    base = rows.select(*order, F.col("id").cast("string").alias("id"), "surface", original.alias("original"), format_kana(said).alias("kana")).where("kana <> ''")
+    base = rows.select(*order, F.col("id").cast("string").alias("id"), "surface", original.alias("original"), (format_kana(said) if english is None else said).alias("kana"))
+    if english is not None:
+        base = _said_by(base, english)
+    base = base.where("kana <> ''")
     ways = base.select("*", F.posexplode(kana.ways(F.col("kana"), max_units)).alias("ordinal", "v"))
     return ways.select(*order, "id", "surface", "original", "kana", "ordinal", F.col("v.units").alias("units"), F.col("v.vcost").alias("vcost"), F.size("v.units").alias("n_units"))
 
