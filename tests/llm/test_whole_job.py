@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from hibiki.llm import decontam, html, substring
+from hibiki.llm import decontam, html, quality, substring
 
 WORDS = [a + b for a in ("ka", "mo", "ri", "te", "su", "no") for b in ("lan", "der", "vit", "os", "ba", "quen", "zi")]
 
@@ -132,3 +132,40 @@ def test_the_second_hash_tells_spans_by_their_words_alone():
     a = np.arange(200)
     assert (s.check(a + 40, a + 75) == t.check(a, a + 35)).all() and (s.check(a, a + 35) == t.check(a + 260, a + 295)).all()
     assert len(set(s.check(a, a + 35).tolist())) == len({tuple(one[i : i + 35]) for i in range(200)})
+
+
+def test_context_vectors_and_pooling_word_by_word(spark):
+    """Random indexing restated with plain loops: context sums over all documents, and the pooled features of each text."""
+    import numpy as np
+
+    rng = random.Random(21)
+    texts = [prose(rng, rng.randint(1, 60)) for _ in range(40)] + ["Ka, KA! ka ka", "x\ny\nx\n", "", None, " ", "9a $5 (lan) LAN", prose(rng, 3_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sums, counts = quality.corpus_vectors(docs)
+    known = quality.Tokens()
+    dims, signs = quality.index_vectors()
+    want, times = collections.defaultdict(float), collections.Counter()
+    laid = [quality.buckets(t, known) for t in texts]
+    for ids in laid:
+        times.update(ids)
+        for i, u in enumerate(ids):
+            for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
+                if i != j:
+                    for k in (0, 1):
+                        want[u, int(dims[k][ids[j]])] += signs[k][ids[j]]
+    dense = np.zeros((quality.BUCKETS, quality.DIM))
+    for at, x in want.items():
+        dense[at] = x
+    assert np.allclose(sums, dense) and {i: int(c) for i, c in enumerate(counts) if c} == dict(times)
+    vectors = quality.word_vectors(sums, counts)
+    got = quality.pooled(texts, vectors, known)
+    for row, ids in zip(got, laid):
+        mean, heavy, weight = np.zeros(quality.DIM), np.zeros(quality.DIM), 0.0
+        for u in ids:
+            rare = 1e-3 / (1e-3 + times[u] / sum(times.values()))
+            mean += vectors[u, : quality.DIM] / len(ids)
+            heavy += rare * vectors[u, : quality.DIM]
+            weight += rare
+        want_row = [*mean, *(heavy / (weight + 1e-6) if ids else heavy), np.log1p(len(ids)) / 5]
+        assert np.allclose(row, want_row, atol=1e-4)
+    assert quality.corpus_vectors(docs.where("false"))[1].sum() == 0
