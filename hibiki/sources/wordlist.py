@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kana
 from ..functions.english import first_wide_letter, format_kana
+from ..plans.store import stored
 from ..plans.where import compiled
 from .dictionary import with_entries
 
@@ -25,9 +26,9 @@ def _offsets(spark: SparkSession, sizes: list[tuple], kind: str) -> DataFrame:
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """Rows numbered from 0 in their present order: sizes of earlier partitions (one number each, broadcast) plus the place in the own.
 
-    The input must read alike twice, as files and sorts by a unique key do.
+    The marked rows are written once, since a sort that runs twice may cut its ranges elsewhere.
     """
-    marked = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    marked = stored(df.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
     sizes = sorted((r["_part"], r["n"]) for r in marked.groupBy("_part").agg(F.count("*").alias("n")).collect())
     before = _offsets(df.sparkSession, sizes, "_part long, _before long")
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))

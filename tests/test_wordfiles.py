@@ -60,3 +60,17 @@ def test_empty_files(spark, tmp_path):
     assert got.columns[2:] == ["id", "original", "surface", "status"] and got.collect() == []
     with pytest.raises(Exception, match="missing"):
         spark.read.format("tidy_words").load(str(tmp_path / "missing")).collect()
+
+
+def test_rows_are_numbered_by_one_reading_of_a_sampled_sort(spark):
+    from hibiki.sources.wordlist import with_row_index
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = spark.range(0, 300_000, 1, 8).selectExpr("id * 7919 % 300000 AS k").sort("k")
+        assert with_row_index(rows, "n").where("n <> k").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
