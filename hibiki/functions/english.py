@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 from pyspark.sql import Column
@@ -31,7 +32,7 @@ def first_wide_letter(s: Column) -> Column:
     head, tail = F.regexp_extract(s, "(?s)^(.*?[Ａ-Ｚａ-ｚ])(.*)$", 1), F.regexp_extract(s, "(?s)^(.*?[Ａ-Ｚａ-ｚ])(.*)$", 2)
     narrow = "".join(chr(ord(c) - 0xFEE0) for c in WIDE_LETTERS)
     # head holds no other wide letter than its last character
-    return F.when(head == "", s).otherwise(F.concat(F.translate(head, WIDE_LETTERS, narrow), tail))
+    return F.when(~s.rlike(f"[{WIDE_LETTERS}]"), s).otherwise(F.concat(F.translate(head, WIDE_LETTERS, narrow), tail))
 
 
 def literal_map(values: dict[str, str] | Column) -> Column:
@@ -63,8 +64,9 @@ def spell_letters(s: Column, names: dict[str, str] = LETTER_NAMES) -> Column:
     return out
 
 
-def _prefixes() -> set[str]:
-    return {k[:i] for k in romaji() for i in range(1, len(k))}
+@cache
+def _prefixes() -> frozenset[str]:
+    return frozenset(k[:i] for k in romaji() for i in range(1, len(k)))
 
 
 def roman_to_kana(text: str) -> str:
@@ -106,12 +108,12 @@ def roman_to_kana(text: str) -> str:
     return "".join(out) + (pending[:-1] + "ン" if pending.endswith("n") else pending)
 
 
+_WIDE = re.compile(f"[{WIDE_LETTERS}]")
+
+
 def to_kana(text: str, dictionary: dict[str, str] = ENGLISH, names: dict[str, str] = LETTER_NAMES) -> str:
     """A dictionary word's kana, or romaji as kana and the letters left spelled."""
-    for i, c in enumerate(text):
-        if c in WIDE_LETTERS:
-            text = text[:i] + chr(ord(c) - 0xFEE0) + text[i + 1 :]
-            break
+    text = _WIDE.sub(lambda m: chr(ord(m[0]) - 0xFEE0), text, count=1)
     text = roman_to_kana(dictionary.get(text.upper(), text)).upper()
     return "".join(names.get(c, c) for c in text)
 
@@ -164,8 +166,11 @@ def roman_letters_to_kana(s: Column) -> Column:
 
 
 def english_to_kana(s: Column, dictionary: dict[str, str] | Column = ENGLISH, names: dict[str, str] = LETTER_NAMES) -> Column:
-    """to_kana of each value, native."""
-    return spell_letters(roman_letters_to_kana(english_lookup(first_wide_letter(s), dictionary)), names)
+    """to_kana of each value, native; each step's value is made once."""
+    from .kana import let
+
+    said = let(first_wide_letter(s), lambda x: english_lookup(x, dictionary))
+    return spell_letters(let(said, roman_letters_to_kana), names)
 
 
 def format_kana(s: Column, dictionary: dict[str, str] | Column = ENGLISH) -> Column:
