@@ -48,9 +48,13 @@ def looked_up(rows: DataFrame, word: str, table: DataFrame, out: str) -> DataFra
 def kanji_texts(rows: DataFrame, key: str, text: str, table: DataFrame, out: str) -> DataFrame:
     """(key, out): the first readings of each text's kanji in order; characters without one drop out. Null text gives null; keys must be distinct."""
     first = table.where(F.size("readings") > 0).groupBy("kanji").agg(F.min(F.get("readings", F.lit(0))).alias("said"))
-    places = rows.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit("(?s)."), 0)).alias("_i", "kanji"))
-    said = places.join(first, "kanji").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "said"))), lambda x: x["said"]), "").alias("_out"))
-    return rows.join(said, key, "left").select(key, F.when(F.col(text).isNotNull(), F.coalesce("_out", F.lit(""))).alias(out))
+    # texts carry themselves through the one shuffle: nothing is joined back, so no side of a join can be taken for a small one
+    places = rows.select(F.col(key).alias("_key"), F.col(text).isNull().alias("_null"), F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit("(?s)."), 0)).alias("_i", "kanji"))
+    # single characters: no more entries than there are characters
+    told = places.join(F.broadcast(first.where(F.length("kanji") == 1)), "kanji", "left")
+    said = F.collect_list(F.when(F.col("said").isNotNull(), F.struct("_i", "said")))
+    whole = told.groupBy("_key").agg(F.first("_null").alias("_null"), F.array_join(F.transform(F.array_sort(said), lambda x: x["said"]), "").alias("_out"))
+    return whole.select(F.col("_key").alias(key), F.when(~F.col("_null"), F.col("_out")).alias(out))
 
 
 def with_entries(rows: DataFrame, keys: list[str], words: Column, table: DataFrame, out: str) -> DataFrame:

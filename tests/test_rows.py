@@ -32,3 +32,13 @@ def test_numbers_of_a_fold_are_kept_as_text(spark):
     df = spark.sql("SELECT array('名詞', '助詞', null, '動詞') AS p UNION ALL SELECT array() UNION ALL SELECT null")
     plan = df.select(tokens.phrase_numbers(F.col("p")).alias("n"))
     assert sorted(map(str, (r.n for r in plan.collect()))) == ["None", "[0, 0, 0, 1]", "[]"]
+
+
+def test_kanji_texts_join_the_dictionary_alone(spark):
+    from hibiki.sources import dictionary
+
+    df = spark.sql("SELECT 1 AS k, '山x川' AS t UNION ALL SELECT 2, '' UNION ALL SELECT 3, null UNION ALL SELECT 4, 'abc'")
+    table = spark.sql("SELECT '山' AS kanji, array('サン') AS readings UNION ALL SELECT '川', array('カワ') UNION ALL SELECT 'a', array()")
+    out = dictionary.kanji_texts(df, "k", "t", table, "o")
+    assert {r.k: r.o for r in out.collect()} == {1: "サンカワ", 2: "", 3: None, 4: ""}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
