@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Passage frequencies of hashed words are counted over all documents.
-2. A randomised SVD of TF-IDF passages gives DIMS latent directions. Tasks sum A'(A Q) over
-   their passages, the driver only makes tables of fixed size orthonormal. It is fitted on the
-   distinct passages of about FIT_DOCS documents, one hash class, and the benchmark's items.
+2. A randomised SVD of TF-IDF passages gives DIMS latent directions. Tasks sum A'(A S) over
+   the passages of all documents and of the benchmark's items, S a fixed sparse random table;
+   the driver only sees tables of fixed size. One pass tells both the space and its order
+   (Nystroem: A'A is about Y (S'Y)^-1 Y' with Y = A'A S). Every passage counts, copies too.
 3. Every document, whole, is cut into half-overlapping windows about as long as an item. Every
    window's latent vector is compared with every item of its length class; those whose cosine,
    as a share of what the item keeps in latent space, is at least COSINE are candidates. No
@@ -27,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted, stored, summed
+from .common import summed
 
 BUCKETS, DIMS, EXTRA = 1 << 15, 120, 8
 BLOCK = 2048
 PASSAGE = 48
-FIT_DOCS = 2_000
-#: Weight of an item's passages beside a document's in the fit.
-ITEM_WEIGHT = 4
+#: Random signs of a bucket in the fit's test table, and passages that are summed together.
+SIGNS, TILE = 4, 64
+#: Weight of an item's passages in the fit, beside the documents' passages with a weight of AMONG documents.
+ITEM_WEIGHT, AMONG = 4, 2_000
 #: COSINE is what a paraphrase with PARAPHRASE of the item's words keeps in a window that holds rarer words besides.
 COSINE, COPY, PARAPHRASE, ANSWER = 0.4, 0.8, 0.6, 0.5
 #: Items, and words of items, that are searched for in one pass over the documents.
@@ -161,31 +163,40 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, in
     return df.astype(np.float64), int(n[0]), int(n[1])
 
 
-def _gram(texts: DataFrame, basis: np.ndarray | int, idf: np.ndarray, wide: int = DIMS + EXTRA) -> np.ndarray:
-    """A'(A basis) for the unit TF-IDF passages A of texts(text). basis: an array, or the seed of a random one, which each task makes itself."""
-    given = basis if isinstance(basis, int) else basis.astype(np.float16)
-    shared = texts.sparkSession.sparkContext.broadcast((given, idf.astype(np.float32)))
+def test_table(seed: int, wide: int = DIMS + EXTRA) -> tuple[np.ndarray, np.ndarray]:
+    """A sparse random table, one row a bucket: SIGNS columns of each, and their signs."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, wide, (BUCKETS, SIGNS)), rng.choice(np.float32([-1, 1]), (BUCKETS, SIGNS))
+
+
+def _gram(texts: DataFrame, seed: int, idf: np.ndarray, wide: int = DIMS + EXTRA) -> np.ndarray:
+    """A'(A S) for the unit TF-IDF passages A of texts(text), all of them, and the test table S of the seed."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, w = shared.value
-        q = np.random.default_rng(q).standard_normal((BUCKETS, wide), np.float32) if isinstance(q, int) else q.astype(np.float32)
-        out = np.zeros((BUCKETS, wide), np.float32)
+        w, (column, sign) = shared.value, test_table(seed, wide)
+        out, place = np.zeros((BUCKETS, wide), np.float32), np.zeros(BUCKETS, np.int64)
         for b in batches:
             for ids, sizes, _ in _laid(b.column(0).to_pylist()):
                 if not len(ids):
                     continue
-                of = _passages(sizes)
-                key, count = np.unique(of * BUCKETS + ids, return_counts=True)
-                row, col = key // BUCKETS, (key % BUCKETS).astype(np.int64)
-                val = count * w[col]
-                starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                norm = np.sqrt(np.add.reduceat(val * val, starts))
-                val = (val / np.maximum(np.repeat(norm, np.diff(np.r_[starts, len(row)])), 1e-9)).astype(np.float32)
-                y = np.add.reduceat(q[col] * val[:, None], starts)
-                back = np.argsort(col, kind="stable")
-                c = col[back]
-                first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                out[c[first]] += np.add.reduceat(y[row[back]] * val[back, None], first)
+                key = np.sort(_passages(sizes) * BUCKETS + ids)
+                new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                row, col = key[new] // BUCKETS, key[new] % BUCKETS
+                val = np.diff(np.r_[new, len(key)]) * w[col]
+                bounds = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True])
+                norm = np.sqrt(np.add.reduceat(val * val, bounds[:-1]))
+                val = (val / np.maximum(np.repeat(norm, np.diff(bounds)), 1e-9)).astype(np.float32)
+                for c in range(0, len(bounds) - 1, TILE):  # few passages at a time: their words make a small dense table
+                    n = min(TILE, len(bounds) - 1 - c)
+                    some = slice(bounds[c], bounds[c + n])
+                    own, at = col[some], row[some] - c
+                    y = np.bincount((at[:, None] * wide + column[own]).reshape(-1), (sign[own] * val[some, None]).reshape(-1), n * wide)
+                    words = np.unique(own)
+                    place[words] = np.arange(len(words))
+                    dense = np.zeros((n, len(words)), np.float32)
+                    dense[at, place[own]] = val[some]
+                    out[words] += dense.T @ y.reshape(n, wide).astype(np.float32)
         blobs = [out[i : i + BLOCK].astype("<f4").tobytes() for i in range(0, BUCKETS, BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blobs), dtype=np.int32)), pa.array(blobs, pa.binary())], ["block", "blob"])
 
@@ -194,20 +205,20 @@ def _gram(texts: DataFrame, basis: np.ndarray | int, idf: np.ndarray, wide: int
     return np.concatenate([got[k].reshape(-1, wide) if k in got else np.zeros((BLOCK, wide)) for k in range(BUCKETS // BLOCK)]).astype(np.float64)
 
 
-def latent(docs: DataFrame, bench: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Word vectors (idf times the right singular vectors of the passages, one row a bucket), and idf."""
+def latent(docs: DataFrame, bench: DataFrame, text_col: str = "text", seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Word vectors (idf times the right singular vectors of all passages, one row a bucket), and idf."""
     df, passages, n = frequencies(docs, text_col)
     idf = np.log((1 + passages) / (1 + df))
     idf[0] = 0
-    classes = max(1, -(-n // fit_docs))
-    text = F.col(text_col).cast("string").alias("text")
-    few = docs.select(text).where(F.pmod(F.xxhash64("text"), F.lit(classes)) == 0).distinct()  # a text counts once, however many copies it has
-    for _ in range(ITEM_WEIGHT):
-        few = few.unionByName(bench.select("text"))
-    few = stored(few.repartition(salted(docs.sparkSession)), "fit")
-    q = np.linalg.qr(_gram(few, seed, idf))[0]
-    image = _gram(few, q, idf)
-    values, vectors = np.linalg.eigh((q.T @ image + image.T @ q) / 2)
+    y = _gram(docs.select(F.col(text_col).cast("string").alias("text")), seed, idf)
+    y = y * min(1.0, AMONG / max(1, n)) + ITEM_WEIGHT * _gram(bench.select("text"), seed, idf)
+    column, sign = test_table(seed)
+    core = np.zeros((y.shape[1], y.shape[1]))
+    for k in range(SIGNS):
+        np.add.at(core, column[:, k], sign[:, k, None] * y)
+    q, r = np.linalg.qr(y)
+    inner = r @ np.linalg.pinv((core + core.T) / 2, 1e-7, hermitian=True) @ r.T
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     best = vectors[:, np.argsort(-values)[:DIMS]]
     return (idf[:, None] * (q @ best)).astype(np.float16), idf.astype(np.float32)
 
