@@ -16,8 +16,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,7 +161,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cols: tuple[str, ...] = ("fp
         for batch in batches:
             held.append(np.stack([c.to_numpy().astype(np.int64) for c in batch.columns]))
             rows_held += batch.num_rows
-            if rows_held >= 300_000:
+            if rows_held >= 100_000:
                 data = np.concatenate(held, axis=1)
                 last = np.flatnonzero((data[0] != data[0, -1]) | (data[1] != data[1, -1]))
                 cut = last[-1] + 1 if len(last) else 0
@@ -228,20 +228,14 @@ def shingle_set(text: str | None, size: int = STAGE_SIZE) -> np.ndarray:
     return np.unique((shingles(text, size)[:, 1] >> np.uint64(32)).astype(np.uint32))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
-
 def similar_links(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect whatever pairs of the sets have a similarity of at least `least`."""
     n = len(sets)
     sizes = np.array(list(map(len, sets)), np.int64)
-    values, column = np.unique(np.concatenate([np.zeros(0, np.uint32), *sets]), return_inverse=True)
+    values, column = np.unique(np.concatenate([np.zeros(0, sets[0].dtype if n else np.int32), *sets]), return_inverse=True)
     row = np.repeat(np.arange(n), sizes)
     both = np.zeros((n, n), np.float32)
-    step = max(1, (8 << 20) // max(1, n))
+    step = max(1, (2 << 20) // max(1, n))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for c in range(0, len(values), step):
@@ -267,22 +261,18 @@ def similar_links(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.
 
 
 def verified(found: DataFrame, sets: DataFrame, least: float = STAGE_SIMILARITY) -> DataFrame:
-    """Links (a, b) that connect what is similar among candidate links found(a, b); sets(node, s): every linked node's shingles.
+    """Links (a, b) that connect what is similar among candidate links found(a, b); sets(node, s): every linked node's shingles, an array<int> without repeats.
 
     A candidate link whose pair is similar enough stays. Where all links of a candidate group
     stay, the group is connected as it should be. The nodes of every other group are compared
     with each other, in blocks, so that no similar pair of the group is lost with a link that
     only stood for it.
     """
-    kind = "a long, b long, ok boolean"
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [similarity(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")) >= least - 1e-9 for x, y in zip(b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
     both = found.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    judged = stored(both.select("a", "b", "x", "y").mapInArrow(check, kind), "judged")
+    # natively, a pair at a time: batches of pairs of sets would lie in memory twice, in the JVM's buffers and in Python
+    common = F.size(F.array_intersect("x", "y"))
+    judged = both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y")).alias("m"))
+    judged = stored(judged.select("a", "b", (F.col("n") / F.greatest(F.lit(1), F.col("m") - F.col("n")) >= least - 1e-9).alias("ok")), "judged")
     good = judged.where("ok").select("a", "b")
     failed = judged.where("NOT ok")
     if not failed.limit(1).count():
@@ -295,12 +285,13 @@ def verified(found: DataFrame, sets: DataFrame, least: float = STAGE_SIMILARITY)
     laid = laid.select("root", "node", "s", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     laid = laid.select("root", "node", "s", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = pdf["node"].to_numpy()
-        a, b = similar_links([np.frombuffer(x, "<u4") for x in pdf["s"]], least)
-        return pd.DataFrame({"a": np.minimum(nodes[a], nodes[b]), "b": np.maximum(nodes[a], nodes[b])})
+    def compare(group: pa.Table) -> pa.Table:
+        nodes, lists = group["node"].to_numpy(), group["s"].combine_chunks()
+        flat = pc.list_flatten(lists).to_numpy()
+        a, b = similar_links(np.split(flat, np.cumsum(pc.list_value_length(lists).to_numpy())[:-1]), least)
+        return pa.table({"a": np.minimum(nodes[a], nodes[b]), "b": np.maximum(nodes[a], nodes[b])})
 
-    return good.unionByName(laid.groupBy("root", "lo", "hi").applyInPandas(compare, "a long, b long"))
+    return good.unionByName(laid.select("root", "lo", "hi", "node", "s").groupBy("root", "lo", "hi").applyInArrow(compare, "a long, b long"))
 
 
 def representatives(docs: DataFrame, size: int = STAGE_SIZE, least: float = STAGE_SIMILARITY, max_bits: int = STAGE_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,10 +319,10 @@ def representatives(docs: DataFrame, size: int = STAGE_SIZE, least: float = STAG
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, size).astype("<u4").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, size).view(np.int32) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["node", "s"])
 
     # rows with equal id and text give equal sets: one of them
-    sets = stored(texts.mapInArrow(gather, "node long, s binary").groupBy("node").agg(F.first("s").alias("s")), "sets")
+    sets = stored(texts.mapInArrow(gather, "node long, s array<int>").groupBy("node").agg(F.first("s").alias("s")), "sets")
     roots = components(stored(verified(found, sets, least), "verified"))
     rooted = nodes.join(roots, nodes.mark == roots.node, "left").select("first", F.coalesce("root", "mark").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("x")).select("x.doc_id", "x.seal")
