@@ -159,3 +159,74 @@ def test_a_walk_leaves_most_nodes_out(spark, dist):
     targets = [([rng.choice(ways) for _ in range(5)], None) for _ in range(100)]
     assert all(lattice.ranks(own, targets, 1))
     assert own.visited < 0.1 * own.possible
+
+
+def lines_of(rng, n, size, units=tuple(UNITS)):
+    """n lines of words' units, as line_rows tells them."""
+    from types import SimpleNamespace as Row
+
+    way = lambda u: {"s": u, "v": [{"units": [u], "cost": 0}]}
+    said = [[rng.choice(units) for _ in range(size)] for _ in range(n)]
+    return [Row(song=x // 5, line=x % 5, units=s, ways=[way(u) for u in s], weights=None, breaks=[], surfaces=None, locks=None) for x, s in enumerate(said)]
+
+
+def test_lines_share_their_walks(spark, dist, monkeypatch):
+    """The runs of many lines are walked together, in few walks: two for 2,048 starts and a limit."""
+    rng = random.Random(1)
+    _, words = word_table(spark, rng, 500, 100)
+    own = lattice.held(lattice.index(words, dist, 2.5).shared())
+    walks = []
+    walk = type(own).walk
+    monkeypatch.setattr(type(own), "walk", lambda *a: walks.append(1) or walk(*a))
+    made = lattice.covered_songs(own, segment.DEFAULTS | {"VARIATION_COST": 2.5}, lines_of(rng, 200, 20), None)
+    assert sum(r[4] - r[3] for r in made) == 200 * 20 and len(walks) <= 12
+
+
+def test_songs_share_their_walks(spark, dist, monkeypatch):
+    """The n-th lines of all songs are covered together: walks do not grow in number with the songs, and each song's words are those that it has alone."""
+    rng = random.Random(2)
+    _, words = word_table(spark, rng, 500, 100)
+    own = lattice.held(lattice.index(words, dist, 2.5).shared())
+    lines = lines_of(rng, 100, 8)
+    songs = [[r for r in lines if r.song == s] for s in range(20)]
+    p = segment.DEFAULTS | {"VARIATION_COST": 2.5, "DUPLICATE": False}
+    walks = []
+    walk = type(own).walk
+    monkeypatch.setattr(type(own), "walk", lambda *a: walks.append(1) or walk(*a))
+    alone = [r for s in songs for r in lattice.covered_songs(own, p, s, set())]
+    n = len(walks)
+    walks.clear()
+    assert lattice.covered(own, p, [(s, set()) for s in songs]) == alone
+    assert len(walks) < n / 4
+
+
+def test_sums_of_rows(spark, dist):
+    """What a row costs for a sequence, told by itself, is what a walk tells."""
+    import numpy as np
+
+    rng = random.Random(4)
+    _, words = word_table(spark, rng, 200)
+    own = lattice.held(lattice.index(words, dist, 2.5).shared())
+    lists = [[rng.choice(SAID[:-1]) for _ in range(rng.randrange(1, 5))] for _ in range(20)]
+    ways = lattice.Ways(own.place)
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, s array<string>").sort("i").select(lattice._variants(F.col("s")).alias("w")).collect()
+    numbers = [lattice._number(ways, r.w) for r in rows]
+    syllables = lattice._padded(numbers, -1)
+    weights = np.array([[rng.uniform(0, 3) for _ in s] for s in syllables])
+    own.both()
+    for w in (None, weights):
+        asked = lattice.Asked(syllables, w)
+        ends = np.array([asked.node[x, len(n) - 1] for x, n in enumerate(numbers)])
+        limit = np.full(asked.size, -np.inf)
+        limit[ends] = 1e4
+        seen = 0
+        for nodes, found, sums in own.walk(ways, asked, limit):
+            x = np.array([int(np.flatnonzero(ends == n)[0]) for n in nodes], np.int64)
+            least = {}
+            for k, r, s in zip(x, found, sums):
+                least[k, r] = min(s, least.get((k, r), np.inf))
+            at = np.array(list(least)).reshape(-1, 2)
+            got = own.sums(ways, syllables[at[:, 0]], None if w is None else w[at[:, 0]], at[:, 1])
+            assert got.tolist() == pytest.approx(list(least.values()))
+            seen += len(at)
+        assert seen > 100
