@@ -87,22 +87,29 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def summed(parts: DataFrame, blocks: int) -> dict:
-    """Sums float32 tables given in blocks, rows (block int, blob binary), task by task; block to numpy array.
-
-    For tables of a fixed size: what reaches the driver is one table, however many tasks made one.
-    """
+def added(parts: DataFrame, blocks: int) -> DataFrame:
+    """Sums float32 tables given in blocks, rows (block int, blob binary[, times double]), task by task: one row a block, each part counted `times` times."""
     import numpy as np
     import pyarrow as pa
 
     def add(batches):
         total = {}
         for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                x = np.frombuffer(blob.as_buffer(), "<f4").astype(np.float64)
+            times = b.column(2).to_pylist() if b.num_columns > 2 else [1.0] * b.num_rows
+            for k, blob, n in zip(b.column(0).to_pylist(), b.column(1), times):
+                x = np.frombuffer(blob.as_buffer(), "<f4") * np.float64(n)
                 total[k] = total[k] + x if k in total else x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype("<f4").tobytes() for x in total.values()], pa.binary())], ["block", "blob"])
 
     n = min(salted(parts.sparkSession), blocks)
-    rows = parts.repartition(n, "block").mapInArrow(add, "block int, blob binary").collect()
-    return {r.block: np.frombuffer(r.blob, "<f4") for r in rows}
+    return parts.repartition(n, "block").mapInArrow(add, "block int, blob binary")
+
+
+def summed(parts: DataFrame, blocks: int) -> dict:
+    """What `added` sums, at the driver: block to numpy array.
+
+    For tables of a fixed size: what reaches the driver is one table, however many tasks made one.
+    """
+    import numpy as np
+
+    return {r.block: np.frombuffer(r.blob, "<f4") for r in added(parts, blocks).collect()}

@@ -2,9 +2,10 @@
 
 1. Passage frequencies of hashed words are counted over all documents.
 2. A randomised SVD of TF-IDF passages gives DIMS latent directions. Tasks sum A'(A S) over
-   the passages of all documents and of the benchmark's items, S a fixed sparse random table;
-   the driver only sees tables of fixed size. One pass tells both the space and its order
-   (Nystroem: A'A is about Y (S'Y)^-1 Y' with Y = A'A S). Every passage counts, copies too.
+   the passages of all documents and of the benchmark's items, S a fixed sparse random table.
+   One pass tells both the space and its order (Nystroem: A'A is about Y (S'Y)^-1 Y' with
+   Y = A'A S). Every passage counts, copies too. Y stays in blocks of rows at the tasks, which
+   factor them; the driver joins the blocks' small factors, and gets the word vectors alone.
 3. Every document, whole, is cut into half-overlapping windows about as long as an item. Every
    window's latent vector is compared with every item of its length class; those whose cosine,
    as a share of what the item keeps in latent space, is at least COSINE are candidates. No
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import summed
+from .common import added, stored, summed
 
 BUCKETS, DIMS, EXTRA = 1 << 15, 120, 8
 BLOCK = 2048
@@ -169,9 +170,8 @@ def test_table(seed: int, wide: int = DIMS + EXTRA) -> tuple[np.ndarray, np.ndar
     return rng.integers(0, wide, (BUCKETS, SIGNS)), rng.choice(np.float32([-1, 1]), (BUCKETS, SIGNS))
 
 
-def _gram(texts: DataFrame, seed: int, idf: np.ndarray, wide: int = DIMS + EXTRA) -> np.ndarray:
-    """A'(A S) for the unit TF-IDF passages A of texts(text), all of them, and the test table S of the seed."""
-    shared = texts.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
+def _gram_parts(texts: DataFrame, seed: int, shared, wide: int = DIMS + EXTRA) -> DataFrame:
+    """Each task's part of A'(A S), in blocks, for the unit TF-IDF passages A of texts(text), all of them, and the test table S of the seed; shared: the idf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, (column, sign) = shared.value, test_table(seed, wide)
@@ -200,27 +200,67 @@ def _gram(texts: DataFrame, seed: int, idf: np.ndarray, wide: int = DIMS + EXTRA
         blobs = [out[i : i + BLOCK].astype("<f4").tobytes() for i in range(0, BUCKETS, BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blobs), dtype=np.int32)), pa.array(blobs, pa.binary())], ["block", "blob"])
 
-    got = summed(texts.mapInArrow(run, "block int, blob binary"), BUCKETS // BLOCK)
+    return texts.mapInArrow(run, "block int, blob binary")
+
+
+def _gram(texts: DataFrame, seed: int, idf: np.ndarray, wide: int = DIMS + EXTRA) -> np.ndarray:
+    """A'(A S) as one table."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
+    got = summed(_gram_parts(texts, seed, shared, wide), BUCKETS // BLOCK)
     shared.destroy()
     return np.concatenate([got[k].reshape(-1, wide) if k in got else np.zeros((BLOCK, wide)) for k in range(BUCKETS // BLOCK)]).astype(np.float64)
 
 
+def _directions(y: DataFrame, seed: int, idf: np.ndarray, wide: int = DIMS + EXTRA) -> np.ndarray:
+    """Word vectors from the blocks (block, blob) of Y = A'(A S), which never lie in one place: each block is factored by itself, then the blocks' small factors together."""
+
+    def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            yield k, np.frombuffer(blob.as_buffer(), "<f4").reshape(-1, wide).astype(np.float64)
+
+    def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column, sign = test_table(seed, wide)
+        for b in batches:
+            for k, part in opened(b):
+                own, core = slice(k * BLOCK, (k + 1) * BLOCK), np.zeros((wide, wide))
+                for i in range(SIGNS):
+                    np.add.at(core, column[own, i], sign[own, i, None] * part)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (core, np.linalg.qr(part, "r")))], ["block", "core", "r"])
+
+    told = sorted(y.mapInArrow(factors, "block int, core binary, r binary").collect())
+    core = sum((np.frombuffer(t.core).reshape(wide, wide) for t in told), np.zeros((wide, wide)))
+    q, r = np.linalg.qr(np.concatenate([np.frombuffer(t.r).reshape(wide, wide) for t in told]))
+    inner = r @ np.linalg.pinv((core + core.T) / 2, 1e-7, hermitian=True) @ r.T
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    best = vectors[:, np.argsort(-values)[:DIMS]]
+    turns = {t.block: q[i * wide : (i + 1) * wide] @ best for i, t in enumerate(told)}
+    shared = y.sparkSession.sparkContext.broadcast((idf, turns))
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, turns = shared.value
+        for b in batches:
+            for k, part in opened(b):
+                x = idf[k * BLOCK : (k + 1) * BLOCK, None] * (np.linalg.qr(part)[0] @ turns[k])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype("<f2").tobytes()], pa.binary())], ["block", "blob"])
+
+    out = np.zeros((BUCKETS, DIMS), np.float16)
+    for t in y.mapInArrow(turned, "block int, blob binary").collect():
+        out[t.block * BLOCK : (t.block + 1) * BLOCK] = np.frombuffer(t.blob, "<f2").reshape(-1, DIMS)
+    shared.destroy()
+    return out
+
+
 def latent(docs: DataFrame, bench: DataFrame, text_col: str = "text", seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Word vectors (idf times the right singular vectors of all passages, one row a bucket), and idf."""
     df, passages, n = frequencies(docs, text_col)
     idf = np.log((1 + passages) / (1 + df))
     idf[0] = 0
-    y = _gram(docs.select(F.col(text_col).cast("string").alias("text")), seed, idf)
-    y = y * min(1.0, AMONG / max(1, n)) + ITEM_WEIGHT * _gram(bench.select("text"), seed, idf)
-    column, sign = test_table(seed)
-    core = np.zeros((y.shape[1], y.shape[1]))
-    for k in range(SIGNS):
-        np.add.at(core, column[:, k], sign[:, k, None] * y)
-    q, r = np.linalg.qr(y)
-    inner = r @ np.linalg.pinv((core + core.T) / 2, 1e-7, hermitian=True) @ r.T
-    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
-    best = vectors[:, np.argsort(-values)[:DIMS]]
-    return (idf[:, None] * (q @ best)).astype(np.float16), idf.astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
+    weighed = [(docs.select(F.col(text_col).cast("string").alias("text")), min(1.0, AMONG / max(1, n))), (bench.select("text"), float(ITEM_WEIGHT))]
+    parts = [_gram_parts(texts, seed, shared).withColumn("times", F.lit(times)) for texts, times in weighed]
+    y = stored(added(parts[0].unionByName(parts[1]), BUCKETS // BLOCK), "gram")
+    shared.destroy()
+    return _directions(y, seed, idf), idf.astype(np.float32)
 
 
 def common_words(a: list[str], b: list[str]) -> int:
