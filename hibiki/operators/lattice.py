@@ -40,13 +40,11 @@ SHARD_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
 BATCH = 1_000
 #: First limit of a walk, and what is added to it at least; for targets, and for runs of lines.
 LIMIT, STEP = 32.0, 24.0
-COVER_LIMIT, COVER_STEP = 40.0, 32.0
+COVER_LIMIT, COVER_STEP = 40.0, 16.0
 #: What is added to the limits of runs where no word may come twice, so that few must be taken up again.
-SPARE = 16.0
-#: Syllables of lines that are covered together, and starts of runs that are walked together.
-UNITS, STARTS = 50_000, 2_048
-#: Syllables of lines that are walked together where no word may come twice: all words of their runs are held, not the first alone.
-STEP_UNITS = 20_000
+SPARE = 4.0
+#: Syllables of lines that are covered together, and starts of runs that are walked together. The more, the more they share.
+UNITS, STARTS = 100_000, 4_096
 LOCK = "struct<i:int,t:int,id:string,sim:double,surface:string,pronunciation:array<string>,kana:string,original:string>"
 GENERATED = "song long, line long, word int, i int, t int, id string, sim double, score double, filler boolean, locked boolean, surface string, pronunciation array<string>, kana string, original string, originalkana string, original_surface string, vcost int"
 RANKED = "target string, id string, sim double, n_units int, seq long, rank int"
@@ -471,12 +469,11 @@ class Batch(Covers):
         n = int(self.first[-1])
         self.syllable = np.fromiter((k for x in lines for k in x.numbers), np.int64, n)
         self.weight = np.ones(n)
-        #: By syllable: its line, the runs that begin there, and the largest sum of a word.
-        self.line, self.runs, self.top = np.repeat(np.arange(len(lines)), size), np.zeros(n, np.int64), np.full(n, getattr(words, "most", 0.0))
+        #: By syllable: its line, and the runs that begin there.
+        self.line, self.runs = np.repeat(np.arange(len(lines)), size), np.zeros(n, np.int64)
         for x, a in zip(lines, self.first):
             if x.weights:
                 self.weight[a : a + len(x.weights)] = x.weights
-                self.top[a : a + len(x.weights)] *= max(1.0, max(x.weights))
             if self.longest:
                 ends = self.reach(x.numbers)
                 for s, t in x.free:
@@ -495,6 +492,17 @@ class Batch(Covers):
         for k in range(self.most):
             some = self.runs[starts] > k
             self.number[k, starts[some]] = asked.node[some, k]
+        #: By number of a syllable: the least units of a way, and the most that it can cost.
+        self.least = np.array([min((len(u) for u, _ in x), default=0) for x in ways.list], np.int64)
+        dear = words.dearest()
+        costs = [max((float(dear[u].sum()) + e * words.cost for u, e in x), default=0.0) for x in ways.list]
+        cost = np.array(costs)[self.syllable] * np.maximum(self.weight, 1.0)
+        #: By size - 1 and start: a bound of any word's sum.
+        self.top = np.full((self.most, n), np.inf)
+        so_far = np.r_[0.0, np.cumsum(cost)]
+        for k in range(self.most):
+            self.top[k, : n - k] = so_far[k + 1 :] - so_far[: n - k] + words.cost * float(words.vcost.max())
+        self.top += 1e-6 * (1.0 + so_far[-1] / 1e6)
         each = parameters["WORD_NUMBER_PENALTY"]
         # by last syllable of a run: whether its line ends there, and whether a phrase does
         last, broken = np.zeros(n, bool), np.zeros(n, bool)
@@ -556,14 +564,21 @@ class Batch(Covers):
                 syllables, weights = self.windows(part, way)
                 syllables[np.arange(most) >= longest[:, None]] = -1
                 asked = self.asked(syllables[:, : longest.max()], weights[:, : longest.max()])
-                own, within, run = np.full(asked.size, -np.inf), np.full(asked.size, -np.inf), np.full(asked.size, -1, np.int64)
+                own, run = np.full(asked.size, -np.inf), np.full(asked.size, -1, np.int64)
+                # by asked node and the units that follow at least
+                within = np.full((asked.size, self.longest + 1), -np.inf)
+                spans = within.shape[1]
+                least = np.cumsum(np.where(syllables >= 0, self.least[syllables], 0), axis=1)
                 for d in range(int(longest.max())):
                     there = asked.node[:, d] >= 0
                     node = asked.node[there, d]
-                    spend = np.where(halves[d:] > d, 0.5, 1.0)[:, None] * mine[d:, there]
-                    np.maximum.at(within, node, spend.max(axis=0))
+                    for k in range(d, int(longest.max())):
+                        some = np.flatnonzero(there & np.isfinite(mine[k]))
+                        follow = np.minimum(least[some, k] - least[some, d], spans - 1)
+                        np.maximum.at(within.reshape(-1), asked.node[some, d] * spans + follow, (0.5 if halves[k] > d else 1.0) * mine[k, some])
                     run[node] = number[d, part[there]]
                     np.maximum.at(own, node, mine[d, there])
+                within = np.maximum.accumulate(within, axis=1)
                 for node, row, sums in self.words.walk(ways, asked, own, within, trees):
                     found.append((run[node], row, sums, np.full(len(row), way < 0)))
         kept = ~opened[self.kept[0]]
@@ -680,7 +695,6 @@ class Batch(Covers):
         begin, known = self.begin, self.known
         numbers = self.number[:, a + s : a + t].T.tolist()
         ending = self.ending[a + s : a + t].tolist() if self.most else [0] * (t - s)
-        most = float(self.top[a])
         best: list[tuple[float, tuple | None, frozenset]] = [(0.0, None, frozenset())]
         for e in range(s + 1, t + 1):
             base = best[e - 1 - s][0]
@@ -703,12 +717,12 @@ class Batch(Covers):
                             chosen, step = now, (i, e, words[j], rows[j], sim, score)
                         break
                 else:
-                    if known[run] + EPS < min(slack, most):
+                    if known[run] + EPS < slack and known[run] + EPS < self.top[e - i - 1, a + i]:
                         left.append((i, base, run))
             for i, base, run in left:
-                need = min(chosen[0] - base - each - add, most)
+                need = min(chosen[0] - base - each - add, float(self.top[e - i - 1, a + i]))
                 if known[run] + EPS < need:
-                    missing[e - i - 1, a + i] = min(need, max(COVER_LIMIT, further(known[run], 2 * COVER_STEP)))
+                    missing[e - i - 1, a + i] = min(need, max(COVER_LIMIT, further(known[run], 4 * COVER_STEP)))
             own = best[step[0] - s][2]
             best.append((chosen[0], step, own | {step[2]} if busy is not None and step[2] is not None else own))
         out = []
@@ -758,7 +772,7 @@ def covered(words: Words, parameters: dict, songs: list[tuple[list, set | None]]
     repeats = bool(songs) and songs[0][1] is None
     # (step, song, line), by step: lines of one step do not depend on each other
     asked = sorted(((0 if repeats else k, x, r) for x, (rows, _) in enumerate(songs) for k, r in enumerate(rows)), key=lambda e: e[0])
-    size = np.cumsum([0, *(len(_listed(r.units)) for _, _, r in asked)]) // (UNITS if repeats else STEP_UNITS)
+    size = np.cumsum([0, *(len(_listed(r.units)) for _, _, r in asked)]) // (UNITS)
     for _, some in groupby(range(len(asked)), lambda k: size[k]):
         part = [asked[k] for k in some]
         batch = Batch(words, parameters, ways, [_line(ways, r) for _, _, r in part], [songs[x][1] for _, x, _ in part])
@@ -898,7 +912,8 @@ def generate(lines: DataFrame, words: DataFrame | Index, dist: DataFrame | None
     if not found.fits():
         return _generate_by_shards(rows, found, p)
     shared = found.shared()
-    n = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # few tasks: the more lines a task has, the more their walks share
+    n = max(1, min(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * lines.sparkSession.sparkContext.defaultParallelism))
 
     def told(lines: list, again: bool) -> pd.DataFrame:
         songs = [lines] if again else [list(some) for _, some in groupby(lines, lambda r: r.song)]

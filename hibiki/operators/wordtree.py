@@ -74,6 +74,11 @@ class Tree:
         for d in range(len(code) - 1, 0, -1):
             a, b = level[d], level[d + 1]
             np.bitwise_or.at(self.below, parent[a:b], _further(self.below[a:b], 1))
+        #: Units of the longest way down to a row.
+        self.deep = np.zeros(made, np.int64)
+        for d in range(len(code) - 1, 0, -1):
+            a, b = level[d], level[d + 1]
+            np.maximum.at(self.deep, parent[a:b], self.deep[a:b] + 1)
 
 
 class Ways:
@@ -167,7 +172,7 @@ class Words:
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         self.ids, self.word = ids.dictionary, ids.indices.to_numpy().astype(np.int64)
         self.number_of = None
-        self.sides = None
+        self.sides = self.dear = None
         self.telling: dict[int, dict] = {}
         # ids that are integers come first, by number; others as first seen
         digits = pc.match_substring_regex(self.ids, "^(0|[1-9][0-9]{0,9})$")
@@ -183,6 +188,14 @@ class Words:
         #: The largest sum that any word can have with weights of 1.
         self.most = float(grid[np.isfinite(grid)].max(initial=0.0)) * int(self.n_units.max()) + self.cost * (int(self.vcost.max()) + 4 * int(self.n_units.max()) + 64)
 
+    def dearest(self) -> np.ndarray:
+        """By unit: the most that it costs against any unit of a word."""
+        if self.dear is None:
+            codes = np.unique(pc.list_flatten(self.table["codes"]).to_numpy())
+            own = self.grid[:, codes]
+            self.dear = np.where(np.isfinite(own), own, 0.0).max(axis=1, initial=0.0)
+        return self.dear
+
     def numbered(self, id_: str | None) -> int | None:
         """The number of an id."""
         if self.number_of is None:
@@ -262,16 +275,18 @@ class Words:
     def walk(self, ways: Ways, asked: Asked, limit: np.ndarray, within: np.ndarray | None = None, trees: list[tuple[Tree, np.ndarray]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(asked nodes, rows, sums) of all word rows within limit[node], in any order; one row may come several times for a node.
 
-        within: what a pair may have cost at each asked node, if less than the largest limit below
-        it. trees: with their rows' numbers, in place of the shards' own.
+        within[node, m]: what a pair may have cost at each asked node if no more than m units follow,
+        the last m for all further ones; else the largest limit below it. trees: with their rows'
+        numbers, in place of the shards' own.
         """
         units, count, edits, _ = ways.arrays()
         even = all((w == 1.0).all() for _, _, w in asked.level)
         # the limit of a node of the asked tree is the largest below it
-        reach = limit.copy() if within is None else within
+        reach = limit.copy() if within is None else None
         # and the lengths that are asked for below it, in units
         want = np.isfinite(limit).astype(np.int64)
         told = ways.arrays()[3]
+        several = (count >= 0).sum(axis=1) > 1
         made = asked.size
         for depth in range(len(asked.level) - 1, -1, -1):  # from the leaves up
             parent, syllable, _ = asked.level[depth]
@@ -282,67 +297,94 @@ class Words:
                 for k in range(4):
                     some = told[syllable, k]
                     np.bitwise_or.at(want, parent[some], _further(want[made : made + len(parent)][some], k))
+        # what may be spent at an asked node, by the units that can follow
+        budget = reach[:, None] if within is None else within
+        spans, budget = budget.shape[1], np.ascontiguousarray(budget).reshape(-1)
         for tree, numbers in trees or [(tree, np.arange(base, base + len(tree.row))) for tree, base in zip(self.trees, self.base)]:
+            deep = np.minimum(tree.deep, spans - 1)
+            after = np.clip(tree.deep - 1, 0, spans - 1)
             at = np.zeros(1, np.int64)
             node, total, spent = np.zeros(1, np.int64), np.zeros(1), np.zeros(1, np.int64)
-            made = 0
+            made = before = 0
             for depth, (parent, syllable, weight) in enumerate(asked.level):
                 if not len(parent) or not len(at):
                     break
                 # every pair goes on with each child of its asked node
                 if depth:
-                    lo = np.searchsorted(parent, at)
-                    kids = np.searchsorted(parent, at, "right") - lo
+                    first = np.searchsorted(parent, np.arange(before, made + 1))
+                    lo = first.take(at - before)
+                    kids = first.take(at - before + 1) - lo
                     took = np.repeat(np.arange(len(at)), kids)
                     child = np.repeat(lo, kids) + _runs(kids)
                 else:
                     child, took = np.arange(len(parent)), np.zeros(len(parent), np.int64)
                 self.possible += len(parent) * tree.size
-                done = []
-                fine = reach[made + child] >= total[took] + spent[took] * self.cost - EPS
-                child, took = child[fine], took[fine]
+                # single: what no other way can meet
+                done, single = [], []
+                fine = np.flatnonzero(budget.take((made + child) * spans + deep.take(node.take(took))) >= (total + spent * self.cost - EPS).take(took))
+                child, took = child.take(fine), took.take(fine)
+                alone = ~several[syllable]
                 for slot in range(count.shape[1]):
-                    k = count[syllable[child], slot]
-                    some = np.flatnonzero(k >= 0)
-                    c, k = child[some], k[some]
-                    now, sums, e = node[took[some]], total[took[some]], spent[took[some]] + edits[syllable[c], slot]
-                    for p in range(3):
-                        over = k == p
-                        if over.any():
-                            done.append((c[over], now[over], sums[over], e[over]))
-                        go = ~over
-                        c, k, now, sums, e = c[go], k[go], now[go], sums[go], e[go]
-                        if not len(c):
-                            break
-                        own = units[syllable[c], slot, p] * len(self.grid)
-                        kids = tree.kids.take(now)
-                        ends = np.cumsum(kids)
-                        self.visited += int(ends[-1])
-                        x = np.repeat(np.arange(len(c)), kids)
-                        now = np.arange(int(ends[-1])) + (tree.kid.take(now) - ends + kids).take(x)
-                        step = self.flat.take(own.take(x) + tree.code.take(now))
-                        if not even:
-                            step *= weight.take(c).take(x)
-                        near = np.flatnonzero(step <= (reach.take(made + c) - e * self.cost - sums + EPS).take(x))
-                        x, now, step = x.take(near), now.take(near), step.take(near)
-                        # a word of a length that is asked for must lie below
-                        need = _further(want.take(made + c), k - p - 1).take(x)
-                        b = np.flatnonzero(tree.below.take(now) & need)
-                        x, now = x.take(b), now.take(b)
-                        sums = sums.take(x) + step.take(b)
-                        e, c, k = e.take(x), c.take(x), k.take(x)
-                    else:
-                        if len(c):
-                            done.append((c, now, sums, e))
-                if not done:
-                    break
-                child, node, total, spent = (np.concatenate(x) for x in zip(*done))
+                    length, edit = count[syllable, slot], edits[syllable, slot]
+                    for only in (True, False):
+                        # asked nodes of one way, then those of several
+                        mine = (length >= 0) & (alone == only)
+                        if not mine.any():
+                            continue
+                        some = np.flatnonzero(mine.take(child))
+                        c, from_ = child.take(some), took.take(some)
+                        k, now, sums, e = length.take(c), node.take(from_), total.take(from_), spent.take(from_) + edit.take(c)
+                        into = single if only else done
+                        for p in range(3):
+                            over = np.flatnonzero(k == p)
+                            if len(over):
+                                into.append((c.take(over), now.take(over), sums.take(over), e.take(over)))
+                                go = np.flatnonzero(k > p)
+                                c, k, now, sums, e = (a.take(go) for a in (c, k, now, sums, e))
+                            if not len(c):
+                                break
+                            # by the longest way down from any child
+                            used, first = e * self.cost + sums - EPS, (made + c) * spans
+                            most = budget.take(first + after.take(now)) - used
+                            go = np.flatnonzero(most >= 0)
+                            if len(go) < len(c):
+                                c, k, now, sums, e, used, first, most = (a.take(go) for a in (c, k, now, sums, e, used, first, most))
+                                if not len(c):
+                                    break
+                            own = (units[syllable, slot, p] * len(self.grid)).take(c)
+                            kids = tree.kids.take(now)
+                            ends = np.cumsum(kids)
+                            self.visited += int(ends[-1])
+                            x = np.repeat(np.arange(len(c)), kids)
+                            now = np.arange(int(ends[-1])) + (tree.kid.take(now) - ends + kids).take(x)
+                            step = self.flat.take(own.take(x) + tree.code.take(now))
+                            if not even:
+                                step *= weight.take(c).take(x)
+                            near = np.flatnonzero(step <= most.take(x))
+                            x, now, step = x.take(near), now.take(near), step.take(near)
+                            # a word of a length that is asked for must lie below
+                            need = want.take(made + c)
+                            if (k > p + 1).any():
+                                need = _further(need, k - p - 1)
+                            b = np.flatnonzero(tree.below.take(now) & need.take(x))
+                            x, now, step = x.take(b), now.take(b), step.take(b)
+                            b = np.flatnonzero(budget.take(first.take(x) + deep.take(now)) >= step + used.take(x))
+                            x, now = x.take(b), now.take(b)
+                            sums = sums.take(x) + step.take(b)
+                            e, c, k = e.take(x), c.take(x), k.take(x)
+                        else:
+                            if len(c):
+                                into.append((c, now, sums, e))
                 if len(done) > 1:  # ways that meet at a node go on as the cheapest
-                    whole = total + spent * self.cost
-                    order = np.lexsort((whole, node, child))
-                    c, x = child[order], node[order]
-                    order = order[np.r_[True, (c[1:] != c[:-1]) | (x[1:] != x[:-1])]] if len(order) else order
-                    child, node, total, spent = child[order], node[order], total[order], spent[order]
+                    child, node, total, spent = (np.concatenate(x) for x in zip(*done))
+                    pair = child * tree.size + node
+                    order = np.lexsort((total + spent * self.cost, pair))
+                    pair = pair.take(order)
+                    order = order[np.r_[True, pair[1:] != pair[:-1]]] if len(order) else order
+                    done = [(child[order], node[order], total[order], spent[order])]
+                if not (done or single):
+                    break
+                child, node, total, spent = (np.concatenate(x) for x in zip(*done, *single))
                 at = made + child
                 hit = np.flatnonzero(tree.rows[node])
                 if len(hit):
@@ -352,6 +394,7 @@ class Words:
                     sums = total[x] + (spent[x] + self.vcost[row]) * self.cost
                     near = (sums <= limit[at[x]] + EPS) & np.isfinite(sums)
                     yield at[x][near], row[near], sums[near]
+                before = made
                 made += len(parent)
 
     def ordered(self, nodes: np.ndarray, rows: np.ndarray, sums: np.ndarray, lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
