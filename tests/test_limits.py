@@ -1,11 +1,11 @@
-"""Limits of runs: what a run can cost at most."""
+"""Limits of runs: what a run can cost at most, and how they rise for light runs."""
 
 from __future__ import annotations
 
 import random
 
 from hibiki.operators import distance, lattice, segment
-from test_lattice import lines_of
+from test_lattice import lines_of, word_table
 
 
 P = segment.DEFAULTS | {"VARIATION_COST": 2.5, "DUPLICATE": False}
@@ -25,3 +25,15 @@ def test_runs_whose_words_are_all_used_are_given_up(spark, monkeypatch):
     got = lattice.covered(own, P, [(lines, set())])
     assert [r[5] for r in got] == ["a", "b", None, None, None]
     assert len(finds) <= 3
+
+
+def test_light_runs_do_not_find_all_words(spark):
+    """Limits rise with a run's weight, so that runs of little weight do not list every word."""
+    own = held(spark, word_table(spark, random.Random(6), 500, 100)[1])
+    lines = lines_of(random.Random(7), 60, 8)
+    for r in lines:
+        r.weights = [2.0, 2.0, 2.0, *[0.4] * 5]
+    ways = lattice.Ways(own.place)
+    batch = lattice.Batch(own, P, ways, [lattice._line(ways, r) for r in lines], [set() for _ in lines])
+    batch.prepare()
+    assert len(batch.kept[0]) < 10 * len(batch.done)
